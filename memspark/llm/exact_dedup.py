@@ -43,6 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
     ):
         state = spark.readStream.schema(base.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(work.path("base")).groupBy("digest").agg(F.max(keeper).alias("keeper"), F.count(F.lit(1)).alias("n"))
         out = work.path("state")
