@@ -148,4 +148,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield put(rows, **{text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return chunks.select("gid", "body").join(told, "gid", "left").select("body", "told").mapInArrow(apply, schema)
+    return chunks.select("gid", "body").join(told.hint("merge"), "gid", "left").select("body", "told").mapInArrow(apply, schema)
