@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     cols = {c: [w[c] for w in part] for c in ("task", "comp", "i", "j", "uid")}
                     yield pa.RecordBatch.from_pydict(cols | {"s": pa.array([found[place[w["uid"]]].tobytes() for w in part], pa.binary())}, pa.schema([("task", pa.int32()), ("comp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("uid", pa.int64()), ("s", pa.binary())]))
 
-    sent = chunks.select("gid", "body", "docs").join(wanted, "gid").select("body", "docs", "wanted").mapInArrow(fetch, "task int, comp bigint, i int, j int, uid bigint, s binary")
+    sent = chunks.select("gid", "body", "docs").join(wanted.hint("merge"), "gid").select("body", "docs", "wanted").mapInArrow(fetch, "task int, comp bigint, i int, j int, uid bigint, s binary")
 
     def confirm(key, t):
         order = pa.compute.sort_indices(t, [("comp", "ascending"), ("i", "ascending"), ("j", "ascending"), ("uid", "ascending")])

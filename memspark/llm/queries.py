@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +25,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op8_line_dedup": op8_line_dedup}
+    return {"op5_exact_dedup": op5_exact_dedup, "op8_line_dedup": op8_line_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 OP5 = """
