@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,7 +42,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_line_dedup": op8_line_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 OP5 = """
