@@ -68,6 +68,27 @@ def neighbours(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) for the nodes of these links that aren't roots; a root is the smallest node of its component here."""
+    pairs = np.unique(pairs, axis=0)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        near = np.minimum(root[a], root[b])
+        np.minimum.at(low, root[a], near)
+        np.minimum.at(low, root[b], near)
+        while (low[low] != low).any():
+            low = low[low]
+        low = low[root]
+        if (low == root).all():
+            break
+        root = low
+    odd = root != np.arange(len(nodes))
+    return nodes[root[odd]], nodes[odd]
+
+
 def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Root of each set under links 100 * common >= percent * union, over all pairs by way of postings."""
     m, root = len(sets), list(range(len(sets)))
@@ -163,9 +184,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sort(key, t):
         a, b = neighbours(np.frombuffer(b"".join(t["entries"].to_pylist()), ENTRY))
+        part = (mix64(b.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, pairs = part[order], np.stack([a, b], 1)[order]
+        cut = np.flatnonzero(np.diff(part)) + 1
+        cuts = list(zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True)) if len(part) else []
+        return pa.table({"part": pa.array([int(part[i]) for i, _ in cuts], pa.int32()), "pairs": pa.array([pairs[i:j].tobytes() for i, j in cuts], pa.binary())})
+
+    def contract(key, t):
+        a, b = spanning(np.frombuffer(b"".join(t["pairs"].to_pylist()), np.int64).reshape(-1, 2))
         return pa.table({"a": a, "b": b})
 
-    links = work.save(chunks.select(F.inline("probes")).groupBy("shard").applyInArrow(sort, "a bigint, b bigint").distinct(), "links")
+    # A document of a large group has another hub in each tree; a part's spanning forest keeps one link for it.
+    part = chunks.select(F.inline("probes")).groupBy("shard").applyInArrow(sort, "part int, pairs binary")
+    links = work.save(part.groupBy("part").applyInArrow(contract, "a bigint, b bigint"), "links")
     near = components(links, work).select(F.col("node").alias("uid"), F.col("label").alias("comp"))
     rows = chunks.select(F.inline("docs"))
     # Of equal sets one is compared; components with one distinct set are done.
