@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
@@ -32,6 +33,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
@@ -42,7 +48,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op9_fingerprints": op9_fingerprints, "op10_near_dedup": op10_near_dedup}
 
 
 OP5 = """
