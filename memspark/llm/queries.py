@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
+from .html_extract import extract
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
@@ -42,13 +43,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op9_fingerprints": op9_fingerprints, "op10_near_dedup": op10_near_dedup}
+    return {"op1_html_extract": op1_html_extract, "op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op9_fingerprints": op9_fingerprints, "op10_near_dedup": op10_near_dedup}
 
 
 OP5 = """
