@@ -11,7 +11,10 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .html_extract import extract
 from .line_dedup import line_dedup
+from .mixing import mix
 from .near_dedup import near_dedup
+from .packing import pack_documents
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -20,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,7 +68,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extract": op1_html_extract, "op2_substring_dedup": op2_substring_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op9_fingerprints": op9_fingerprints, "op10_near_dedup": op10_near_dedup}
+    found = (op1_html_extract, op2_substring_dedup, op3_quality, op4_best_fit_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_line_dedup, op9_fingerprints, op10_near_dedup)
+    return {f.__name__: f for f in found}
 
 
 OP5 = """
