@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_QUERY = Window.partitionBy("query_id")
+def per_query():
+    return Window.partitionBy("query_id")
 
 
 def ordered(*more: Column):
-    return PER_QUERY.orderBy(F.desc("score"), *more, "hash")
+    return per_query().orderBy(F.desc("score"), *more, "hash")
 
 
 def minmax(df: DataFrame, column: str = "score") -> DataFrame:
     """To [0, 1] per query; a constant list is all 1."""
-    lo, hi = F.min(column).over(PER_QUERY), F.max(column).over(PER_QUERY)
+    lo, hi = F.min(column).over(per_query()), F.max(column).over(per_query())
     return df.withColumn(column, F.when(hi - lo < 1e-12, 1.0).otherwise((F.col(column) - lo) / (hi - lo)))
 
 
@@ -24,7 +25,7 @@ def rrf(lists: list[tuple[DataFrame, float]], k: int = 60, normalize: bool = Tru
     for i, (df, w) in enumerate(lists):
         ranked = df.select("query_id", "hash", F.col("score").cast("double").alias("own"), F.row_number().over(ordered()).alias("r"), F.lit(i).alias("list"), F.lit(float(w)).alias("w"))
         parts = ranked if parts is None else parts.unionByName(ranked)
-    one = F.min("list").over(PER_QUERY) == F.max("list").over(PER_QUERY)
+    one = F.min("list").over(per_query()) == F.max("list").over(per_query())
     fused = parts.withColumn("one", one).groupBy("query_id", "hash").agg(F.sum(F.col("w") / (k + F.col("r"))).alias("f"), F.max("own").alias("own"), F.first("one").alias("one"))
     mixed = fused.where("not one").select("query_id", "hash", F.col("f").alias("score"))
     alone = fused.where("one").select("query_id", "hash", F.col("own").alias("score"))
@@ -55,12 +56,12 @@ def fuse(paragraphs: DataFrame, relations: DataFrame, bridge: DataFrame, alpha:
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     p = paragraphs.select("query_id", "hash", (F.col("score") * a).alias("score"), F.lit("paragraph").alias("result_type"), F.lit(False).alias("safe"))
     r = relations.withColumn("_n", F.row_number().over(ordered())).select("query_id", "hash", (F.col("score") * (1 - a)).alias("score"), F.lit("relation").alias("result_type"), (F.col("_n") <= preserve).alias("safe"))
-    ranked = p.unionByName(r).withColumn("rank", F.row_number().over(PER_QUERY.orderBy(F.desc("score"), "result_type", "hash")))
+    ranked = p.unionByName(r).withColumn("rank", F.row_number().over(per_query().orderBy(F.desc("score"), "result_type", "hash")))
     above = ranked.where("result_type = 'paragraph'").select("query_id", F.col("hash").alias("paragraph_hash"), F.col("rank").alias("p_rank"))
     held = bridge.join(above, "paragraph_hash").groupBy("query_id", F.col("relation_hash").alias("hash")).agg(F.min("p_rank").alias("p_rank"))
     j = ranked.join(held, ["query_id", "hash"], "left")
     kept = j.where((F.col("result_type") == "paragraph") | F.col("safe") | F.col("p_rank").isNull() | (F.col("p_rank") > F.col("rank")))
-    return kept.select("query_id", "hash", "score", "result_type", F.row_number().over(PER_QUERY.orderBy("rank")).alias("rank"))
+    return kept.select("query_id", "hash", "score", "result_type", F.row_number().over(per_query().orderBy("rank")).alias("rank"))
 
 
 def ppr_rerank(results: DataFrame, bridge: DataFrame, entity_scores: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -78,8 +79,8 @@ def pair_rerank(results: DataFrame, relations: DataFrame, limit: int = 3) -> Dat
     rel = results.where("result_type = 'relation'").join(relations.select("hash", F.lower("subject").alias("s"), F.lower("object").alias("o")), "hash")
     pair = Window.partitionBy("query_id", "s", "o")
     rel = rel.withColumns({"n": F.row_number().over(pair.orderBy("rank")), "best": F.min("rank").over(pair)})
-    rel = rel.withColumn("slot", F.row_number().over(PER_QUERY.orderBy((F.col("n") > limit).cast("int"), F.when(F.col("n") <= limit, F.col("best")), "rank")))
-    slots = results.where("result_type = 'relation'").select("query_id", F.col("rank").alias("new_rank"), F.row_number().over(PER_QUERY.orderBy("rank")).alias("slot"))
+    rel = rel.withColumn("slot", F.row_number().over(per_query().orderBy((F.col("n") > limit).cast("int"), F.when(F.col("n") <= limit, F.col("best")), "rank")))
+    slots = results.where("result_type = 'relation'").select("query_id", F.col("rank").alias("new_rank"), F.row_number().over(per_query().orderBy("rank")).alias("slot"))
     moved = rel.join(slots, ["query_id", "slot"]).select("query_id", "hash", "score", "result_type", F.col("new_rank").alias("rank"))
     return results.where("result_type != 'relation'").select("query_id", "hash", "score", "result_type", "rank").unionByName(moved)
 
@@ -87,7 +88,7 @@ def pair_rerank(results: DataFrame, relations: DataFrame, limit: int = 3) -> Dat
 def temporal_sort(results: DataFrame, k: int | None = None) -> DataFrame:
     """By score, then by the latest effective end (or start); without time last."""
     when = F.coalesce("effective_end", "effective_start")
-    ranked = results.withColumn("rank", F.row_number().over(PER_QUERY.orderBy(F.desc("score"), when.desc_nulls_last(), "hash")))
+    ranked = results.withColumn("rank", F.row_number().over(per_query().orderBy(F.desc("score"), when.desc_nulls_last(), "hash")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
@@ -107,7 +108,7 @@ def content_dedup(results: DataFrame, k: int = 50) -> DataFrame:
     Empty content goes, but the first stays if all are empty. Only the first k of a query are looked at and returned: a
     fold over them.
     """
-    top = results.withColumn("_r", F.row_number().over(PER_QUERY.orderBy("rank", "hash"))).where(F.col("_r") <= k)
+    top = results.withColumn("_r", F.row_number().over(per_query().orderBy("rank", "hash"))).where(F.col("_r") <= k)
     text = F.trim(F.coalesce("content", F.lit("")))
     items = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), "hash", text.alias("c")))).alias("items"))
     empty = F.array().cast("array<struct<r:int,hash:string,c:string>>")
@@ -123,7 +124,7 @@ def with_paths(results: DataFrame, paths: DataFrame, threshold: float = 0.6, sco
     low = paths.select("query_id").distinct().join(best, "query_id", "left").where(F.coalesce(F.col("best") < threshold, F.lit(True))).select("query_id")
     extra = paths.join(low, "query_id", "left_semi").select("query_id", "hash", F.lit(score).alias("score"), F.lit("path").alias("result_type"), F.lit(0).alias("_p"))
     both = extra.unionByName(results.select("query_id", "hash", "score", "result_type", F.lit(1).alias("_p")))
-    return both.withColumn("rank", F.row_number().over(PER_QUERY.orderBy("_p", F.desc("score"), "hash"))).drop("_p")
+    return both.withColumn("rank", F.row_number().over(per_query().orderBy("_p", F.desc("score"), "hash"))).drop("_p")
 
 
 def path_bonus(results: DataFrame, relations: DataFrame, support: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
 
     Transitions go by weight; what dangling nodes hold, and 1 - alpha, goes back to the seeds. Seeds that name no node
     are left out; a query without any is spread evenly. Ends after `iterations` or when the sum of changes of every
-    query is below tol, looked at every `check_every` rounds, when the ranks are written and lineage is cut.
+    query is below tol, looked at every `check_every` rounds.
     """
     spark = edges.sparkSession
     e = edges.where(ACTIVE)
@@ -98,12 +98,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
     start = cut(start)
     rank = start.select("query_id", "node", F.col("seed").alias("score"))
     for i in range(1, iterations + 1):
-        flow = rank.join(step, rank.node == step.src).groupBy("query_id", F.col("dst").alias("node")).agg((alpha * F.sum(F.col("score") * F.col("p"))).alias("score"))
-        back = start.select("query_id").distinct().join(flow.groupBy("query_id").agg(F.sum("score").alias("t")), "query_id", "left").select("query_id", (1 - F.coalesce("t", F.lit(0.0))).alias("rest"))
-        home = start.join(back, "query_id").select("query_id", "node", (F.col("seed") * F.col("rest")).alias("score"))
+        # Written in each round: it is read twice, for the ranks and for what they leave to the seeds.
+        flow = cut(rank.join(step, rank.node == step.src).groupBy("query_id", F.col("dst").alias("node")).agg((alpha * F.sum(F.col("score") * F.col("p"))).alias("score")))
+        back = flow.groupBy("query_id").agg(F.sum("score").alias("t"))
+        home = start.join(back, "query_id", "left").select("query_id", "node", (F.col("seed") * (1 - F.coalesce("t", F.lit(0.0)))).alias("score"))
         nxt = flow.unionByName(home).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
-        if i % check_every == 0 or i == iterations:
-            nxt = cut(nxt)
+        if i % check_every == 0 and tol > 0:
             was = rank.select("query_id", "node", F.col("score").alias("was"))
             worst = nxt.join(was, ["query_id", "node"], "full_outer").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
             if (worst or 0.0) < tol:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Threshold
 
-PER_QUERY = Window.partitionBy("query_id")
+def per_query():
+    return Window.partitionBy("query_id")
 
 
 def thresholds(results: DataFrame, config: Threshold = Threshold()) -> DataFrame:
@@ -15,7 +16,7 @@ def thresholds(results: DataFrame, config: Threshold = Threshold()) -> DataFrame
 
     gap: the score after the smallest drop in descending order (gap_mode="largest": after the largest), ties: the first.
     """
-    w = PER_QUERY.orderBy(F.desc("score"), "hash")
+    w = per_query().orderBy(F.desc("score"), "hash")
     gaps = results.select("query_id", "score", (F.lag("score").over(w) - F.col("score")).alias("drop"), F.row_number().over(w).alias("r"))
     sign = 1 if config.gap_mode == "smallest" else -1
     gap = F.min_by("score", F.when(F.col("drop").isNotNull(), F.struct((F.col("drop") * sign).alias("d"), "r")))
@@ -31,9 +32,9 @@ def thresholds(results: DataFrame, config: Threshold = Threshold()) -> DataFrame
 def adaptive(results: DataFrame, config: Threshold = Threshold()) -> DataFrame:
     """What reaches the threshold, and at least the best min_results."""
     t = thresholds(results, config).select("query_id", "threshold")
-    n = F.row_number().over(PER_QUERY.orderBy(F.desc("score"), "hash"))
+    n = F.row_number().over(per_query().orderBy(F.desc("score"), "hash"))
     j = results.join(t, "query_id").withColumn("_n", n)
-    enough = F.sum((F.col("score") >= F.col("threshold")).cast("int")).over(PER_QUERY) >= config.min_results
+    enough = F.sum((F.col("score") >= F.col("threshold")).cast("int")).over(per_query()) >= config.min_results
     return j.withColumn("_e", enough).where(F.when(F.col("_e"), F.col("score") >= F.col("threshold")).otherwise(F.col("_n") <= config.min_results)).drop("_n", "_e")
 
 
@@ -63,4 +64,4 @@ def diverse(results: DataFrame, k: int = 10, prefix: int = 8) -> DataFrame:
     """The best of each hash prefix, then the best k."""
     first = Window.partitionBy("query_id", F.substring("hash", 1, prefix)).orderBy(F.desc("score"), "hash")
     one = results.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return one.withColumn("rank", F.row_number().over(PER_QUERY.orderBy(F.desc("score"), "hash"))).where(F.col("rank") <= k)
+    return one.withColumn("rank", F.row_number().over(per_query().orderBy(F.desc("score"), "hash"))).where(F.col("rank") <= k)
