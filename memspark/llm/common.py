@@ -121,7 +121,7 @@ def texts_of(batch: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray]:
 def pack(batch: pa.RecordBatch) -> bytes:
     """A batch of whole rows as one compressed value."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

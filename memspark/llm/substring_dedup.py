@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +95,22 @@ def _cuts(shard: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut], [*cut, len(shard)], strict=True))
 
 
+def _packed(keys: np.ndarray, twice: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as differences, byte by byte of these, with a bit for each key."""
+    step = np.diff(keys, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return struct.pack("<I", len(keys)) + zstandard.ZstdCompressor(level=1).compress(step.tobytes() + np.packbits(twice).tobytes())
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<I", blob)[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
+    step = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).reshape(-1)
+    return np.cumsum(step, dtype=np.uint32), np.unpackbits(raw[4 * n :], count=n).astype(bool)
+
+
 def _recurring(blobs: list[bytes]) -> list[bytes]:
     """For each chunk's keys a bit: another chunk, or another document of the chunk, has the key too."""
-    parts = []
-    for b in blobs:
-        n = len(b) * 8 // 33
-        parts.append((np.frombuffer(b, np.uint32, n), np.unpackbits(np.frombuffer(b, np.uint8, offset=4 * n), count=n).astype(bool)))
+    parts = [_unpacked(b) for b in blobs]
     ids, where, count = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
     many = count > 1
     many[where[np.concatenate([p[1] for p in parts])]] = True
@@ -200,7 +213,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, _, key, text = runs(*texts_of(b, "text"), length)
             k, shard, twice = _keys(key, text, ids_of(b, "doc_id"), n_shards)
             k = (k >> np.uint64(32)).astype(np.uint32)
-            probes = [{"shard": int(shard[a]), "entries": k[a:z].tobytes() + np.packbits(twice[a:z]).tobytes()} for a, z in _cuts(shard)]
+            probes = [{"shard": int(shard[a]), "entries": _packed(k[a:z], twice[a:z])} for a, z in _cuts(shard)]
             yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([pack(b)], pa.binary()), pa.array([probes], _PROBE)], names=["gid", "body", "probes"])
             gid += 1
 
