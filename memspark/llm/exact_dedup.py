@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "digest binary, keeper struct<known:boolean,doc_id:bigint,locator:bigint>, n bigint, batch int"
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/batch=-1")
     # Keeper and count only grow, so the largest is the state after the last batch.
-    groups = spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n"))
+    groups = work.save(spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n")), "groups")
+    work.drop("state")
     hits = groups.where("n > 1").select("digest")
     small = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Partial minima and maxima leave one row of a group for each task, however large the group.
