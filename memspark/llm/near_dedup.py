@@ -254,7 +254,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = label.join(ids, "uid").select("set_id", "label").join(ids.select(F.col("uid").alias("label"), F.col("set_id").alias("class")), "label").select("set_id", "class")
     named = work.save(named, "named")
     every = rows.where("n > 0").join(named, "set_id", "left").select("doc_id", "n", F.coalesce("class", "set_id").alias("class"))
-    least = every.groupBy("class").agg(F.min("doc_id").alias("least"))
+    every = work.save(every, "every")
+    least = work.save(every.groupBy("class").agg(F.min("doc_id").alias("least")), "least")  # as a table: a hot class's join can be split
     linked = every.join(least, "class").select("doc_id", "n", "least")
     done = linked.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
     known = F.nullif(F.col("doc_id"), F.lit(NULL_ID)), F.nullif(F.col("least"), F.lit(NULL_ID))
