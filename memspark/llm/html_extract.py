@@ -169,6 +169,8 @@ def content(page: str | None) -> tuple[str, int, int]:
         if i and (state[part] == INSIDE_BOILERPLATE) == (state[last] == INSIDE_BOILERPLATE):
             edges.append((i - 1, i, NEXT_SAME if part == last else NEXT_OTHER))
         last = part
+    if max(gain) <= 0:  # a page of short texts only: those that no part or link speaks against are its content
+        gain = [g - BASE if state[part] != INSIDE_BOILERPLATE else g for g, (_, part, _) in zip(gain, found, strict=True)]
     # Each part is a node of its own, tied to its blocks and to the part around it, unless boilerplate begins between.
     for i, (_, part, _) in enumerate(found):
         below, capacity = i, CHILD
