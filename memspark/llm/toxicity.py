@@ -85,10 +85,11 @@ def logistic(doc: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndar
     return w * scale, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int = 4, min_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int = 4, min_z: float = 4.0, min_features: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from at most `per_class` labelled rows of each class, chosen by a hash of the id, none of them held out.
 
-    Features count if in `min_docs` of these and their log-count ratio is `min_z` standard errors from 0.
+    Features count if in `min_docs` of these and their log-count ratio is `min_z` standard errors from 0; if these are
+    fewer than `min_features`, that many that are furthest from 0.
     Ids with contradictory labels are left out. Without examples of both classes the model is a constant.
     """
     work = Work(docs.sparkSession, "toxicity")
@@ -126,7 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
         return Model(slot, np.zeros(0), np.inf if rows[1] else -np.inf)
     ratio = np.log((found[1] + 1) / (rows[1] + 2)) - np.log((found[0] + 1) / (rows[0] + 2))
     error = np.sqrt(1 / (found[0] + 1) + 1 / (found[1] + 1))
-    use = np.flatnonzero((found.sum(axis=0) >= min_docs) & (np.abs(ratio) >= min_z * error))
+    z = np.where(found.sum(axis=0) >= min_docs, np.abs(ratio) / error, 0.0)
+    use = np.flatnonzero(z >= min_z)
+    if len(use) < min_features:
+        use = np.sort(np.argsort(-z, kind="stable")[: min(min_features, int((z > 0).sum()))])
     slot[use] = np.arange(len(use))
     sent = docs.sparkSession.sparkContext.broadcast(slot)
 
@@ -159,7 +163,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for p in pieces(batches, text_col, 1 << 20):
             doc, f = present(_texts(p, text_col), m.slot)
             z = np.bincount(doc, weights=m.weight[f], minlength=p.num_rows) + m.bias
-            s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            with np.errstate(over="ignore"):
+                s = 1 / (1 + np.exp(-z))
             yield put(p, score=pa.array(s), predicted=pa.array((s >= 0.5).astype(np.int32)))
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
