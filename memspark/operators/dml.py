@@ -42,7 +42,7 @@ def upsert_paragraphs(existing: DataFrame, incoming: DataFrame, now: float) -> D
 def merge_entities(existing: DataFrame, names: DataFrame, now: float) -> DataFrame:
     """names(name, ord). Counts appearances, keeps the first spelling, revives."""
     new = names.withColumn("hash", tx.entity_hash(F.col("name"))).where(tx.canonical(F.col("name")) != "")
-    new = new.groupBy("hash").agg(F.count(F.lit(1)).alias("more"), F.min_by("name", "ord").alias("new_name"))
+    new = new.groupBy("hash").agg(F.count(F.lit(1)).alias("more"), F.min_by("name", F.struct("ord", "name")).alias("new_name"))
     both = existing.join(new, "hash", "full_outer")
     seen = F.col("more").isNotNull()
     return both.select(
@@ -61,7 +61,7 @@ def insert_relations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     blank = F.lit(False)
     for c in ("subject", "predicate", "object"):
         blank = blank | (tx.canonical(F.col(c)) == "")
-    new = first_by(keyed.where(~blank), ["hash"], F.col("ord"))
+    new = first_by(keyed.where(~blank), ["hash"], F.col("ord"), F.col("subject"), F.col("predicate"), F.col("object"))
     return existing.unionByName(align(new.join(existing.select("hash"), "hash", "left_anti"), existing))
 
 

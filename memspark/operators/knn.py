@@ -56,11 +56,15 @@ def training_sample(vectors: DataFrame, n: int = 10_000, seed: int = 42) -> Data
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, planes: int = 6, tables: int = 12, seed: int = 5) -> DataFrame:
     """Approximate search: signs against `planes` fixed hyperplanes give a bucket in each of `tables` tables; candidates are scored exactly."""
+    def side(v, plane: int):
+        """Which side of a fixed hyperplane the vector is on."""
+        part = lambda x, i: x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(plane), i), F.lit(2001)) - 1000) / 1000.0
+        return (F.aggregate(F.transform(v, part), F.lit(0.0), lambda s, x: s + x) >= 0).cast("int")
+
     def bucket(v, t: int):
         bits = F.lit(0)
         for p in range(planes):
-            sign = F.aggregate(v, F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s")), lambda a, x, t=t, p=p: F.struct((a["i"] + 1).alias("i"), (a["s"] + x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(t * planes + p), a["i"]), F.lit(2001)) - 1000) / 1000.0).alias("s")), lambda a: a["s"])
-            bits = bits * 2 + (sign >= 0).cast("int")
+            bits = bits * 2 + side(v, t * planes + p)
         return F.struct(F.lit(t).alias("t"), bits.alias("b"))
 
     def coded(df: DataFrame, name: str) -> DataFrame:

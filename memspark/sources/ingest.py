@@ -62,7 +62,7 @@ def extract_regex(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def persist(store: dict[str, DataFrame], items: DataFrame, now: float) -> dict[str, DataFrame]:
     """items(content, source, knowledge_type, entities, relations, ord) into paragraphs, entities (with the ends of relations), relations and bridges."""
     keyed = items.withColumn("hash", tx.content_hash(tx.normalize(F.col("content"))))
-    names = keyed.select("hash", "ord", F.explode("entities").alias("name"))
+    names = keyed.select("hash", "ord", F.explode(tx.keep_order("entities")).alias("name"))
     rel = keyed.select("hash", "ord", F.inline("relations"))
     ends = rel.select("hash", "ord", F.explode(F.array("subject", "object")).alias("name"))
     every = names.unionByName(ends)
