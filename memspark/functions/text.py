@@ -14,15 +14,20 @@ STOP_WORDS = ("the", "and", "that", "this", "with", "from", "for", "have", "will
 CHUNK_SIZES = {"structured": 300, "narrative": 800, "factual": 500, "quote": 400, "mixed": 500}
 
 
+#: Unicode white space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
 
 
 def normalize(c: Column) -> Column:
-    """stripped, line ends as \\n, other white space runs as one space."""
-    lines = F.regexp_replace(strip(c), r"\r\n?", "\n")
-    return F.regexp_replace(lines, r"(?U)[^\S\n]+", " ")
+    """stripped, line ends as \\n, other white space runs as one space. Single spaces, the usual case, match nothing."""
+    lines = F.replace(F.replace(strip(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    blank = SPACES.replace("\n", "")
+    return F.regexp_replace(lines, f"[{blank}]{{2,}}|[{blank.replace(' ', '')}]", " ")
 
 
 def content_hash(c: Column, kind: str = "sha256") -> Column:
@@ -65,7 +70,7 @@ def char_ngrams(c: Column, n: int = 2) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-case tokens of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
 
 
 def tokens(c: Column, mode: str = "word", n: int = 2) -> Column:
@@ -75,7 +80,7 @@ def tokens(c: Column, mode: str = "word", n: int = 2) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.array_remove(F.split(F.coalesce(c, F.lit("")), f"[{SPACES}]+"), ""))
 
 
 def _count_markers(c: Column, markers: tuple[str, ...]) -> Column:

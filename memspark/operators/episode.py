@@ -67,7 +67,7 @@ def time_meta(grouped: DataFrame) -> DataFrame:
 def keywords(grouped: DataFrame, limit: int = 12) -> DataFrame:
     """The most frequent tokens of two or more characters, ties by the first place; grouped(source, group_no, content, ord)."""
     toks = grouped.select("source", "group_no", "ord", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(r"([A-Za-z0-9_一-鿿]{2,})"), F.lit(1))).alias("pos", "token"))
-    n = toks.where(~F.col("token").isin(*tx.STOP_WORDS)).groupBy("source", "group_no", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
+    n = toks.where(~F.col("token").isin(*tx.STOP_WORDS)).groupBy("source", "group_no", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ord").cast("bigint") * (1 << 32) + F.col("pos")).alias("first"))
     w = Window.partitionBy("source", "group_no").orderBy(F.desc("n"), "first", "token")
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("source", "group_no", "token", "n", "rank")
 

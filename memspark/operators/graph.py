@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.snapshot import shared_dir
+from ..sources.snapshot import cut
 
 ACTIVE = "weight > 0"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph_{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build_nodes(names: DataFrame) -> DataFrame:
     """names(name, ord): one node for each canonical name, with its first spelling."""
     return names.withColumn("canon", tx.canonical(F.col("name"))).where("canon != ''").groupBy("canon").agg(F.min_by("name", "ord").alias("name"))

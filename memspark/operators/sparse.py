@@ -6,14 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.snapshot import cut
 
 MOST_TERMS, MOST_FALLBACK_TERMS = 64, 32
 
 
+def _all_tokens(c: Column, mode: str, n: int) -> Column:
+    if mode == "mixed":
+        return F.concat(tx.words(c), tx.char_ngrams(c, n))
+    return tx.words(c) if mode == "word" else tx.char_ngrams(c, n)
+
+
 def postings(docs: DataFrame, mode: str = "word", n: int = 2) -> DataFrame:
     """docs(hash, content) to (term, hash, tf, dl)."""
-    every = {"word": tx.words, "char_ngram": lambda c: tx.char_ngrams(c, n), "mixed": lambda c: F.concat(tx.words(c), tx.char_ngrams(c, n))}[mode](F.col("content"))
-    rows = docs.select("hash", every.alias("_t")).select("hash", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return _count(docs.select("hash", _all_tokens(F.col("content"), mode, n).alias("_t")))
+
+
+def _count(tokenised: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    rows = tokenised.select("hash", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("term", "hash").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -33,10 +45,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: f
 
     idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6. Terms that no query has are dropped before anything is shuffled.
     """
-    post = postings(docs, mode, n)
-    stats = docs.select(F.size({"word": tx.words, "char_ngram": lambda c: tx.char_ngrams(c, n)}.get(mode, lambda c: F.concat(tx.words(c), tx.char_ngrams(c, n)))(F.col("content"))).alias("dl")).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    tokenised = cut(docs.select("hash", _all_tokens(F.col("content"), mode, n).alias("_t")))
+    stats = tokenised.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl"))
     terms = query_terms(queries, mode, n)
-    hit = post.join(terms.select("term").distinct(), "term", "left_semi")
+    hit = cut(_count(tokenised, terms.select("term").distinct()))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions.time import effective_end, effective_start, overlaps
 from ..operators import aggregate, episode, fusion, graph, joins, knn, sparse, threshold
 from ..operators.catalog import LIVE
+from ..sources.snapshot import cut
 
 
 def parse_relation_query(c: Column) -> Column:
@@ -50,7 +51,7 @@ class Engine:
         if lower is not None or upper is not None:
             live = live.where(overlaps(effective_start(), effective_end(), lower, upper))
         vectors = self.store["vector"].where("item_type = 'paragraph'").join(live.select("hash"), "hash", "left_semi")
-        dense = graph.cut(knn.search(vectors, queries, k).select("query_id", "hash", "score"))
+        dense = cut(knn.search(vectors, queries, k).select("query_id", "hash", "score"))
         use = sparse.gate(queries, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id")
         words = sparse.bm25(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, c.sparse.k1, c.sparse.b)
         words = words.join(live.select("hash"), "hash", "left_semi").select("query_id", "hash", "score")
@@ -79,11 +80,11 @@ class Engine:
         c = self.config
         q = fusion.relation_intent(queries, c.top_k_final, c.top_k_relations, c.intent.alpha)
         # Results of each path are few rows a query and are read several times below: written once, not computed again.
-        p, r = graph.cut(self.paragraphs(queries, None, lower, upper, source)), graph.cut(self.relations(queries))
+        p, r = cut(self.paragraphs(queries, None, lower, upper, source)), cut(self.relations(queries))
         if lower is not None or upper is not None:
             r = r.join(joins.best_support(self.store["paragraph_relation"], self._live(), lower, upper).select(F.col("relation_hash").alias("hash")), "hash", "left_semi")
         alpha = q.select("query_id", F.coalesce("alpha", F.lit(c.alpha)).alias("_a"))
-        fused = graph.cut(fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve))
+        fused = cut(fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve))
         if ppr:
             seeds = graph.seed_entities(queries, self.store["node"]).select("query_id", F.col("canon").alias("node"), F.lit(1.0).alias("weight"))
             rank = graph.pagerank(self.store["edge"], self.store["node"], seeds, c.graph.alpha, c.graph.max_iter, c.graph.tol)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.snapshot import cut
 
 T0 = 1_704_067_200
 NOW = T0 + 2_000_000.0
@@ -73,18 +74,19 @@ class Fixtures:
         d = lambda i: F.substring("hash", i, 1)
         idle = d(1).isin("1", "2")
         created = (F.lit(T0) + F.col("n") * 1000).cast("double")
-        return t.select(
+        # Several times read by most queries: a table, as in a real store.
+        return cut(t.select(
             "hash", "subject", "predicate", "object", F.least(F.lit(1.0), F.col("n") / 10.0).alias("confidence"),
             F.when(d(4).isin("0", "1"), "ready").when(d(4) == "2", "pending").when(d(4) == "3", "failed").alias("vector_state"), F.lit(None).cast("double").alias("vector_updated_at"),
             F.lit(None).cast("string").alias("vector_error"), F.when(d(4) == "3", 2).otherwise(0).alias("vector_retry_count"), created.alias("created_at"), F.lit(None).cast("string").alias("source_paragraph"),
             F.lit(False).alias("is_permanent"), F.lit(None).cast("double").alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"), idle.alias("is_inactive"),
             F.when(idle, F.lit(NOW) - F.col("n") * 40000).alias("inactive_since"), (d(2) == "5").alias("is_pinned"), F.when(d(3) == "7", F.lit(NOW + 100)).alias("protected_until"),
             F.when(d(5) == "9", F.lit(NOW - 10)).alias("last_reinforced"), "key",
-        )
+        ))
 
     @cached_property
     def edge(self) -> DataFrame:
-        return self.relation.groupBy(F.lower("subject").alias("src"), F.lower("object").alias("dst")).agg(F.sum("confidence").alias("weight"), F.array_sort(F.collect_set("hash")).alias("relation_hashes"))
+        return cut(self.relation.groupBy(F.lower("subject").alias("src"), F.lower("object").alias("dst")).agg(F.sum("confidence").alias("weight"), F.array_sort(F.collect_set("hash")).alias("relation_hashes")))
 
     @cached_property
     def node(self) -> DataFrame:

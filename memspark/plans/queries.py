@@ -12,6 +12,7 @@ from ..functions import time as tm
 from ..functions import vector as vx
 from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, joins, knn, lifecycle, sparse, threshold
 from ..sources import ingest, readers
+from ..sources.snapshot import cut
 from .engine import Engine, parse_relation_query
 from .fixtures import NOW, T0, Fixtures, with_tables
 
@@ -658,6 +659,6 @@ def hybrid_search(x: Fixtures):
     """The flagship: dense, sparse and graph recall fused, thresholded, deduplicated."""
     v = x.vector.select(F.col("hash").alias("v"), "item_type", "embedding").withColumn("doc_id", F.expr("cast(substring(v, 2) as bigint)"))
     vectors = v.join(x.para.select("hash", "doc_id"), "doc_id").select("hash", F.lit("paragraph").alias("item_type"), "embedding")
-    used = ("paragraph", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "entity")
-    found = Engine({t: graph.cut(x.store[t]) for t in used} | {"vector": graph.cut(vectors)}).search(graph.cut(x.queries))
+    made = {t: x.store[t] if t in ("relation", "edge") else cut(x.store[t]) for t in ("paragraph", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "entity")}
+    found = Engine(made | {"vector": cut(vectors)}).search(cut(x.queries))
     return found.select("query_id", "hash", r6("score"), "result_type", "rank", "source")

@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/memspark_{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Snapshots:
     """Snapshots under a root in any Hadoop file system. A reader sees all tables of one version or none of it."""
 
