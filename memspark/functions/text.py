@@ -144,6 +144,11 @@ def stored_type(value: Column, content: Column, legacy: bool = False, fallback:
     return out
 
 
+def type_from_hint(hint: Column, content: Column) -> Column:
+    """A hint if there is one, else by content."""
+    return F.when(strip(hint) != "", stored_type(hint, content)).otherwise(knowledge_type(content))
+
+
 def extracts_relations(kind: Column) -> Column:
     """F13"""
     return kind.isin("structured", "factual", "mixed")

@@ -235,6 +235,11 @@ def mentions(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return grams.join(n, ["canon", "len"]).groupBy("query_id", "canon").agg(F.count(F.lit(1)).alias("n"))
 
 
+def query_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Seeds of a personalised rank: the nodes that a query names, as often as it does."""
+    return mentions(queries, nodes).select("query_id", F.col("canon").alias("node"), F.col("n").cast("double").alias("weight"))
+
+
 def seed_entities(queries: DataFrame, nodes: DataFrame, limit: int = 2) -> DataFrame:
     """The most often named nodes, longer ones first, then by name."""
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc(F.char_length("canon")), "canon")

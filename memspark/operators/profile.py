@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .dml import first_by
+from .dml import append_snapshots, first_by
+from .joins import active_persons
 
 
 def aliases(persons: DataFrame) -> DataFrame:
@@ -62,6 +63,15 @@ def build(names: DataFrame, edges: DataFrame, texts: DataFrame, now: float, ttl_
     return j.select("person_id", body.alias("profile_text"), "aliases", "relation_edges", "vector_evidence", "evidence_ids", F.lit(now).alias("updated_at"), F.lit(now + ttl_s).alias("expires_at"), F.lit("").alias("source_note"))
 
 
+def refresh(persons: DataFrame, active: DataFrame, switches: DataFrame, snapshots: DataFrame, relations: DataFrame, hits: DataFrame, paragraphs: DataFrame, now: float, hours: float = 72.0, most: int = 50) -> DataFrame:
+    """New snapshots for persons that were active lately where the switch is on, unless theirs is still fresh."""
+    due = active_persons(active, switches, now - hours * 3600, most).select("person_id")
+    fresh = latest(snapshots).select("person_id").join(stale(snapshots, now).select("person_id"), "person_id", "left_anti")
+    mine = persons.join(due.join(fresh, "person_id", "left_anti"), "person_id", "left_semi")
+    names = aliases(mine)
+    return append_snapshots(snapshots, build(names, relation_evidence(names, relations), text_evidence(hits, paragraphs), now))
+
+
 def latest(snapshots: DataFrame) -> DataFrame:
     """R47"""
     return first_by(snapshots, ["person_id"], F.desc("profile_version"))
