@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,17 +169,26 @@ def rebuild_hash_map(edges: DataFrame, relations: DataFrame) -> DataFrame:
     return edges.join(r, ["src", "dst"], "left").withColumn("relation_hashes", F.coalesce("_h", F.array().cast("array<string>"))).drop("_h")
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with its rank (from 1) in a full order. Rows are dealt to ranges and sorted there; only the ranges' sizes meet in one place."""
+    cols = df.columns
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_m"))
+    d = cut(d.select(*cols, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    size = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
+    return d.join(before, "_p").select(*cols, (F.col("_b") + F.col("_i") + 1).alias("rank"))
+
+
 def saliency_filter(scores: DataFrame, edges: DataFrame, density: float = 0.5, hub_share: float = 0.1, ghost_share: float = 0.2) -> DataFrame:
     """scores(node, score) with band: kept (top share by density, or next to a hub), ghost (the band below), or dropped."""
-    w = Window.orderBy(F.desc("score"), "node")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = scores.select("node", "score", F.row_number().over(w).alias("r"), n.alias("n"))
-    hubs = r.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * hub_share))).select("node")
+    n = scores.count()
+    r = ranked(scores.select("node", "score"), F.desc("score"), F.col("node"))
+    hubs = r.where(F.col("rank") <= max(1, int(n * hub_share))).select("node")
     e = edges.where(ACTIVE)
     near = e.join(hubs.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).union(e.join(hubs.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src")).distinct().withColumn("_h", F.lit(True))
     j = r.join(near, "node", "left")
-    kept = (F.col("r") <= F.ceil(F.col("n") * density)) | F.coalesce("_h", F.lit(False))
-    return j.select("node", "score", F.when(kept, "kept").when(F.col("r") <= F.ceil(F.col("n") * (density + ghost_share)), "ghost").otherwise("dropped").alias("band"))
+    kept = (F.col("rank") <= math.ceil(n * density)) | F.coalesce("_h", F.lit(False))
+    return j.select("node", "score", F.when(kept, "kept").when(F.col("rank") <= math.ceil(n * (density + ghost_share)), "ghost").otherwise("dropped").alias("band"))
 
 
 def source_subgraph(store: dict[str, DataFrame], source: str, exclude_leaf: bool = False) -> DataFrame:
@@ -211,8 +222,9 @@ def seed_weights(nodes: DataFrame, edges: DataFrame, method: str = "uniform") ->
     """Uniform, by degree, or by inverse degree, adding up to 1."""
     d = nodes.select(F.col("canon").alias("node")).join(degrees(edges), "node", "left").select("node", F.coalesce(F.col("out_degree") + F.col("in_degree"), F.lit(0)).alias("d"))
     w = {"uniform": F.lit(1.0), "degree": F.col("d").cast("double"), "inverse_degree": 1.0 / F.greatest(F.col("d"), F.lit(1))}[method]
-    total = Window.partitionBy()
-    return d.withColumn("w", w).select("node", F.when(F.sum("w").over(total) > 0, F.col("w") / F.sum("w").over(total)).otherwise(1.0 / F.count(F.lit(1)).over(total)).alias("weight"))
+    d = d.withColumn("w", w)
+    total = d.agg(F.sum("w").alias("_t"), F.count(F.lit(1)).alias("_n"))  # one row
+    return d.crossJoin(F.broadcast(total)).select("node", F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(1.0 / F.col("_n")).alias("weight"))
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -82,8 +82,13 @@ def scan_k(k: int, temporal: bool, multiplier: int = 8, max_scan: int = 1000) ->
 
 
 def synonyms(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs of names with threshold <= similarity < 1, each once. Blocks of one side meet the other side's stream."""
-    names = vectors.select(F.col("hash").alias("query_id"), "embedding")
-    n = names.count()
-    hits = search(vectors, names, k=max(1, n))
-    return hits.where((F.col("query_id") < F.col("hash")) & (F.col("score") >= threshold) & (F.col("score") < 1 - 1e-12)).select(F.col("query_id").alias("src"), F.col("hash").alias("dst"), "score")
+    """Pairs of names with threshold <= similarity < 1, each once. Blocks of names of a bounded size meet the stream of all; nothing is shuffled."""
+    v = vectors.where(vx.is_valid(F.col("embedding"))).select("hash", vx.normalize(F.col("embedding")).alias("_v"))
+    n = v.count()
+    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
+    for b in range(blocks):
+        part = v.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).select(F.col("hash").alias("src"), F.col("_v").alias("_s"))
+        pairs = v.crossJoin(F.broadcast(part)).where((F.col("src") < F.col("hash")) & (F.size("_v") == F.size("_s")))
+        hit = pairs.select("src", F.col("hash").alias("dst"), vx.dot(F.col("_v"), F.col("_s")).alias("score")).where((F.col("score") >= threshold) & (F.col("score") < 1 - 1e-12))
+        out = hit if out is None else out.unionByName(hit)
+    return out
