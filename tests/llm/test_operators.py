@@ -1,8 +1,11 @@
 """Fingerprints, toxicity, mixing, packing, quality, extraction and the pipeline on small tables."""
 
+import html
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -185,6 +188,32 @@ def test_quality(spark):
     assert resample(h.empty_docs(spark), marks.select("doc_id"), 0.5).count() == 0
 
 
+def test_quality_weights(spark):
+    """Log weights against counts of the same n-grams in plain Python."""
+    import pyarrow as pa
+    from memspark.llm.quality import BUCKETS, ngrams
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{h.SF}/documents.parquet").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{h.SF}/labels.parquet").where("quality = 1").collect()}
+    grams = {i: Counter(ngrams(pa.RecordBatch.from_pydict({"text": pa.array([t])}))[1].tolist()) for i, t in docs.items()}
+    assert all(sum(g.values()) == max(0, 2 * len(docs[i].split()) - 1) for i, g in grams.items())
+    raw = sum(grams.values(), Counter())
+    target = sum((grams[i] for i in good if i in grams), Counter())
+    ratio = {b: math.log((target[b] + 1) / (target.total() + BUCKETS)) - math.log((n + 1) / (raw.total() + BUCKETS)) for b, n in raw.items()}
+    for r in queries()["op3_quality"](spark, h.SF).collect():
+        assert r.log_weight == pytest.approx(sum(n * ratio[b] for b, n in grams[r.doc_id].items()), abs=1e-6)
+
+
+def test_extract_query(spark):
+    """Over the pages table: the text of the article element."""
+    want = {}
+    for r in spark.read.parquet(f"{h.SF}/pages.parquet").collect():
+        inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        want[r.page_id] = " ".join(html.unescape(re.sub("<[^>]+>", "", re.sub(r"</?(p|br|h1)[^>]*>", " ", inner))).split())
+    got = queries()["op1_html_extract"](spark, h.SF).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_gumbel_samples_by_weight(spark):
     """Keys of weight w win the top place with probability w / sum."""
     rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
