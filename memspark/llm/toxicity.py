@@ -14,6 +14,8 @@ from .common import Work, clean_columns, pieces, put
 
 BITS = 20
 SIZES = (4, 5, 6)
+#: Tasks that the bounded sample's features are counted in; each sends its counts to the driver.
+FIT_TASKS = 16
 _MUL = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -101,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
     sample = work.save(part[0].union(part[1]), "sample")  # 2 * per_class rows at most, so it may be broadcast
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     train = work.save(slim.join(F.broadcast(sample), "_id").select("_y", "_t"), "train")
+    dealt = train.repartition(FIT_TASKS)
 
     def count(batches):
         found = np.zeros((2, 1 << BITS), np.int32)
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
             yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([f.astype(np.uint32).tobytes()]), pa.array([found[:, f].tobytes()])], names=["rows", "f", "found"])
 
     found, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in train.mapInArrow(count, "rows binary, f binary, found binary").toLocalIterator():
+    for r in dealt.mapInArrow(count, "rows binary, f binary, found binary").collect():  # FIT_TASKS rows
         f = np.frombuffer(r["f"], np.uint32)
         found[:, f] += np.frombuffer(r["found"], np.int32).reshape(2, -1)
         rows += np.frombuffer(r["rows"], np.int64)
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
                 yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_numpy().astype(np.int8).tobytes()]), pa.array([doc.astype(np.uint32).tobytes()]), pa.array([f.astype(np.uint32).tobytes()])], names=["y", "doc", "f"])
 
     ys, docs_, fs, at = [], [], [], 0
-    for r in train.mapInArrow(featurise, "y binary, doc binary, f binary").toLocalIterator():
+    for r in dealt.mapInArrow(featurise, "y binary, doc binary, f binary").collect():  # features of the bounded sample
         ys.append(np.frombuffer(r["y"], np.int8))
         docs_.append(np.frombuffer(r["doc"], np.uint32).astype(np.int64) + at)
         fs.append(np.frombuffer(r["f"], np.uint32).astype(np.int64))
