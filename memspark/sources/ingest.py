@@ -13,9 +13,9 @@ ITEM = "struct<content:string,type:string,knowledge_type:string,source:string,ti
 
 
 def json_shape(raw: Column) -> Column:
-    """lpmm_openie, script_json or web_json, by the keys of the document."""
+    """Openie, script_json or web_json, by the keys of the document."""
     has = lambda k: F.get_json_object(raw, f"$.{k}").isNotNull()
-    return F.when(has("docs"), "lpmm_openie").when(has("paragraphs") & (has("entities") | has("relations")), "script_json").when(has("paragraphs"), "web_json").otherwise("unknown")
+    return F.when(has("docs"), "openie").when(has("paragraphs") & (has("entities") | has("relations")), "script_json").when(has("paragraphs"), "web_json").otherwise("unknown")
 
 
 def json_units(files: DataFrame) -> dict[str, DataFrame]:
@@ -23,8 +23,8 @@ def json_units(files: DataFrame) -> dict[str, DataFrame]:
     body = F.from_json("raw", "paragraphs array<string>, entities array<string>, relations array<struct<subject:string,predicate:string,object:string>>, docs array<struct<passage:string,extracted_triples:array<array<string>>,extracted_entities:array<string>>>")
     f = files.select("path", json_shape(F.col("raw")).alias("shape"), body.alias("b"))
     item = F.when(F.col("p").startswith("{"), F.from_json("p", ITEM))
-    p = f.where("shape != 'lpmm_openie'").select("path", F.posexplode("b.paragraphs").alias("ord", "p")).select("path", "ord", F.coalesce(item["content"], F.when(~F.col("p").startswith("{"), F.col("p"))).alias("content"), item.alias("item"))
-    d = f.where("shape = 'lpmm_openie'").select("path", F.posexplode("b.docs").alias("ord", "d"))
+    p = f.where("shape != 'openie'").select("path", F.posexplode("b.paragraphs").alias("ord", "p")).select("path", "ord", F.coalesce(item["content"], F.when(~F.col("p").startswith("{"), F.col("p"))).alias("content"), item.alias("item"))
+    d = f.where("shape = 'openie'").select("path", F.posexplode("b.docs").alias("ord", "d"))
     empty = F.array().cast("array<string>")
     triple = "array<struct<subject:string,predicate:string,object:string>>"
     of_docs = F.transform(F.filter(F.coalesce("d.extracted_triples", F.array().cast("array<array<string>>")), lambda t: F.size(t) == 3), lambda t: F.struct(t[0].alias("subject"), t[1].alias("predicate"), t[2].alias("object")))
