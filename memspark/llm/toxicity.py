@@ -14,7 +14,7 @@ from .common import Work, clean_columns, pieces, put
 
 BITS = 20
 SIZES = (4, 5, 6)
-#: Tasks that the bounded sample's features are counted in; each sends its counts to the driver.
+#: Tasks that the bounded sample's features are counted in.
 FIT_TASKS = 16
 _MUL = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
@@ -120,13 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
             yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([f.astype(np.uint32).tobytes()]), pa.array([found[:, f].tobytes()])], names=["rows", "f", "found"])
 
     found, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in dealt.mapInArrow(count, "rows binary, f binary, found binary").collect():  # FIT_TASKS rows
+    # Written by all tasks at once, then read one part after the other: the driver never holds all counts.
+    for r in work.save(dealt.mapInArrow(count, "rows binary, f binary, found binary"), "counts").toLocalIterator():
         f = np.frombuffer(r["f"], np.uint32)
         found[:, f] += np.frombuffer(r["found"], np.int32).reshape(2, -1)
         rows += np.frombuffer(r["rows"], np.int64)
     slot = np.full(1 << BITS, -1, np.int32)
     if not rows.all():
-        work.drop("marked", "sample", "train")
+        work.drop("marked", "sample", "train", "counts", "features")
         return Model(slot, np.zeros(0), np.inf if rows[1] else -np.inf)
     ratio = np.log((found[1] + 1) / (rows[1] + 2)) - np.log((found[0] + 1) / (rows[0] + 2))
     error = np.sqrt(1 / (found[0] + 1) + 1 / (found[1] + 1))
@@ -144,14 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
                 yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_numpy().astype(np.int8).tobytes()]), pa.array([doc.astype(np.uint32).tobytes()]), pa.array([f.astype(np.uint32).tobytes()])], names=["y", "doc", "f"])
 
     ys, docs_, fs, at = [], [], [], 0
-    for r in dealt.mapInArrow(featurise, "y binary, doc binary, f binary").collect():  # features of the bounded sample
+    for r in work.save(dealt.mapInArrow(featurise, "y binary, doc binary, f binary"), "features").toLocalIterator():
         ys.append(np.frombuffer(r["y"], np.int8))
         docs_.append(np.frombuffer(r["doc"], np.uint32).astype(np.int64) + at)
         fs.append(np.frombuffer(r["f"], np.uint32).astype(np.int64))
         at += len(ys[-1])
     sent.destroy()
     weight, bias = logistic(np.concatenate(docs_), np.concatenate(fs), ratio[use], np.concatenate(ys).astype(float))
-    work.drop("marked", "sample", "train")
+    work.drop("marked", "sample", "train", "counts", "features")
     prior = np.log(total[1] / total[0])  # the regression saw either class as often
     return Model(slot, weight, bias + float(prior))
 
