@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from ..config import Episode
 from ..functions import text as tx
 from .dml import first_by
 from .fusion import rrf
+from .knn import in_blocks
 
 GRAINS = ("minute", "hour", "day", "month", "year")
 
@@ -151,8 +154,8 @@ def settle(queue: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
 
 def lexical(episodes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """4 for the title, 3 for keywords, 2 for the summary, 1 for participants that contain the query's text."""
-    q = queries.select("query_id", F.lower(F.trim("text")).alias("t")).where("t != ''").limit(2000)  # queries of one call
-    j = episodes.crossJoin(F.broadcast(q))
+    q = queries.select("query_id", F.lower(F.trim("text")).alias("t")).where("t != ''")
+    j = reduce(DataFrame.unionByName, [episodes.crossJoin(F.broadcast(part)) for part in in_blocks(q, "query_id")])  # a block's size is bounded
     inside = lambda c: F.lower(c).contains(F.col("t")).cast("int")
     score = 4 * inside(F.coalesce("title", F.lit(""))) + 3 * inside(F.concat_ws(" ", "keywords")) + 2 * inside(F.coalesce("summary", F.lit(""))) + inside(F.concat_ws(" ", "participants"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("event_time_end"), F.desc("updated_at"), "episode_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .dml import append_snapshots, first_by
 from .joins import active_persons
+from .knn import in_blocks
 
 
 def aliases(persons: DataFrame) -> DataFrame:
@@ -28,8 +31,9 @@ def resolve(persons: DataFrame, wanted: DataFrame) -> DataFrame:
     by_id = wanted.join(persons.select("person_id"), F.col("key") == F.col("person_id")).select("key", "person_id", F.lit(0).alias("r"))
     al = aliases(persons)
     exact = wanted.withColumn("k", k).join(al.withColumn("k", F.lower("alias")), "k").select("key", "person_id", F.when(F.col("rank") <= 1, 1).otherwise(2).alias("r"))
-    keys = wanted.limit(1000)  # keys of one call
-    part = al.where("rank > 1").crossJoin(F.broadcast(keys)).where(F.lower("alias").contains(k)).select("key", "person_id", F.lit(3).alias("r"))
+    nicks = al.where("rank > 1")
+    pairs = reduce(DataFrame.unionByName, [nicks.crossJoin(F.broadcast(keys)) for keys in in_blocks(wanted, "key")])  # a block's size is bounded
+    part = pairs.where(F.lower("alias").contains(k)).select("key", "person_id", F.lit(3).alias("r"))
     return first_by(by_id.unionByName(exact).unionByName(part), ["key"], F.col("r"), F.col("person_id")).select("key", "person_id")
 
 

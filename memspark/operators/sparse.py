@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.snapshot import cut
+from .knn import in_blocks
 
 MOST_TERMS, MOST_FALLBACK_TERMS = 64, 32
 
@@ -77,8 +80,8 @@ def substring_search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str
     """0.8 * share of tokens contained + 0.2 * matched characters / length."""
     q = queries.select("query_id", F.slice(tx.tokens(F.col("text"), mode, n), 1, MOST_FALLBACK_TERMS).alias("terms")).where(F.size("terms") > 0)
     text = F.lower(F.coalesce("content", F.lit("")))
-    bounded = q.limit(2000)  # queries of one call
-    pairs = docs.select("hash", text.alias("t")).crossJoin(F.broadcast(bounded))
+    d = docs.select("hash", text.alias("t"))
+    pairs = reduce(DataFrame.unionByName, [d.crossJoin(F.broadcast(part)) for part in in_blocks(q, "query_id")])  # a block's size is bounded
     found = F.filter("terms", lambda x: F.col("t").contains(x))
     chars = F.aggregate(found, F.lit(0), lambda s, x: s + F.char_length(x))
     score = 0.8 * F.size(found) / F.size("terms") + 0.2 * F.least(F.lit(1.0), chars / F.greatest(F.char_length("t"), F.lit(1)))
