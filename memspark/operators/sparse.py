@@ -44,7 +44,7 @@ def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, mode: str = "word", n: int = 2, live: Column | None = None) -> DataFrame:
-    """(query_id, hash, score, rank). The statistics are those of all docs; `live` filters what is returned.
+    """(query_id, hash, score, rank). The statistics are those of all docs; `live` filters before the k best are taken.
 
     idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6. Terms that no query has are dropped before anything is shuffled.
     """

@@ -44,17 +44,19 @@ class Engine:
         return hits.join(p, "hash")
 
     def paragraphs(self, queries: DataFrame, k: int | None = None, lower: float | None = None, upper: float | None = None, source: str | None = None) -> DataFrame:
-        """Dense and sparse recall, gated, filtered, fused. Time and source are filtered before the neighbours are sought."""
+        """Dense and sparse recall, filtered, gated, fused. Deleted rows, time and source are filtered before the best of either are taken."""
         c = self.config
         k = knn.scan_k(k or c.top_k_paragraphs, lower is not None or upper is not None, c.temporal_multiplier, c.max_scan)
-        live = self._live() if source is None else self._live().where(F.col("source") == source)
+        wanted = F.expr(LIVE)
+        if source is not None:
+            wanted = wanted & (F.col("source") == source)
         if lower is not None or upper is not None:
-            live = live.where(overlaps(effective_start(), effective_end(), lower, upper))
+            wanted = wanted & overlaps(effective_start(), effective_end(), lower, upper)
+        live = self.store["paragraph"].where(wanted)
         vectors = self.store["vector"].where("item_type = 'paragraph'").join(live.select("hash"), "hash", "left_semi")
         dense = cut(knn.search(vectors, queries, k).select("query_id", "hash", "score"))
         use = sparse.gate(queries, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id")
-        words = sparse.bm25(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, c.sparse.k1, c.sparse.b)
-        words = words.join(live.select("hash"), "hash", "left_semi").select("query_id", "hash", "score")
+        words = sparse.bm25(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, c.sparse.k1, c.sparse.b, live=wanted).select("query_id", "hash", "score")
         return fusion.rrf([(dense, c.fusion.vector_weight), (fusion.minmax(words), c.fusion.sparse_weight)], c.fusion.rrf_k)
 
     def relations(self, queries: DataFrame, k: int | None = None) -> DataFrame:

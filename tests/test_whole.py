@@ -1,6 +1,10 @@
 """Operators do the whole job: no query, row or link beyond a fixed number is left out."""
 
+from dataclasses import replace
+
+from memspark.config import Config
 from memspark.operators import episode, profile, sparse
+from memspark.plans.engine import Engine
 from pyspark.sql import functions as F
 
 
@@ -24,3 +28,14 @@ def test_profile_resolve_matches_every_key(spark):
     w = spark.range(2500).select(F.concat(F.lit("<"), "id", F.lit(">")).alias("key"))
     got = profile.resolve(p, w)
     assert got.count() == 2500 and got.where("person_id = concat('p', substring(key, 2, length(key) - 2))").count() == 2500
+
+
+def test_sparse_recall_ranks_only_rows_in_the_window(spark):
+    """Ninety short rows score better, but are deleted, too early or of another source."""
+    rows = [(f"h{i:03d}", "tea", "s1" if i % 3 else "s2", i % 3 == 1, 50.0 if i % 3 == 0 else 5.0) for i in range(90)] + [("hit", "tea " + "and other words " * 9, "s1", False, 50.0), ("none", "coffee", "s1", False, 50.0)]
+    p = spark.createDataFrame(rows, "hash string, content string, source string, is_deleted boolean, created_at double").selectExpr("*", "cast(null as double) event_time", "cast(null as double) event_time_start", "cast(null as double) event_time_end")
+    v = spark.createDataFrame([], "hash string, item_type string, embedding array<float>")
+    q = spark.createDataFrame([(1, "tea", None)], "query_id int, text string, embedding array<float>")
+    config = Config(sparse=replace(Config().sparse, candidate_k=1))
+    got = Engine({"paragraph": p, "vector": v}, config).paragraphs(q, lower=40.0, upper=60.0, source="s1").collect()
+    assert [r.hash for r in got] == ["hit"]
