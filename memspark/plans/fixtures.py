@@ -150,6 +150,32 @@ class Fixtures:
         return {k: getattr(self, k) for k in ("entity", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "vector", "deleted_relation", "rebuild_source", "episode", "episode_paragraph")} | {"paragraph": self.para}
 
 
+class Whole(Fixtures):
+    """The same store without a cut: every 100th row asks with its whole text, all paragraphs can have links, all lines make the lists."""
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        """Texts and embeddings with an id divisible by 100; one without the other asks with what it has."""
+        d = self.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), tx.normalize(F.col("text")).alias("text"))
+        e = self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        return d.join(e, "query_id", "full").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def _linked(self, keyed: DataFrame) -> DataFrame:
+        """Rows with a key, each with the paragraph whose doc_id is the key modulo the number of documents."""
+        n = self.table("documents").agg(F.count(F.lit(1)).alias("_n"))
+        p = self.para.select(F.col("hash").alias("paragraph_hash"), "doc_id")
+        return keyed.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("key") % F.col("_n")).join(p, "doc_id")  # one row
+
+    @cached_property
+    def paragraph_relation(self) -> DataFrame:
+        return self._linked(self.relation.select(F.col("hash").alias("relation_hash"), "key")).select("paragraph_hash", "relation_hash")
+
+    @cached_property
+    def paragraph_entity(self) -> DataFrame:
+        c = self.table("customer").select(tx.entity_hash(F.col("c_name")).alias("entity_hash"), F.col("c_custkey").alias("key"), (1 + F.col("c_custkey") % 3).cast("int").alias("mention_count"))
+        return self._linked(c).select("paragraph_hash", "entity_hash", "mention_count")
+
+
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g')"
 _SQL = {
     "para": rf"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM (
@@ -183,6 +209,19 @@ _SQL = {
 }
 _NEEDS = {"entity": ["names"], "relation": ["triples"], "edge": ["relation"], "node": ["names"], "paragraph_relation": ["para", "relation"], "paragraph_entity": ["para"], "deleted_relation": ["relation"], "episode": ["para"], "episode_paragraph": ["para"]}
 
+_WHOLE_SQL = {
+    "queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
+    "paragraph_relation": "SELECT p.hash AS paragraph_hash, r.hash AS relation_hash FROM relation r CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = r.key % m",
+    "paragraph_entity": "SELECT p.hash AS paragraph_hash, sha256(lower(trim(c_name))) AS entity_hash, (1 + c_custkey % 3)::INT AS mention_count FROM customer CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = c_custkey % m",
+}
+
+
+def whole_sql(sql: str) -> str:
+    """SQL made by with_tables, over the tables of Whole."""
+    for name, body in _WHOLE_SQL.items():
+        sql = sql.replace(f"{name} AS ({_SQL[name]})", f"{name} AS ({body})")
+    return sql
+
 
 def with_tables(names: str, body: str) -> str:
     """`body` after the definitions of the named tables and what these need."""

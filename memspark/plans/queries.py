@@ -14,17 +14,19 @@ from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusio
 from ..sources import ingest, readers
 from ..sources.snapshot import cut
 from .engine import Engine, parse_relation_query
-from .fixtures import NOW, T0, Fixtures, with_tables
+from .fixtures import NOW, T0, Fixtures, Whole, whole_sql, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+MADE: dict[str, Callable[[Fixtures], DataFrame]] = {}
 R = 6
 
 
 def query(tables: str = "", sql: str | None = None):
     """Registers f(fixtures) under its name, with the SQL over the named derived tables."""
     def add(f: Callable[[Fixtures], DataFrame]):
+        MADE[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = with_tables(tables, sql) if tables else sql
@@ -657,8 +659,28 @@ def eval_query_set(x: Fixtures):
 @query()
 def hybrid_search(x: Fixtures):
     """The flagship: dense, sparse and graph recall fused, thresholded, deduplicated."""
+    x = Whole(x.spark, x.dir)
     v = x.vector.select(F.col("hash").alias("v"), "item_type", "embedding").withColumn("doc_id", F.expr("cast(substring(v, 2) as bigint)"))
-    vectors = v.join(x.para.select("hash", "doc_id"), "doc_id").select("hash", F.lit("paragraph").alias("item_type"), "embedding")
+    vectors = v.where("item_type = 'paragraph'").join(x.para.select("hash", "doc_id"), "doc_id").select("hash", "item_type", "embedding")
+    # A relation's vector belongs to where the customer of that number is.
+    c = x.table("customer").select(F.col("c_name").alias("subject"), F.col("c_custkey").alias("doc_id"))
+    r = x.relation.where("predicate = 'located_in'").join(c, "subject").select("hash", "doc_id")
+    vectors = vectors.unionByName(v.where("item_type = 'relation'").join(r, "doc_id").select("hash", "item_type", "embedding"))
+    # Negative ids: questions for a nation's relation, without an embedding.
+    n = x.table("nation").join(x.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = n.select((-1 - F.col("n_nationkey")).cast("bigint").alias("query_id"), F.concat_ws("|", "n_name", F.lit("part_of"), "r_name").alias("text"), F.lit(None).cast("array<float>").alias("embedding"))
     made = {t: x.store[t] if t in ("relation", "edge") else cut(x.store[t]) for t in ("paragraph", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "entity")}
-    found = Engine(made | {"vector": cut(vectors)}).search(cut(x.queries))
+    found = Engine(made | {"vector": cut(vectors)}).search(cut(x.queries.unionByName(asked)))
     return found.select("query_id", "hash", r6("score"), "result_type", "rank", "source")
+
+
+def _register_whole(name: str, sql: bool = True) -> None:
+    """NAME_whole: the query over Whole, with its SQL over the same."""
+    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: MADE[name](Whole(spark, sf_dir))
+    if sql:
+        ORACLES[f"{name}_whole"] = whole_sql(ORACLES[name])
+
+
+_register_whole("knn_top_k")
+_register_whole("knn_filtered")
+_register_whole("bm25_paragraphs", sql=False)

@@ -1,12 +1,20 @@
 """Operators do the whole job: no query, row or link beyond a fixed number is left out."""
 
+import math
+import re
+from collections import Counter
 from dataclasses import replace
 
+import pytest
 from memspark.config import Config
 from memspark.operators import episode, profile, sparse
 from memspark.plans.engine import Engine
+from memspark.plans.fixtures import Whole
+from memspark.plans.queries import QUERIES
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_episode_lexical_answers_every_query(spark):
     e = spark.createDataFrame([("e1", "about notes", ["k"], "s", ["Ann"], 1.0, 1.0)], "episode_id string, title string, keywords array<string>, summary string, participants array<string>, event_time_end double, updated_at double")
@@ -39,3 +47,29 @@ def test_sparse_recall_ranks_only_rows_in_the_window(spark):
     config = Config(sparse=replace(Config().sparse, candidate_k=1))
     got = Engine({"paragraph": p, "vector": v}, config).paragraphs(q, lower=40.0, upper=60.0, source="s1").collect()
     assert [r.hash for r in got] == ["hit"]
+
+
+def test_bm25_of_every_100th_whole_text(spark):
+    """Against brute force: 64 first distinct words of the whole text, all paragraphs."""
+    words = lambda t: re.findall(r"\w+", t.lower())
+    x = Whole(spark, SF)
+    docs = {r.hash: words(r.content) for r in x.para.select("hash", "content").collect()}
+    asked = {r.query_id: list(dict.fromkeys(words(r.text)))[:64] for r in x.queries.where("text != ''").collect()}
+    assert set(asked) == set(range(0, 200, 100)) and max(map(len, asked.values())) > 12
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    tf = {h: Counter(ts) for h, ts in docs.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    want = {}
+    for q, ts in asked.items():
+        scores = {h: sum(max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(docs[h]) / mean)) for t in ts if t in c) for h, c in tf.items() if any(t in c for t in ts)}
+        want |= {(q, h): s for s, h in sorted(((s, h) for h, s in scores.items()), key=lambda y: (-y[0], y[1]))[:80]}
+    got = {(r.query_id, r.hash): r.score for r in QUERIES["bm25_paragraphs_whole"](spark, SF).collect()}
+    assert len(got) == len(want)
+    assert sorted(got.values()) == pytest.approx(sorted(want.values()), abs=2e-6)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got.keys() & want.keys()) and len(got.keys() & want.keys()) >= 0.95 * len(want)
+
+
+def test_hybrid_search_asks_with_every_100th_row_and_for_relations(spark):
+    got = QUERIES["hybrid_search"](spark, SF).toPandas()
+    assert {0, 100, 200, 300, 400} <= set(got.query_id) and (got.query_id < 0).sum() > 0
+    assert {"paragraph", "relation"} <= set(got.result_type)
