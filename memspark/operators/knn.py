@@ -60,24 +60,26 @@ def training_sample(vectors: DataFrame, n: int = 10_000, seed: int = 42) -> Data
     return vectors.orderBy(F.xxhash64(F.lit(seed), "hash"), "hash").limit(n)
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, planes: int = 6, tables: int = 12, seed: int = 5) -> DataFrame:
-    """Approximate search: signs against `planes` fixed hyperplanes give a bucket in each of `tables` tables; candidates are scored exactly."""
-    def side(v, plane: int):
-        """Which side of a fixed hyperplane the vector is on."""
-        part = lambda x, i: x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(plane), i), F.lit(2001)) - 1000) / 1000.0
-        return (F.aggregate(F.transform(v, part), F.lit(0.0), lambda s, x: s + x) >= 0).cast("int")
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, planes: int = 6, tables: int = 12, seed: int = 5, probes: int = 4) -> DataFrame:
+    """Approximate search: signs against `planes` fixed hyperplanes give a bucket in each of `tables` tables; candidates are scored exactly.
 
-    def bucket(v, t: int):
-        bits = F.lit(0)
-        for p in range(planes):
-            bits = bits * 2 + side(v, t * planes + p)
-        return F.struct(F.lit(t).alias("t"), bits.alias("b"))
+    A query also looks into the `probes` buckets across the hyperplanes that it is nearest to, one crossed at a time.
+    """
+    def margin(v, plane: int):
+        """How far, and on which side of, a fixed hyperplane the vector is."""
+        part = lambda x, i: x * (F.pmod(F.xxhash64(F.lit(seed), F.lit(plane), i), F.lit(2001)) - 1000) / 1000.0
+        return F.aggregate(F.transform(v, part), F.lit(0.0), lambda s, x: s + x)
 
-    def coded(df: DataFrame, name: str) -> DataFrame:
+    def coded(df: DataFrame, name: str, probes: int = 0) -> DataFrame:
         unit = df.where(vx.is_valid(F.col("embedding"))).withColumn(name, vx.normalize(F.col("embedding"))).drop("embedding")
-        return unit.select("*", F.inline(F.array(*[bucket(F.col(name), t) for t in range(tables)])))
-
-    q, v = coded(queries.select("query_id", "embedding"), "_q"), coded(vectors.select("hash", "embedding"), "_v")
+        table = lambda t: F.struct(F.lit(t).alias("t"), F.array(*[F.struct(margin(F.col(name), t * planes + p).alias("m"), F.lit(1 << (planes - 1 - p)).alias("bit")) for p in range(planes)]).alias("sides"))
+        sides = unit.select("*", F.inline(F.array(*[table(t) for t in range(tables)])))
+        base = F.aggregate("sides", F.lit(0), lambda s, x: s + F.when(x["m"] >= 0, x["bit"]).otherwise(0))
+        near = F.slice(F.array_sort(F.transform("sides", lambda x: F.struct(F.abs(x["m"]).alias("m"), x["bit"].alias("bit")))), 1, probes)
+        every = F.concat(F.array("b"), F.transform(near, lambda x: F.col("b").bitwiseXOR(x["bit"])))
+        return sides.withColumn("b", base).withColumn("b", F.explode(every)).drop("sides")
+
+    q, v = coded(queries.select("query_id", "embedding"), "_q", probes), coded(vectors.select("hash", "embedding"), "_v")
     pairs = q.join(v, ["t", "b"]).select("query_id", "hash", vx.dot(F.col("_q"), F.col("_v")).alias("score")).dropDuplicates(["query_id", "hash"])
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hash"))).where(F.col("rank") <= k)
 

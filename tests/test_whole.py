@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import pytest
 from memspark.config import Config
-from memspark.operators import episode, profile, sparse
+from memspark.operators import episode, knn, profile, sparse
 from memspark.plans.engine import Engine
 from memspark.plans.fixtures import Whole
 from memspark.plans.queries import QUERIES
@@ -73,3 +73,12 @@ def test_hybrid_search_asks_with_every_100th_row_and_for_relations(spark):
     got = QUERIES["hybrid_search"](spark, SF).toPandas()
     assert {0, 100, 200, 300, 400} <= set(got.query_id) and (got.query_id < 0).sum() > 0
     assert {"paragraph", "relation"} <= set(got.result_type)
+
+
+def test_lsh_recall_with_its_defaults(spark):
+    """Recall of the ten nearest over the whole 64-dimensional table, every 100th row asking."""
+    x = Whole(spark, "/root/testdata/sf0.1")
+    near = {q: {(r.query_id, r.hash) for r in search(x.vector, x.queries, 10).collect()} for q, search in (("exact", knn.search), ("lsh", knn.lsh_search))}
+    recall = len(near["exact"] & near["lsh"]) / len(near["exact"])
+    print(f"recall {recall}")
+    assert len(near["exact"]) == 200 and recall >= 0.9
