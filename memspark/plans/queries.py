@@ -684,3 +684,6 @@ def _register_whole(name: str, sql: bool = True) -> None:
 _register_whole("knn_top_k")
 _register_whole("knn_filtered")
 _register_whole("bm25_paragraphs", sql=False)
+for _name in "join_bridge time_best_support join_episode_relations mention_count_merge delete_source_cascade join_person_semi join_gc_paragraphs join_gc_entities".split():
+    _register_whole(_name)
+_register_whole("episode_fallback", sql="episode_fallback" in ORACLES)

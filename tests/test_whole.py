@@ -82,3 +82,13 @@ def test_lsh_recall_with_its_defaults(spark):
     recall = len(near["exact"] & near["lsh"]) / len(near["exact"])
     print(f"recall {recall}")
     assert len(near["exact"]) == 200 and recall >= 0.9
+
+
+def test_links_reach_paragraphs_beyond_1000(spark):
+    """At sf0.1 every paragraph number is some key modulo the number of documents; the tables of the cut store end at 999."""
+    x = Whole(spark, "/root/testdata/sf0.1")
+    p = x.para.select(F.col("hash").alias("paragraph_hash"), "doc_id")
+    n = p.count()
+    for links in (x.paragraph_entity, x.paragraph_relation):
+        assert links.select("paragraph_hash").distinct().count() > 0.99 * n
+    assert QUERIES["join_bridge_whole"](spark, "/root/testdata/sf0.1").select("paragraph_hash").distinct().count() > 0.99 * n
