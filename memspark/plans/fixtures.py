@@ -175,6 +175,10 @@ class Whole(Fixtures):
         c = self.table("customer").select(tx.entity_hash(F.col("c_name")).alias("entity_hash"), F.col("c_custkey").alias("key"), (1 + F.col("c_custkey") % 3).cast("int").alias("mention_count"))
         return self._linked(c).select("paragraph_hash", "entity_hash", "mention_count")
 
+    @cached_property
+    def words(self) -> DataFrame:
+        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("hash")).agg((F.sum("l_quantity") / 100).cast("double").alias("score"))
+
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g')"
 _SQL = {
@@ -213,6 +217,7 @@ _WHOLE_SQL = {
     "queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
     "paragraph_relation": "SELECT p.hash AS paragraph_hash, r.hash AS relation_hash FROM relation r CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = r.key % m",
     "paragraph_entity": "SELECT p.hash AS paragraph_hash, sha256(lower(trim(c_name))) AS entity_hash, (1 + c_custkey % 3)::INT AS mention_count FROM customer CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = c_custkey % m",
+    "words": "SELECT l_suppkey AS query_id, 'p' || l_partkey AS hash, (sum(l_quantity) / 100)::DOUBLE AS score FROM lineitem GROUP BY 1, 2",
 }
 
 

@@ -687,3 +687,5 @@ _register_whole("bm25_paragraphs", sql=False)
 for _name in "join_bridge time_best_support join_episode_relations mention_count_merge delete_source_cascade join_person_semi join_gc_paragraphs join_gc_entities".split():
     _register_whole(_name)
 _register_whole("episode_fallback", sql="episode_fallback" in ORACLES)
+for _name in "fuse_rrf merge_relations_max merge_relations_graph fuse_alpha_dedup aggregate_mix".split():
+    _register_whole(_name, sql=_name in ORACLES)

@@ -92,3 +92,9 @@ def test_links_reach_paragraphs_beyond_1000(spark):
     for links in (x.paragraph_entity, x.paragraph_relation):
         assert links.select("paragraph_hash").distinct().count() > 0.99 * n
     assert QUERIES["join_bridge_whole"](spark, "/root/testdata/sf0.1").select("paragraph_hash").distinct().count() > 0.99 * n
+
+
+def test_words_come_from_all_lines(spark):
+    x = Whole(spark, SF)
+    assert x.words.agg(F.sum("score")).first()[0] == pytest.approx(x.table("lineitem").agg(F.sum("l_quantity") / 100).first()[0])
+    assert QUERIES["fuse_rrf_whole"](spark, SF).count() > 0
