@@ -131,15 +131,15 @@ def unpack(body: bytes) -> pa.RecordBatch:
     return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], t.schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut or left so that each holds about `most` bytes of text, and one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Batches cut or left so that each holds about `most` bytes of text and `rows` rows at most, and one row at least."""
     for b in batches:
         if not b.num_rows:
             continue
         _, off = texts_of(b, col)
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
+            end = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1))
             yield b.slice(at, end - at)
             at = end
 

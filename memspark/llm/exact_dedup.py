@@ -17,6 +17,10 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def digest(c: Column) -> Column:
+    return F.unhex(F.sha2(c, 256))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_batch: int = 256 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -33,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Work(spark, "exact")
     body = F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))
     base = work.save(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).select("doc_id", F.unhex(F.sha2("body", 256)).alias("digest"), F.monotonically_increasing_id().alias("locator"), "body"),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).select("doc_id", digest(F.col("body")).alias("digest"), F.monotonically_increasing_id().alias("locator"), "body"),
         "base",
     )
     keeper = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "locator")
@@ -67,12 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Partial minima and maxima leave one row of a group for each task, however large the group.
     same = base.select("digest", "body").join(F.broadcast(hits) if small else hits, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
-    mixed = [bytes(r.digest) for r in same.where("lo != hi").select("digest").limit(1000).collect()]
+    mixed = work.save(same.where("lo != hi").select("digest"), "mixed")
     rows = base.select("doc_id", "locator", "digest")
-    if mixed:  # two texts with one SHA-256: group these by their bytes
-        odd = F.col("digest").isin(mixed)
-        split = base.where(odd).groupBy("digest", "body").agg(F.max(keeper).alias("keeper"), F.count(F.lit(1)).alias("n"))
-        joined = rows.where(~odd).join(groups, "digest").unionByName(base.where(odd).join(split, ["digest", "body"]).drop("body"))
+    if not mixed.isEmpty():  # two texts with one SHA-256: group these by their bytes
+        odd = base.join(mixed, "digest", "left_semi")
+        split = odd.groupBy("digest", "body").agg(F.max(keeper).alias("keeper"), F.count(F.lit(1)).alias("n"))
+        joined = rows.join(mixed, "digest", "left_anti").join(groups, "digest").unionByName(odd.join(split, ["digest", "body"]).drop("body"))
     else:
         joined = rows.join(groups, "digest")
     return joined.select(

@@ -17,9 +17,12 @@ from .shingles import shingle_sets
 #: 5, 6 or 7 values in none of 40 orders with probability 1.2e-7, 5e-6 or 8e-5.
 TREES, DEPTH, CROWD = 40, 5, (32, 128)
 DEEP = DEPTH + len(CROWD)
-#: Distinct sets that one task compares; larger candidate components are compared block by block.
-BLOCK = 10_000
-BROADCAST_ROWS = 250_000
+#: Distinct sets, and shingles of these, that a block holds; larger candidate components are compared block by block.
+BLOCK, BLOCK_SHINGLES = 10_000, 2_000_000
+#: Postings that are looked at together when one set is compared with all others.
+STEP = 1 << 22
+#: A set's number: 24 bits of task, 24 of chunk, 15 of its place in the chunk.
+CHUNK_BITS, SET_BITS = 24, 15
 ENTRY = np.dtype([("uid", "<i8"), ("tree", "<u2"), ("v", "<u2", (DEEP,))])
 CHUNK = "gid bigint, body binary, docs array<struct<doc_id:bigint,n:bigint,uid:bigint,set_id:binary>>, probes array<struct<shard:int,entries:binary>>"
 
@@ -121,8 +124,13 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
         t, n = t[n > 1], n[n > 1]
         if not len(t):
             continue
-        at = np.repeat(start[t] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=m)
+        common, ends, k = np.zeros(m, np.int64), np.cumsum(n), 0
+        while k < len(t):  # in steps, to bound the arrays when many sets share many terms
+            z = max(k + 1, int(np.searchsorted(ends, ends[k] - n[k] + STEP, side="right")))
+            some = n[k:z]
+            at = np.repeat(start[t[k:z]] - np.append(0, np.cumsum(some)[:-1]), some) + np.arange(some.sum())
+            common += np.bincount(owner[at], minlength=m)
+            k = z
         for j in np.flatnonzero(100 * common >= percent * np.maximum(size + size[i] - common, 1)).tolist():
             a, b = find(i), find(j)
             if a != b:
@@ -150,16 +158,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def send(batches):
-        factors, gid = _multipliers(), group_seed()
+        factors, gid = _multipliers(), group_seed() >> (32 - CHUNK_BITS)
         entry = pa.list_(pa.struct([("shard", pa.int32()), ("entries", pa.binary())]))
         doc = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("set_id", pa.binary())]))
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 2 << 20, 1 << SET_BITS):
             sets = shingle_sets(*texts_of(b, "text"), words)
             seen, rows, signatures = {}, [], []
             for i, s in zip(ids_of(b, "doc_id").tolist(), sets, strict=True):
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 if key not in seen:
-                    seen[key] = (gid << 20) + len(seen)
+                    seen[key] = (gid << SET_BITS) + len(seen)
                     if len(s):
                         signatures.append((seen[key], signature(s, factors)))
                 rows.append({"doc_id": i, "n": len(s), "uid": seen[key], "set_id": key})
@@ -201,18 +209,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = components(links, work).select(F.col("node").alias("uid"), F.col("label").alias("comp"))
     rows = chunks.select(F.inline("docs"))
     # Of equal sets one is compared; components with one distinct set are done.
-    sets = rows.where("n > 0").select("uid", "set_id").join(near, "uid").groupBy("comp", "set_id").agg(F.min("uid").alias("uid"))
+    sets = rows.where("n > 0").select("uid", "set_id", "n").join(near, "uid").groupBy("comp", "set_id").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
     sets = work.save(sets, "sets")
-    sized = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    todo = work.save(sets.join(sized, "comp"), "todo")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    sized = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    todo = work.save(sets.drop("n").join(sized, "comp"), "todo")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     parts = todo.withColumn("blocks", blocks).withColumn("own", own)
     parts = parts.select("comp", "uid", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
     parts = parts.select("comp", "uid", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     n_todo = todo.count()
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_todo // 4000)
-    wanted = parts.select(F.shiftright("uid", 20).alias("gid"), "uid", "comp", "i", "j", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks)).cast("int").alias("task"))
+    wanted = parts.select(F.shiftright("uid", SET_BITS).alias("gid"), "uid", "comp", "i", "j", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks)).cast("int").alias("task"))
     wanted = wanted.groupBy("gid").agg(F.collect_list(F.struct("uid", "comp", "i", "j", "task")).alias("wanted"))
 
     def fetch(batches):

@@ -1,5 +1,7 @@
 """Exact, line, substring and near dedup against brute force."""
 
+import random
+
 import pytest
 from memspark.llm.exact_dedup import exact_dedup
 from memspark.llm.line_dedup import line_dedup
@@ -73,16 +75,58 @@ def test_near(spark, words):
     assert got[None].component_id is None and got[None].kept
 
 
-def test_near_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("by_sets, by_shingles", [(3, 10**9), (10**9, 400)])
+def test_near_in_blocks(spark, monkeypatch, by_sets, by_shingles):
     """Components too large for a task are compared block by block, with the same result."""
     import memspark.llm.near_dedup as m
 
-    monkeypatch.setattr(m, "BLOCK", 3)
+    monkeypatch.setattr(m, "BLOCK", by_sets)
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", by_shingles)
+    monkeypatch.setattr(m, "STEP", 50)
     docs = spark.read.parquet(f"{h.SF}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(docs, words=4).collect()}
     assert got == h.brute_near([tuple(r) for r in docs.collect()], 4)
 
 
+def test_exact_with_colliding_digests(spark, monkeypatch):
+    """Over a thousand digests that each stand for two texts: these are told apart by their bytes."""
+    import memspark.llm.exact_dedup as m
+
+    monkeypatch.setattr(m, "digest", lambda c: F.unhex(F.sha2(F.substring_index(c, "/", 1), 256)))
+    rows = [(3 * i + k, f"text {i}/{k % 2}") for i in range(1200) for k in range(3)]
+    got = {r.doc_id: r for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(1200):
+        a, b, c = (got[3 * i + k] for k in range(3))
+        assert (a.keep_id, a.group_size, a.kept) == (3 * i + 2, 2, False) and c.kept and (b.keep_id, b.group_size, b.kept) == (3 * i + 1, 1, True)
+
+
+def test_near_from_late_partitions(spark, monkeypatch):
+    """Set numbers of input partitions up to the last that the layout allows."""
+    import memspark.llm.near_dedup as m
+
+    first = m.group_seed
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet").select("doc_id", "text").repartition(5)
+    want = h.brute_near([tuple(r) for r in docs.collect()], 5)
+    shift = (1 << m.CHUNK_BITS) - 6
+    monkeypatch.setattr(m, "group_seed", lambda: first() + (shift << 32))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(docs).collect()} == want
+
+
+def test_near_recall(spark):
+    """Links of pairs just above the threshold, which no third document helps to find."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = [f"w{r.randrange(10**7)}" for _ in range(r.randint(60, 200))]
+        at = r.sample(range(6, len(words) - 6), max(1, len(words) // 46))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join("x" + w if k in at else w for k, w in enumerate(words)))]
+    want = {i: c for i, (_, c) in h.brute_near(rows, 5).items()}
+    linked = [i for i in want if want[i] != i]
+    got = {x.doc_id: x.component_id for x in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(linked) > 200 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] in (i, want[i]) for i in want)
+
+
 @pytest.mark.parametrize("op", [exact_dedup, line_dedup, substring_dedup, near_dedup])
 def test_empty(spark, op):
     assert op(h.empty_docs(spark)).count() == 0
