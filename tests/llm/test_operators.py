@@ -12,10 +12,12 @@ import numpy as np
 import pytest
 from memspark.llm.fingerprints import fingerprint, fingerprints
 from memspark.llm.html_extract import extract
-from memspark.llm.mixing import mix
+from memspark.llm.common import Work, mix64
+from memspark.llm.mixing import CLASSES, DIMS, fit_topics, mix, sample
 from memspark.llm.packing import pack_documents
 from memspark.llm.quality import quality, resample, top
 from memspark.llm.queries import oracle_sql, queries
+from memspark.llm.shingles import words as hash_words
 from memspark.llm.toxicity import toxicity
 from pyspark.sql import functions as F
 
@@ -125,8 +127,62 @@ def test_mixing(spark):
             assert raked[k] / sum(raked.values()) == pytest.approx(want[k] / sum(want.values()), abs=1e-3)
     again = {r.doc_id: (r.kept, r.probability) for r in mix(docs).collect()}
     assert all(again[r.doc_id][0] == r.kept for r in rows)
-    table = {r.doc_id: r.probability for r in mix(docs, cells_on_driver=0).collect()}
-    assert all(table[r.doc_id] == pytest.approx(r.probability, abs=1e-4) for r in rows)
+    table = {r.doc_id: (r.kept, r.probability) for r in mix(docs, cells_on_driver=0).collect()}
+    assert all(table[r.doc_id] == (r.kept, r.probability) for r in rows)
+    assert {r.doc_id for r in sample(docs).collect()} == {r.doc_id for r in rows if r.kept}
+
+
+def test_mixing_brute(spark):
+    """Tokens, topics, cells and probabilities against plain Python, over whole texts."""
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet")
+    data = {r.doc_id: r for r in docs.collect()}
+    words_of = {i: re.findall(h.WORD, (r.text or "").encode().lower()) for i, r in data.items()}
+    got = {r.doc_id: r for r in mix(docs).collect()}
+    hashed = lambda w: int(hash_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    every = {w: hashed(w) for w in set().union(*words_of.values())}
+    df = Counter(c for ws in words_of.values() for w in {every[w] for w in ws} for c in [w % CLASSES])
+    weight = {c: max(0.0, math.log((len(data) + 1) / (n + 1))) for c, n in df.items()}
+
+    def vector(ws):
+        v = [0.0] * DIMS
+        for w in {every[w] for w in ws}:
+            s = int(mix64(np.array([w], np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))[0])
+            v[s % DIMS] += weight[w % CLASSES] * (1 if s >> 63 else -1)
+        length = math.sqrt(sum(x * x for x in v))
+        return [round(x / length * 127) if length else 0 for x in v]
+
+    vecs = {i: vector(ws) for i, ws in words_of.items()}
+    model = fit_topics(docs.select("doc_id", "text"), Work(spark, "test"))
+    like = lambda v: [sum(a * b for a, b in zip(v, c)) for c in model.centres]
+    assert sum(int(np.argmax(like(vecs[i]))) == int(got[i].topic) for i in data) >= 0.99 * len(data)
+    # Rounds of k-means end where each centre is the direction of its texts' sum, or near it; clusters beat chance.
+    own = np.mean([max(like(v)) / (math.sqrt(sum(x * x for x in v)) or 1) for v in vecs.values()])
+    other = np.mean([np.mean(like(v)) / (math.sqrt(sum(x * x for x in v)) or 1) for v in vecs.values()])
+    assert own > other + 0.1 and len({r.topic for r in got.values()}) > 2
+    cells = Counter()
+    for i, r in got.items():
+        assert r.n_tokens == len(words_of[i]) and r.source == data[i].source and r.lang == data[i].lang
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    factor = dict.fromkeys(cells, 1.0)
+    for _ in range(400):
+        for k, a in enumerate((0.5, 0.7, 0.7)):
+            have, now = Counter(), Counter()
+            for c, n in cells.items():
+                have[c[k]] += n
+                now[c[k]] += n * factor[c]
+            share = sum(n**a for n in have.values() if n)
+            for c in cells:
+                if now[c[k]]:
+                    factor[c] *= have[c[k]] ** a / share * sum(cells.values()) / now[c[k]]
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        s = (low + high) / 2
+        if sum(n * min(1, s * factor[c]) for c, n in cells.items()) < 0.8 * sum(cells.values()):
+            low = s
+        else:
+            high = s
+    for r in got.values():
+        assert r.probability == pytest.approx(min(1, low * factor[r.source, r.lang, r.topic]), abs=2e-6)
 
 
 def test_mixing_edges(spark):
@@ -136,6 +192,9 @@ def test_mixing_edges(spark):
     assert {r.kept for r in out.where("lang is null and n_tokens > 0").collect()} <= {False}
     assert mix(h.empty_docs(spark)).count() == 0
     assert mix(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 1
+    kept = sample(docs)  # the table has columns of other operators' names
+    assert kept.columns == docs.columns and kept.count() == mix(docs).where("kept").count()
+    assert sample(h.empty_docs(spark)).count() == 0
 
 
 def check_packing(rows, docs, capacity):
