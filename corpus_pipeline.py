@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.common import shared_dir
 from memspark.llm.line_dedup import line_dedup
-from memspark.llm.mixing import mix
+from memspark.llm.mixing import sample
 from memspark.llm.near_dedup import near_dedup
 from memspark.llm.packing import pack_documents
 from memspark.llm.toxicity import fit, score
@@ -35,8 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have their target weights."""
-    kept = mix(docs).where("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    return sample(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
