@@ -186,3 +186,49 @@ def test_html():
     plain = "<div><div>Home</div></div><div><p>" + "A long plain paragraph of many words. " * 5 + "</p><p>Yes.</p></div><div><a href=x>more</a></div>"
     assert content(plain)[0].endswith("Yes.") and "Home" not in content(plain)[0]
     assert content("<p>" + "word " * 200_000)[0] == ("word " * 200_000).strip()
+
+
+LONG = "A long plain paragraph of many words that nobody would take for a menu. " * 4
+
+
+def test_html_names_are_soft():
+    """A name on a wrapper, or on a part of the article, doesn't decide alone."""
+    for c in ("page has-sidebar", "page no-sidebar", "layout-sidebar", "sidebar"):
+        assert content(f'<div class="{c}"><div class="content"><p>{LONG}</p><p>{LONG}</p></div></div>')[0] == f"{LONG.strip()} {LONG.strip()}", c
+    assert content(f'<form id="aspnetForm"><div><p>{LONG}</p></div></form>')[0] == LONG.strip()
+    page = f'<article><p>{LONG}</p><div class="comment"><p>{LONG}</p></div><p>End.</p></article><section class="comments"><article class="comment"><p>{LONG}</p></article></section>'
+    assert content(page)[0] == f"{LONG.strip()} {LONG.strip()} End."
+    assert content(f'<main><p>{LONG}</p><aside><div><p>{LONG}</p></div></aside></main>')[0] == LONG.strip()
+
+
+def test_html_elements_end():
+    """Self-closed and unclosed elements don't take the rest of the page with them."""
+    for x in ('<svg class="icon"/>', "<svg><path d=x/></svg>", "<button>Menu", "<select><option>a", '<svg viewBox="0 0 1 1"><use href="#x"/>'):
+        assert content(f"<body>{x}<article><p>{LONG}</p></article>")[0] == LONG.strip(), x
+    assert content(f"<article><p>{LONG}<button>Buy now</button></p><template><p>{LONG}</p></template></article>")[0] == LONG.strip()
+
+
+def test_html_inline_parts():
+    page = f'<article><p>One two <span hidden>secret <span>inner</span> more</span>three. <span class="advert">Buy this <span>now</span>!</span> Four <i style="display:none">x</i>five.</p><p hidden>{LONG}<p>{LONG}</article>'
+    assert content(page)[0] == f"One two three. Four five. {LONG.strip()}"
+
+
+def test_html_cut_overrules_costs():
+    """Blocks are kept against their own cost, and dropped against it; on the generated pages too."""
+    import pyarrow.parquet as pq
+    from memspark.llm.html_extract import blocks, costs
+
+    def sides(page):
+        found, parts = blocks(page)
+        gain, _, edges = costs(found, parts)
+        label = min_cut(gain, edges)
+        return [(t, g > 0, on) for (t, _, _), g, on in zip(found, gain, label, strict=False)]
+
+    got = sides(f"<div><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div>")
+    assert ("Yes.", False, True) in got
+    got = sides("<div>" + "<div><a href=x>Some page</a></div>" * 4 + "<div>A teaser of some ten or eleven words, no more.</div>" + "<div><a href=x>Other page</a></div>" * 4 + f"</div><div><p>{LONG}</p></div>")
+    assert [x[1:] for x in got if x[0].startswith("A teaser")] == [(True, False)]
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    kept = sum(any(on and not own for _, own, on in sides(p)) for p in pages)
+    dropped = sum(any(own and not on for _, own, on in sides(p)) for p in pages)
+    assert kept > 0 and dropped > 0
