@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import shards_for
 
 BINS, BITS, WORDS = 256, 8, 5
-#: After r rounds a bin has looked at 2**r - 1 others; one filled bin of 256 is missed by 14 rounds with probability 1e-27.
-ROUNDS = 14
+#: Probes of an empty bin, before all filled bins are looked at in an order of the bin's own.
+PROBES = 8
 LOW = (1 << 56) - 1
 MOST_BUCKETS = 20_000
 
@@ -23,9 +23,10 @@ def bins(text: Column) -> Column:
     """The 256 bins of a text's word shingles, as bytes from -128 to 127; an empty array for a text without words.
 
     Each shingle is hashed once: the top 8 bits choose the bin, the rest competes for the bin's minimum. A marker for
-    each bin makes the sorted array hold every bin, so that the first of each bin is its minimum or the marker. In each
-    round an empty bin takes over what another bin holds, chosen by a hash of bin and round: the same choice for every
-    text, so that two texts agree in a bin with the probability of their likeness.
+    each bin makes the sorted array hold every bin, so that the first of each bin is its minimum or the marker. An empty
+    bin probes others in a fixed order of its own, the same for every text, and takes over the value of the first that
+    a shingle filled: two texts agree in a bin with the probability of their likeness. The first PROBES places of that
+    order are hashes of bin and place; the order of the rest is that of hashes of the two bins.
     """
     words = F.array_remove(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -43,12 +44,16 @@ def bins(text: Column) -> Column:
         low = F.transform(first, lambda x: x.bitwiseAND(F.lit(LOW)))
         return F.transform(low, lambda x: F.when(x == LOW, F.lit(-1).cast("long")).otherwise(x))
 
-    def fill(acc: Column, r: Column) -> Column:
-        other = lambda j: acc[F.pmod(F.xxhash64(j, r), F.lit(BINS)).cast("int")]
-        return F.when(F.array_contains(acc, F.lit(-1).cast("long")), F.transform(acc, lambda x, j: F.when(x == -1, other(j)).otherwise(x))).otherwise(acc)
+    def fill(own: Column) -> Column:
+        """Of the bins' own values the donor's for each empty bin."""
+        donors = F.filter(F.transform(own, lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda d: d["x"] != -1)
+        probe = lambda j, r: own[F.pmod(F.xxhash64(j, F.lit(r)), F.lit(BINS)).cast("int")]
+        early = lambda j: F.coalesce(*[F.nullif(probe(j, r), F.lit(-1).cast("long")) for r in range(1, PROBES + 1)])
+        late = lambda j, some: F.array_min(F.transform(some, lambda d: F.struct(F.xxhash64(j, d["j"]).alias("h"), d["x"].alias("x"))))["x"]
+        filled = _let(donors, lambda some: F.transform(own, lambda x, j: F.when(x != -1, x).otherwise(F.coalesce(early(j), late(j, some)))))
+        return F.when(F.array_contains(own, F.lit(-1).cast("long")), filled).otherwise(own)
 
-    dense = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(F.sort_array(F.concat(_let(hashes, shingles), markers)), minima), fill)
-    dense = _let(dense, lambda d: F.transform(d, lambda x: F.when(x == -1, F.array_max(d)).otherwise(x)))
+    dense = _let(_let(F.sort_array(F.concat(_let(hashes, shingles), markers)), minima), fill)
     # Each bin folds its value in its own way: bins that hold one value don't agree by one chance.
     low = F.transform(dense, lambda x, j: (F.xxhash64(x, j).bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
     return F.when(F.length(F.trim(text)) == 0, F.array().cast("array<tinyint>")).otherwise(F.when(n(words) == 0, F.array().cast("array<tinyint>")).otherwise(low))
@@ -76,7 +81,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """The rows with next_<column> of the row that follows in ascending id_col; the first follows the last.
 
     Rows are dealt to ranges of ids with about as many rows each, and the first row of a range also goes to the end of
-    the range before it, so that each range is put in order by itself. Null ids come first.
+    the range before it, so that each range is put in order by itself. A row finds its range in two steps: among every
+    so many of the cut points, then among those between. Null ids come first.
     """
     n = min(MOST_BUCKETS, 4 * shards_for(docs))
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
@@ -84,12 +90,18 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     found = ids.agg(F.min("i").alias("low"), F.percentile_approx("i", probabilities, max(10_000, 20 * n)).alias("cuts"), F.count_if(F.col("i").isNull()).alias("nulls")).first()
     low, nulls = found["low"], found["nulls"] > 0
     cuts = sorted({c for c in found["cuts"] or [] if c > low})
-    i, edges = F.col(id_col).cast("long"), F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    own = F.coalesce(F.size(F.filter(edges, lambda c: c <= i)), F.lit(0)) if cuts else F.lit(0)
-    first = i.isNull() if nulls else i == low
-    ghost = F.when(first, F.lit(len(cuts)))
+    i = F.col(id_col).cast("long")
+    own, is_cut = F.lit(0), F.lit(False)
     if cuts:
-        ghost = ghost.when(F.array_contains(edges, i), own - 1)
+        stride = max(1, round(len(cuts) ** 0.5))
+        longs = lambda xs: F.array(*[F.lit(c) for c in xs]).cast("array<bigint>")
+        groups = [cuts[a : a + stride] for a in range(0, len(cuts), stride)]
+        at = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= i))
+        inside = F.get(F.array(*[longs(g) for g in groups]), at - 1)
+        own = F.coalesce(F.when(at > 0, (at - 1) * stride + F.size(F.filter(inside, lambda c: c <= i))), F.lit(0))
+        is_cut = F.coalesce(F.array_contains(inside, i), F.lit(False))
+    first = i.isNull() if nulls else i == low
+    ghost = F.when(first, F.lit(len(cuts))).when(is_cut, own - 1)
     place = F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.cast("int").alias("bucket"), F.lit(1).alias("ghost")))))
     dealt = docs.select("*", F.inline(place))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns if dict(docs.dtypes)[c] == "string"])

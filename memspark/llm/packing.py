@@ -67,24 +67,28 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
     Tokens are words [^\\x20\\x09-\\x0D]+. A document longer than a window fills windows of its own with its first pieces;
     its last piece, or the whole document, goes with others into the tightest window that has room and holds neither its
     source nor its duplicate cluster (texts that are equal in lower case, or equal values of cluster_col). A null source
-    or a text without words conflicts with none; a text without words is a piece of 0 tokens. Nothing is dropped or cut
-    off; rows repeated with one id are packed each. An empty table gives no rows; further columns are ignored.
-
-    Only ids and lengths are shuffled, by a hash of the row into shards of about `shard_pieces` pieces, so a hot source
-    is spread evenly. A window's number is its shard's number * 2^32 + a count.
+    or a text without words conflicts with none; a text without words (null, empty) is a piece of 0 tokens. Nothing is
+    dropped or cut off; rows repeated with one id are packed each. Pieces of one size go in the order of a hash of id and
+    text, so that the result doesn't depend on how the rows lie in files. An empty table gives no rows; further columns,
+    whatever their names, are ignored.
+
+    Only ids and lengths are shuffled, by that hash into shards of about `shard_pieces` pieces, so a hot source is spread
+    evenly, and so are equal rows, which are counted and dealt one by one. A window's number is its shard's number * 2^32
+    + a count.
     """
     work = Work(docs.sparkSession, "packing")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")).cast("long")
     cluster = F.xxhash64(F.col(cluster_col)) if cluster_col else F.xxhash64(F.lower(text))
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), n.alias("n"), F.when(n > 0, cluster).alias("cluster"), F.monotonically_increasing_id().alias("uid"))
-    rows = work.save(slim, "rows")
-    n_shards = max(1, -(-rows.count() // shard_pieces))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), n.alias("n"), F.when(n > 0, cluster).alias("cluster"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"))
+    rows = work.save(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("copies")), "rows")
+    n_shards = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // shard_pieces))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
     def run(key, t):
         # A full order, so that a retried task packs the same.
-        t = t.take(pa.compute.sort_indices(t, [("uid", "ascending")]))
+        t = t.take(pa.compute.sort_indices(t, [(c, "ascending") for c in ("uid", "doc_id", "copy", "source")]))
         ids, total, shard = t["doc_id"].to_pylist(), t["n"].to_numpy(), t["shard"][0].as_py()
         tail = np.where(total > 0, (total - 1) % capacity + 1, 0)
         order = np.argsort(-tail, kind="stable")
@@ -100,7 +104,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
             _add(out, ids[k], full, full * capacity, int(tail[k]), (shard << 32) + w, o)
         return pa.table(out, pa.schema([(k, pa.int64()) for k in out]))
 
-    shard = F.pmod(F.xxhash64("doc_id", "uid"), F.lit(n_shards)).cast("long")
+    shard = F.pmod(F.xxhash64("doc_id", "uid", "copy"), F.lit(n_shards)).cast("long")
     return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece bigint, start bigint, n_tokens bigint, window bigint, window_offset bigint")
 
 

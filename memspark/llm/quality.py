@@ -66,8 +66,7 @@ def top(keys: DataFrame, k: int) -> Column:
         if left <= LAST or low == high:
             last = inside.orderBy(F.desc("key"), F.desc_nulls_last("doc_id")).limit(k - above).agg(F.min(F.struct("key", "doc_id")).alias("m")).first()["m"] if left <= LAST else None
             if last is None:  # one key for very many rows: the ids decide
-                ids = inside.select(F.col("doc_id").cast("double").alias("key"), F.lit(0).cast("long").alias("doc_id"))
-                return (F.col("key") > high) | (F.col("key") == high) & _by_id(ids, k - above)
+                return (F.col("key") > high) | (F.col("key") == high) & _by_id(inside.select("doc_id"), k - above)
             if last["doc_id"] is None:
                 return F.col("key") >= last["key"]
             return (F.col("key") > last["key"]) | (F.col("key") == last["key"]) & (F.col("doc_id") >= last["doc_id"])
@@ -82,8 +81,22 @@ def top(keys: DataFrame, k: int) -> Column:
 
 
 def _by_id(ids: DataFrame, k: int) -> Column:
-    low = ids.orderBy(F.desc("key")).limit(k).agg(F.min("key")).first()[0]
-    return F.col("doc_id") >= low
+    """The condition that holds for the k largest ids and what equals the last of them, null being the smallest. Whole numbers throughout."""
+    low, high, known = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    if k > known:
+        return F.lit(True)
+    above, width = 0, 2048
+    while low < high:
+        whole = lambda x: F.lit(x).cast("decimal(38,0)")
+        inside = ids.where((F.col("doc_id") >= low) & (F.col("doc_id") <= high))
+        part = F.floor((F.col("doc_id").cast("decimal(38,0)") - whole(low)) / whole(-(-(high - low + 1) // width)))
+        counts = inside.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()  # `width` rows at most
+        for r in sorted(counts, key=lambda r: -r["p"]):
+            if above + r["n"] >= k:
+                low, high = r["low"], r["high"]
+                break
+            above += r["n"]
+    return F.coalesce(F.col("doc_id") >= low, F.lit(False))
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,8 +106,8 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, seed: int
     those of the rows whose id is in target_ids(doc_id). A text's log weight is the sum of the log ratios of its n-grams;
     key adds Gumbel noise from a hash of the id; the ceil(fraction * rows) largest keys (ties: largest ids) are kept,
     which samples without replacement in proportion to the weights. Null and empty texts have weight 1. Rows repeated
-    with one id share key and noise. Without targets all weights are 1. An empty table gives no rows; further columns
-    are ignored.
+    with one id share the noise. Without targets all weights are 1. Texts count whole, however long. An empty table gives
+    no rows; further columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     work = Work(spark, "quality")
@@ -118,7 +131,11 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, seed: int
 
 
 def quality(docs: DataFrame, labels: DataFrame, fraction: float | None = None) -> DataFrame:
-    """resample() towards the rows labelled quality = 1. By default as large a share is kept as the labels call good."""
+    """resample() towards the rows labelled quality = 1. By default as large a share is kept as the labels call good.
+
+    Null labels and ids count for nothing; without labels nothing is kept. Null, empty and very long texts, ties,
+    repeated rows, empty tables and further columns are dealt with as resample() does.
+    """
     if fraction is None:
         fraction = labels.where("quality is not null").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
     return resample(docs, labels.where("quality = 1").select("doc_id"), fraction)

@@ -158,7 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_docs: int
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, and score (0 to 1) and predicted (1 if score >= 0.5)."""
+    """The input's rows and columns, and score (0 to 1) and predicted (1 if score >= 0.5).
+
+    Whole texts are scored, however long; null and empty ones get the score of no n-gram. Equal texts have equal scores,
+    rows repeated in the input are scored each, input columns named like a result column are replaced, and an empty
+    table gives no rows.
+    """
     docs = clean_columns(docs, "score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -52,6 +52,44 @@ def test_fingerprints(spark):
     assert fingerprint(docs).where("length(fingerprint) not in (0, 512)").count() == 0
 
 
+def brute_bins(spark, text):
+    """Bins by hand: one hash a shingle, and for an empty bin the first donor of its own order."""
+    w = [x for x in re.split("[\\x20\\x09-\\x0D]+", text.lower()) if x]
+    if not w:
+        return []
+    sets = sorted({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) >= 5 else []
+    hashed = lambda rows, ddl, *cols: [r[0] for r in spark.createDataFrame(rows, ddl).select(F.xxhash64(*cols)).collect()]
+    if sets:
+        one = dict(zip(sorted(set(w)), hashed([(x,) for x in sorted(set(w))], "a string", "a"), strict=True))
+        values = hashed([[one[x] for x in s] for s in sets], "a long, b long, c long, d long, e long", *"abcde")
+    else:
+        acc = 42
+        for x in hashed([(x,) for x in w], "a string", "a"):
+            acc = hashed([(acc, x)], "a long, b long", "a", "b")[0]
+        values = [acc]
+    own = {}
+    for v in values:
+        own[(v >> 56) + 128] = min(own.get((v >> 56) + 128, 2**60), v & ((1 << 56) - 1))
+    empty = [j for j in range(256) if j not in own]
+    place = [(j, r) for j in empty for r in range(1, 9)]
+    early = dict(zip(place, hashed(place, "a int, b int", "a", "b"), strict=True)) if place else {}
+    pair = [(j, k) for j in empty for k in sorted(own)]
+    late = dict(zip(pair, hashed(pair, "a int, b int", "a", "b"), strict=True)) if pair else {}
+    full = []
+    for j in range(256):
+        donor = j if j in own else next((early[j, r] % 256 for r in range(1, 9) if early[j, r] % 256 in own), None)
+        full.append(own[min(own, key=lambda k: late[j, k]) if donor is None else donor])
+    return [x % 256 - 128 for x in hashed([(x, j) for j, x in enumerate(full)], "a long, b int", "a", "b")]
+
+
+def test_fingerprint_brute(spark):
+    r = random.Random(3)
+    texts = ["", " \n", "One", "a b  C d", " ".join(f"w{r.randrange(50)}" for _ in range(40)), " ".join(f"é{r.randrange(10**6)}" for _ in range(700)), "x y z " * 50]
+    got = fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for x in got:
+        assert x.fingerprint == "".join(f"{b + 128:02X}" for b in brute_bins(spark, x.text))
+
+
 def test_fingerprint_estimate(spark):
     """Over many pairs the estimate is right on average, and near a share of bins' deviation."""
     r = random.Random(5)
@@ -227,7 +265,12 @@ def test_packing(spark):
             assert [r.start for r in p] == [k * size for k in range(len(p))] and [r.piece for r in p] == list(range(len(p)))
             assert sum(r.n_tokens for r in p) == len([w for w in text.replace("\x85", "x").split()] if text else [])
     odd = h.edge_docs(spark)
-    assert {r.doc_id for r in pack_documents(odd).collect()} == {r.doc_id for r in odd.collect()}
+    assert sorted(map(str, (r.doc_id for r in pack_documents(odd).where("piece = 0").collect()))) == sorted(map(str, (r.doc_id for r in odd.collect())))
+    place = lambda d: sorted(map(str, pack_documents(d, capacity=64, shard_pieces=50).collect()))
+    assert place(docs.repartition(7)) == place(docs.orderBy(F.desc("doc_id")))  # however the rows lie in files
+    registered = queries()["op4_best_fit_packing"](spark, h.SF).collect()
+    check_packing(registered, known, 2048)
+    assert sorted(registered) == sorted(pack_documents(docs).collect())
     assert pack_documents(h.empty_docs(spark)).count() == 0
 
 
@@ -293,6 +336,49 @@ def test_top(spark, monkeypatch):
         assert got == {i for i, _ in sorted(rows, key=lambda x: (-x[1], -x[0]))[:k]}
 
 
+def test_top_by_large_ids(spark, monkeypatch):
+    """One key for all rows: whole ids decide, beyond what a double can tell apart."""
+    import memspark.llm.quality as m
+
+    monkeypatch.setattr(m, "LAST", 5)
+    ids = [2**62 + i for i in range(40)] + list(range(-20, 20))
+    df = spark.createDataFrame([(i, 1.0) for i in ids], "doc_id long, key double")
+    for k in (1, 7, 39, 41, 79):
+        assert {x.doc_id for x in df.where(top(df, k)).collect()} == set(sorted(ids, reverse=True)[:k])
+
+
+def test_quality_brute(spark):
+    """The registered query's whole selection, from plain counts and the noise of each id."""
+    rows = queries()["op3_quality"](spark, h.SF).collect()
+    noise = {r.id: r.n for r in spark.range(len(rows)).select("id", (-F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 12) + F.lit(0.5)) / float(1 << 52)))).alias("n")).collect()}
+    marks = [r.quality for r in spark.read.parquet(f"{h.SF}/labels.parquet").collect()]
+    best = sorted(rows, key=lambda r: (-(r.log_weight + noise[r.doc_id]), -r.doc_id))[: math.ceil(sum(marks) / len(marks) * len(rows))]
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in best}
+
+
+def test_toxicity_brute(spark):
+    """Features and scores of the registered query against n-grams in plain Python and the fitted weights."""
+    from memspark.llm.toxicity import BITS, SIZES, fit
+
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet").select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{h.SF}/labels.parquet"))
+    got = {r.doc_id: r for r in queries()["op6_toxicity"](spark, h.SF).collect()}
+
+    def bucket(gram):
+        x = ord(gram[0])
+        for c in gram[1:]:
+            x = (x * 0x01000193 + ord(c)) % 2**32
+        return ((x + len(gram)) * 0x9E3779B1) % 2**32 >> (32 - BITS)
+
+    for r in docs.collect():
+        t = (r.text or "").lower()
+        found = {model.slot[bucket(t[i : i + n])] for n in SIZES for i in range(len(t) - n + 1)} - {-1}
+        z = sum(model.weight[f] for f in found) + model.bias
+        want = 1 / (1 + math.exp(-z)) if abs(z) < 700 else float(z > 0)
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-9) and got[r.doc_id].predicted == int(want >= 0.5)
+    assert len(got) == docs.count()
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text &amp; more of it here.</p></article>", "t"), (2, None, None, None), (3, "v", "", "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in extract(pages).collect()}
