@@ -23,6 +23,7 @@ class Fusion:
 @dataclass(frozen=True)
 class Sparse:
     mode: str = "auto"
+    tokenizer: str = "word"
     ngram: int = 2
     candidate_k: int = 80
     relation_k: int = 60
@@ -32,6 +33,10 @@ class Sparse:
     k1: float = 1.2
     b: float = 0.75
 
+    def __post_init__(self):
+        if self.tokenizer not in ("word", "char_ngram", "mixed"):
+            raise ValueError(f"tokenizer must be word, char_ngram or mixed, not {self.tokenizer}")
+
 
 @dataclass(frozen=True)
 class Threshold:

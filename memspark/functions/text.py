@@ -63,9 +63,13 @@ def relation_hash(s: Column, p: Column, o: Column) -> Column:
 def char_ngrams(c: Column, n: int = 2) -> Column:
     """n-grams of the lower-case text without white space; shorter text is its own n-gram; none for empty text."""
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
-    size = F.char_length(t)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(t)).otherwise(grams)
+
+    def grams(chars: Column) -> Column:
+        at = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+        return F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(chars) - n), at))
+
+    # The text is taken apart once, and bound as a variable: each n-gram costs the same, however long the text.
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(F.array(F.split(t, "")), grams)[0])
 
 
 def words(c: Column) -> Column:
@@ -108,6 +112,7 @@ def is_narrative(c: Column) -> Column:
     t = strip(c)
     head = F.substring(t, 1, 500)
     chapter = head.contains("Chapter") | head.contains("CHAPTER") | head.contains("###")
+    # Fixed value: what reads like dialogue.
     dialogue = t.rlike('["「『].*?["」』]')
     return (t != "") & (chapter | dialogue | (_count_markers(t, NARRATIVE_MARKERS) >= 2))
 

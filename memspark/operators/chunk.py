@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 
+# Marks of lists, terms, scenes and sentence ends.
 _LIST = re.compile(r"[-*]\s+|\d+\.\s+")
 _TERM = re.compile(r"[^：:]+[：:].+")
 _SCENE = re.compile(r"^(?:#{1,6}[ \t\r\f\v]+.*|Chapter\s+\d+|\*{3,}$|={3,}$)", re.M)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import KNOWLEDGE_TYPES, VECTOR_STATES
+from . import graph
 
 
 def align(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns and types of `like`; what is missing is null."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in like.schema])
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -77,9 +78,10 @@ def link_mentions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def patch(df: DataFrame, changes: DataFrame, on: str = "hash") -> DataFrame:
-    """Overwrites with what the changes give, row by row; null changes nothing."""
+    """Overwrites with what the changes give, row by row; null changes nothing. Of several changes of a key one counts, the same in every run."""
     cols = [c for c in changes.columns if c != on]
-    joined = df.join(changes.select(on, *[F.col(c).alias(f"_{c}") for c in cols]), on, "left")
+    one = first_by(changes, [on], F.xxhash64(*cols))
+    joined = df.join(one.select(on, *[F.col(c).alias(f"_{c}") for c in cols]), on, "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in cols}).select(*df.columns)
 
 
@@ -143,6 +145,12 @@ def delete_paragraphs_deep(store: dict[str, DataFrame], hashes: DataFrame) -> tu
     }
 
 
+def with_deletions(store: dict[str, DataFrame], also: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The store without the vectors, edge hashes and edges that delete_paragraphs_deep says must also go."""
+    edge = graph.delete_edges(graph.prune_hashes(store["edge"], also["prune"]), also["edges"])
+    return store | {"vector": store["vector"].join(also["vectors"], "hash", "left_anti"), "edge": edge.select(*store["edge"].columns)}
+
+
 def recycle(store: dict[str, DataFrame], hashes: DataFrame, now: float) -> dict[str, DataFrame]:
     """Relations go to the bin with a time of deletion; their bridge rows stay, so that a restored one has its support."""
     rel = store["relation"]
@@ -190,8 +198,10 @@ def record_access(df: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def set_vector_state(relations: DataFrame, changes: DataFrame, now: float) -> DataFrame:
-    """changes(hash, state, error, bump). Unknown states change nothing; the error stays only for failed."""
-    c = changes.where(F.col("state").isin(*VECTOR_STATES)).select("hash", F.col("state").alias("_s"), F.col("error").alias("_e"), F.col("bump").alias("_b"))
+    """changes(hash, state, error, bump). Unknown states change nothing; the error stays only for failed. Of several changes of a hash the last state in order of VECTOR_STATES counts."""
+    known = changes.where(F.col("state").isin(*VECTOR_STATES))
+    order = F.array_position(F.array(*[F.lit(s) for s in VECTOR_STATES]), F.col("state"))
+    c = first_by(known, ["hash"], F.desc(order), F.desc("bump"), F.col("error")).select("hash", F.col("state").alias("_s"), F.col("error").alias("_e"), F.col("bump").alias("_b"))
     return update(
         relations, c, "hash", vector_state=F.col("_s"), vector_updated_at=F.lit(now), vector_error=F.when(F.col("_s") == "failed", F.substring("_e", 1, 500)),
         vector_retry_count=(F.coalesce("vector_retry_count", F.lit(0)) + F.when(F.col("_b"), 1).otherwise(0)).cast("int"),
@@ -250,18 +260,20 @@ def delete_by_content(store: dict[str, DataFrame], spec: Column) -> tuple[dict[s
     p = store["paragraph"]
     found = p.where((F.col("hash") == spec) | (F.col("content") == tx.normalize(spec))).select("hash").limit(2)
     n = found.count()
-    return (delete_paragraphs_deep(store, found)[0] if n == 1 else store), n
+    return (with_deletions(*delete_paragraphs_deep(store, found)) if n == 1 else store), n
 
 
 def delete_source(store: dict[str, DataFrame], source: str) -> dict[str, DataFrame]:
-    """All paragraphs of a source, then entities that nothing refers to any more."""
+    """All paragraphs of a source, with their vectors and what only they support in the graph, then entities that no bridge row, relation or out-edge refers to any more."""
     gone = store["paragraph"].where(F.col("source") == source).select("hash")
     candidates = store["paragraph_entity"].join(gone.select(F.col("hash").alias("paragraph_hash")), "paragraph_hash", "left_semi").select("entity_hash").distinct()
-    out, _ = delete_paragraphs_deep(store, gone)
+    out = with_deletions(*delete_paragraphs_deep(store, gone))
     used = out["paragraph_entity"].select("entity_hash").distinct()
     names = out["relation"].select(tx.entity_hash(F.col("subject")).alias("entity_hash")).union(out["relation"].select(tx.entity_hash(F.col("object")))).distinct()
-    orphan = candidates.join(used, "entity_hash", "left_anti").join(names, "entity_hash", "left_anti")
-    return out | {"entity": out["entity"].join(orphan.withColumnRenamed("entity_hash", "hash"), "hash", "left_anti")}
+    ends = out["edge"].where(graph.ACTIVE).select(F.sha2("src", 256).alias("entity_hash")).distinct()
+    orphan = candidates.join(used, "entity_hash", "left_anti").join(names, "entity_hash", "left_anti").join(ends, "entity_hash", "left_anti")
+    gone_entities = orphan.withColumnRenamed("entity_hash", "hash")
+    return out | {"entity": out["entity"].join(gone_entities, "hash", "left_anti"), "vector": out["vector"].join(gone_entities, "hash", "left_anti")}
 
 
 def rename_node(edges: DataFrame, old: str, new: str) -> DataFrame:

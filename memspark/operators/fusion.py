@@ -44,7 +44,7 @@ def merge_graph(dense: DataFrame, sparse: DataFrame, graph: DataFrame) -> DataFr
     b = minmax(sparse).select("query_id", "hash", F.col("score").alias("s"))
     kind = F.col("candidate_type")
     weight = F.when(kind.isin("direct_pair", "direct"), 1.0).when(kind.isin("one_hop_seed", "one_hop"), 0.75).when(kind.isin("two_hop_pair", "two_hop"), 0.55).otherwise(0.0)
-    g = graph.select("query_id", "hash", weight.alias("g"), F.least(F.lit(1.0), F.col("support") / 3.0).alias("u"))
+    g = graph.select("query_id", "hash", weight.alias("g"), F.least(F.lit(1.0), F.coalesce("support", F.lit(0)) / 3.0).alias("u"))
     keys = ["query_id", "hash"]
     j = a.join(b, keys, "full_outer").join(g, keys, "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -132,4 +132,4 @@ def path_bonus(results: DataFrame, relations: DataFrame, support: DataFrame) ->
     s, o = F.lower(F.trim("subject")), F.lower(F.trim("object"))
     pair = relations.select("hash", F.least(s, o).alias("a"), F.greatest(s, o).alias("b"))
     j = results.join(pair.join(support, ["a", "b"]).select("hash", "n"), "hash", "left")
-    return j.withColumn("score", F.col("score") + F.coalesce(F.least(F.lit(0.08), 0.04 * F.col("n")), F.lit(0.0))).drop("n")
+    return j.withColumn("score", F.col("score") + F.least(F.lit(0.08), 0.04 * F.coalesce("n", F.lit(0)))).drop("n")

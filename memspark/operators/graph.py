@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..sources.snapshot import cut
 
 ACTIVE = "weight > 0"
+WINDOW = 256
 
 
 def build_nodes(names: DataFrame) -> DataFrame:
@@ -26,8 +27,9 @@ def build_edges(pairs: DataFrame, mode: str = "sum") -> DataFrame:
 
 
 def shift_weights(edges: DataFrame, changes: DataFrame, low: float = 0.1, high: float = 10.0) -> DataFrame:
-    """changes(src, dst, delta): within bounds; a missing edge comes to be by a positive change only."""
-    j = edges.join(changes, ["src", "dst"], "full_outer")
+    """changes(src, dst, delta): within bounds; several changes of an edge add up; a missing edge comes to be by a positive change only."""
+    total = changes.groupBy("src", "dst").agg(F.sum("delta").alias("delta"))
+    j = edges.join(total, ["src", "dst"], "full_outer")
     moved = F.least(F.greatest(F.coalesce("weight", F.lit(0.0)) + F.col("delta"), F.lit(low)), F.lit(high))
     kept = j.where(F.col("weight").isNotNull() | (F.col("delta") > 0))
     return kept.select("src", "dst", F.when(F.col("delta").isNotNull(), moved).otherwise(F.col("weight")).alias("weight"), F.coalesce("relation_hashes", F.array().cast("array<string>")).alias("relation_hashes"))
@@ -85,8 +87,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
     else:
         s = seeds.select("query_id", tx.canonical(F.col("node")).alias("node"), F.col("weight").cast("double").alias("w")).join(every, "node", "left_semi").where("w > 0").groupBy("query_id", "node").agg(F.sum("w").alias("w"))
         s = s.withColumn("seed", F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).select("query_id", "node", "seed")
-        lost = seeds.select("query_id").distinct().join(s.select("query_id").distinct(), "query_id", "left_anti")
-        start = s.unionByName(lost.crossJoin(every).select("query_id", "node", F.lit(1.0 / n).alias("seed")))  # a seed for every node
+        lost = cut(seeds.select("query_id").distinct().join(s.select("query_id").distinct(), "query_id", "left_anti"))
+        if not lost.isEmpty():  # these have one rank in common, which is computed once
+            even = pagerank(edges, nodes, None, alpha, iterations, tol, check_every).drop("query_id")
+            known = seeds.join(lost, "query_id", "left_anti")
+            mine = pagerank(edges, nodes, known, alpha, iterations, tol, check_every)
+            return mine.unionByName(lost.crossJoin(even))  # the result has a row for each node of each such query
+        start = s
     start = cut(start)
     rank = start.select("query_id", "node", F.col("seed").alias("score"))
     for i in range(1, iterations + 1):
@@ -105,19 +112,37 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
 
 
 def paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3, max_paths: int = 5) -> DataFrame:
-    """pairs(query_id, a, b) to the first simple undirected paths, shortest first, then by their nodes."""
+    """pairs(query_id, a, b) to the first `max_paths` simple undirected paths, shortest first, then by their nodes.
+
+    Each distinct pair is searched once, depth by depth, and no deeper when it has enough paths. The last two hops meet
+    in the middle: for each distinct (last node, end) only the first few nodes between are kept, as many as can be
+    needed when those already on the path are left out. So a hub costs its neighbours, not its paths.
+    """
     e = edges.where(ACTIVE)
-    u = e.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(e.select("dst", "src")).distinct()
-    now = pairs.select("query_id", "a", "b", F.array("a").alias("nodes")).where("a != b")
+    u = cut(e.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(e.select("dst", "src")).where("x != y").distinct())
+    todo = cut(pairs.select("a", "b").where("a != b").distinct())
+    prefix = todo.select("a", "b", F.array("a").alias("nodes"))  # simple paths from a, depth - 2 hops long, that miss b
+    first = Window.partitionBy("a", "b").orderBy(F.concat_ws("\x00", "nodes"))
     found = None
-    for _ in range(max_depth):
-        j = now.join(u, F.element_at("nodes", -1) == F.col("x")).where(~F.array_contains("nodes", F.col("y")))
-        now = j.select("query_id", "a", "b", F.concat("nodes", F.array("y")).alias("nodes"))
-        hit = now.where(F.element_at("nodes", -1) == F.col("b"))
+    for depth in range(1, max_depth + 1):
+        if depth == 1:
+            hit = todo.join(u, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select("a", "b", F.array("a", "b").alias("nodes"))
+        else:
+            if depth > 2:
+                far = prefix.join(todo, ["a", "b"], "left_semi").join(u, F.element_at("nodes", -1) == F.col("x"))
+                prefix = cut(far.where((F.col("y") != F.col("b")) & ~F.array_contains("nodes", F.col("y"))).select("a", "b", F.concat("nodes", F.array("y")).alias("nodes")))
+            ends = prefix.join(todo, ["a", "b"], "left_semi").select(F.element_at("nodes", -1).alias("x"), "b").distinct()
+            between = ends.join(u, "x").select(F.col("x").alias("at"), "b", F.col("y").alias("m")).join(u, (F.col("m") == F.col("x")) & (F.col("b") == F.col("y")))
+            few = between.withColumn("_n", F.row_number().over(Window.partitionBy("at", "b").orderBy("m"))).where(F.col("_n") <= max_paths + depth - 2).select("at", F.col("b").alias("_b"), "m")
+            j = prefix.join(todo, ["a", "b"], "left_semi").join(few, (F.element_at("nodes", -1) == F.col("at")) & (F.col("b") == F.col("_b")))
+            hit = j.where(~F.array_contains("nodes", F.col("m"))).select("a", "b", F.concat("nodes", F.array("m", "b")).alias("nodes"))
+        hit = cut(hit.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_paths).drop("_n"))
         found = hit if found is None else found.unionByName(hit)
-        now = now.where(F.element_at("nodes", -1) != F.col("b"))
-    w = Window.partitionBy("query_id", "a", "b").orderBy(F.size("nodes"), F.concat_ws("\x00", "nodes"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths)
+        if depth < max_depth:
+            enough = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_paths)
+            todo = cut(todo.join(enough, ["a", "b"], "left_anti"))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.size("nodes"), F.concat_ws("\x00", "nodes")))).where(F.col("rank") <= max_paths)
+    return pairs.select("query_id", "a", "b").distinct().join(best, ["a", "b"]).select("query_id", "a", "b", "nodes", "rank")
 
 
 def path_edges(found: DataFrame) -> DataFrame:
@@ -237,12 +262,15 @@ def mentions(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node names that occur in a query's text, whatever the case, with the number of (overlapping) occurrences.
 
     Queries are looked up by the names' lengths: each distinct length cuts the text into candidates, and these join the
-    names, so that neither side is paired with all of the other.
+    names, so that neither side is paired with all of the other. Texts are first cut into windows of WINDOW starting
+    places each, as finding a place within a text takes a walk to it.
     """
     n = nodes.where("canon != ''").select("canon", F.char_length("canon").alias("len"))
     lens = n.select("len").distinct().agg(F.array_sort(F.collect_set("len")).alias("lens"))  # distinct name lengths
-    q = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).crossJoin(F.broadcast(lens))
-    cuts = q.select("query_id", "t", F.explode("lens").alias("len")).where(F.char_length("t") >= F.col("len"))
+    q = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).where("t != ''").crossJoin(F.broadcast(lens))
+    windows = q.select("query_id", "t", "lens", F.explode(F.sequence(F.lit(1), F.char_length("t"), F.lit(WINDOW))).alias("at"))
+    cuts = windows.select("query_id", F.explode("lens").alias("len"), F.substring(F.col("t"), F.col("at"), WINDOW + F.array_max("lens")).alias("w"))
+    cuts = cuts.select("query_id", "len", F.substring(F.col("w"), F.lit(1), F.col("len") + (WINDOW - 1)).alias("t")).where(F.char_length("t") >= F.col("len"))
     grams = cuts.select("query_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - F.col("len") + 1), lambda i: F.substring(F.col("t"), i, F.col("len")))).alias("canon"))
     return grams.join(n, ["canon", "len"]).groupBy("query_id", "canon").agg(F.count(F.lit(1)).alias("n"))
 
@@ -288,7 +316,9 @@ def recall(seeds: DataFrame, edges: DataFrame, k: int = 24, two_hop_below: int =
     via = left.join(u.select(F.col("p").alias("m"), F.col("q").alias("b"), F.col("hash").alias("h2")), ["m", "b"])
     mids = via.select("query_id", "m").distinct().withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("m"))).where(F.col("r") <= max_paths).select("query_id", "m")
     two = via.join(mids, ["query_id", "m"], "left_semi").select("query_id", F.explode(F.array("h1", "h2")).alias("hash")).distinct().select("query_id", "hash", F.lit("two_hop_pair").alias("candidate_type"), F.lit(2).alias("graph_hops"))
-    hop = one.join(u, F.col("a") == F.col("p")).select("query_id", "hash", F.lit("one_hop_seed").alias("candidate_type"), F.lit(1).alias("graph_hops")).distinct()
+    # Each distinct seed's first k relations, found once however many queries name it.
+    near = one.select("a").distinct().join(u.select("p", "hash").distinct(), F.col("a") == F.col("p")).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("hash"))).where(F.col("_n") <= k)
+    hop = one.join(near.select("a", "hash"), "a").select("query_id", "hash", F.lit("one_hop_seed").alias("candidate_type"), F.lit(1).alias("graph_hops"))
     every = direct.unionByName(two).unionByName(hop)
     kind = F.when(F.col("candidate_type") == "direct_pair", 0).otherwise(1)
     best = every.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "hash").orderBy(kind))).where("_n = 1").drop("_n")

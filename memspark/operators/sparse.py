@@ -43,20 +43,27 @@ def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, mode: str = "word", n: int = 2, live: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, mode: str = "word", n: int = 2, live: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, hash, score, rank). The statistics are those of all docs; `live` filters before the k best are taken.
 
-    idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6. Terms that no query has are dropped before anything is shuffled.
+    idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6. Scores are rounded to nine digits, so that ties don't depend on
+    the order in which terms are added. Terms that no query has are dropped before anything is shuffled. index: the docs'
+    postings in the same mode, so that no text is read.
     """
-    tokenised = cut(docs.select("hash", _all_tokens(F.col("content"), mode, n).alias("_t")))
-    stats = tokenised.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl"))
     terms = query_terms(queries, mode, n)
-    hit = cut(_count(tokenised, terms.select("term").distinct()))
+    wanted = terms.select("term").distinct()
+    if index is None:
+        tokenised = cut(docs.select("hash", _all_tokens(F.col("content"), mode, n).alias("_t")))
+        stats = tokenised.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl"))
+        hit = cut(_count(tokenised, wanted))
+    else:
+        stats = docs.agg(F.count(F.lit(1)).alias("N")).crossJoin(index.agg(F.sum("tf").alias("_all"))).select("N", (F.col("_all") / F.col("N")).alias("avgdl"))  # single rows
+        hit = cut(index.join(wanted, "term", "left_semi"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = j.groupBy("query_id", "hash").agg(F.sum(part).alias("score"))
+    scored = j.groupBy("query_id", "hash").agg(F.round(F.sum(part), 9).alias("score"))
     if live is not None:
         scored = scored.join(docs.where(live).select("hash"), "hash", "left_semi")
     return top(scored, k)

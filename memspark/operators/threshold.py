@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Threshold
@@ -39,20 +39,29 @@ def adaptive(results: DataFrame, config: Threshold = Threshold()) -> DataFrame:
 
 
 def adjusted(history: DataFrame, tolerance: float = 0.2, window: int = 10) -> DataFrame:
-    """history(stream, at, threshold) in order: a threshold that is off the mean of the last ten by over 0.2 moves halfway there.
+    """history(stream, at, threshold) in order: a threshold that is off the mean of the last ten adjusted ones by over 0.2 moves halfway there.
 
-    The fold keeps the adjusted thresholds as history; a stream's calls are few.
+    Each value depends on those before it, so this is a fold over a stream's rows in order. Rows arrive sorted and in
+    batches, and the state carried on is one stream's last ten values: a stream of any length takes constant memory.
     """
-    items = history.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("at", "threshold"))).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.slice(acc, F.greatest(F.size(acc) - window + 1, F.lit(1)), window)
-        mean = F.aggregate(last, F.lit(0.0), lambda s, y: s + y["t"]) / F.greatest(F.size(last), F.lit(1))
-        off = (F.size(acc) > 0) & (F.abs(x["threshold"] - mean) > tolerance)
-        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), F.when(off, (x["threshold"] + mean) / 2).otherwise(x["threshold"]).alias("t"))))
-
-    empty = F.array().cast(f"array<struct<at:{dict(history.dtypes)['at']},t:double>>")
-    return items.select("stream", F.inline(F.aggregate("xs", empty, step))).withColumnRenamed("t", "threshold")
+    rows = history.select("stream", "at", F.col("threshold").cast("double").alias("threshold"))
+
+    def fold(batches):
+        import pandas as pd
+
+        stream, last = None, []
+        for b in batches:
+            out = []
+            for s, t in zip(b["stream"], b["threshold"], strict=True):
+                if (s,) != stream:
+                    stream, last = (s,), []
+                mean = sum(last) / len(last) if last else t
+                t = (t + mean) / 2 if abs(t - mean) > tolerance else t
+                last = [*last, t][-window:]
+                out.append(t)
+            yield b.assign(threshold=pd.Series(out, index=b.index, dtype=float))
+
+    return rows.repartition("stream").sortWithinPartitions("stream", "at", "threshold").mapInPandas(fold, rows.schema)
 
 
 def by_confidence(results: DataFrame, minimum: float = 0.5) -> DataFrame:

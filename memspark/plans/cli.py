@@ -1,7 +1,11 @@
 """Batch entry points over a snapshot root, for spark-submit.
 
     spark-submit memspark/plans/cli.py ROOT sources | delete-source NAME | rebuild-episodes [SOURCE...] | backfill-times | backfill-vectors |
-        import-files PATH | import-json PATH | maintain | audit
+        import-files PATH | import-json PATH [REJECTED [MOST_REJECTED]] | maintain [HITS] | audit
+
+import-json writes documents of no known shape to REJECTED, and stops before anything is committed if there are more than
+MOST_REJECTED. HITS is a table of relation hashes that were used since the last run, as streaming.jobs.reinforce_buffer
+makes it. A commit writes only the tables that a command changes, and fails if another commit came between.
 """
 
 from __future__ import annotations
@@ -33,8 +37,13 @@ def import_files(s: Snapshots, files: DataFrame, now: float) -> int:
     return publish(s, ingest.persist(s.store(), items, now), "files")
 
 
-def import_json(s: Snapshots, files: DataFrame, now: float) -> int:
-    """JSON documents of any known shape."""
+def import_json(s: Snapshots, files: DataFrame, now: float, rejected: str | None = None, most: int | None = None) -> int:
+    """JSON documents of any known shape; the others are rejected."""
+    bad = files.where(ingest.json_shape(F.col("content")) == "unknown")
+    if rejected is not None:
+        bad.write.mode("append").parquet(rejected)
+    if most is not None and bad.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} documents are of no known shape")
     u = ingest.json_units(files.select("path", F.col("content").alias("raw")))
     p = u["paragraphs"].withColumn("ord", F.xxhash64("path", "ord"))
     if "time" in p.columns:
@@ -56,6 +65,11 @@ def publish(s: Snapshots, store: dict[str, DataFrame], note: str) -> int:
     return s.commit({t: store[t] for t in INGESTED} | {"edge": edge, "node": node}, note)
 
 
+def changed(store: dict[str, DataFrame], out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables that are not those of the store."""
+    return {name: df for name, df in out.items() if df is not store.get(name)}
+
+
 def run(spark: SparkSession, root: str, command: str, rest: list[str], now: float | None = None):
     """Runs a command; returns a frame, or the new version."""
     s, now = Snapshots(spark, root), now or time.time()
@@ -65,7 +79,7 @@ def run(spark: SparkSession, root: str, command: str, rest: list[str], now: floa
     if command == "audit":
         return joins.audit(store["vector"], store["paragraph"], store["entity"], store["relation"])
     if command == "delete-source":
-        return s.commit(dml.delete_source(store, rest[0]), f"delete {rest[0]}")
+        return s.commit(changed(store, dml.delete_source(store, rest[0])), f"delete {rest[0]}")
     if command == "rebuild-episodes":
         p = store["paragraph"].select("source")
         jobs.rebuild_episodes(s, lambda: now)(p.where(F.col("source").isin(*rest)) if rest else p, 0)
@@ -77,9 +91,12 @@ def run(spark: SparkSession, root: str, command: str, rest: list[str], now: floa
         return s.commit({"relation": rel, "vector": vec}, command)
     if command in ("import-files", "import-json"):
         files = readers.text_files(spark, rest[0], extensions=(".json",) if command == "import-json" else (".txt", ".md"))
-        return (import_json if command == "import-json" else import_files)(s, files, now)
+        if command == "import-json":
+            return import_json(s, files, now, *rest[1:2], *map(int, rest[2:3]))
+        return import_files(s, files, now)
     if command == "maintain":
-        return s.commit(lifecycle.maintain(store, store["relation"].limit(0).select("hash"), now), command)
+        hits = spark.read.parquet(rest[0]).select("hash") if rest else store["relation"].limit(0).select("hash")
+        return s.commit(changed(store, lifecycle.maintain(store, hits, now)), command)
     if command == "check":
         return hooks.self_check(store["vector"], int(rest[0]))
     raise ValueError(f"unknown command {command}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.time import effective_end, effective_start, overlaps
-from ..operators import aggregate, episode, fusion, graph, joins, knn, sparse, threshold
+from ..operators import aggregate, catalog, dml, episode, fusion, graph, joins, knn, profile, sparse, threshold
 from ..operators.catalog import LIVE
 from ..sources.snapshot import cut
 
@@ -29,13 +29,34 @@ def parse_relation_query(c: Column) -> Column:
 
 
 class Engine:
-    """Answers batches of queries(query_id, text, embedding) over a store of tables."""
+    """Answers batches of queries(query_id, text, embedding) over a store of tables.
+
+    With tables `paragraph_index` and `relation_index` (postings of paragraphs and of relations) sparse recall reads no text.
+    """
 
     def __init__(self, store: dict[str, DataFrame], config: Config = Config()):
         self.store, self.config = store, config
 
-    def _live(self) -> DataFrame:
-        return self.store["paragraph"].where(LIVE)
+    def _live(self, person: str | None = None) -> DataFrame:
+        live = self.store["paragraph"].where(LIVE)
+        return live if person is None else catalog.of_person(live, self.store["paragraph_entity"], self.store["entity"], person)
+
+    def _sparse(self, docs: DataFrame, queries: DataFrame, k: int, postings: str, among: DataFrame | None = None) -> DataFrame:
+        """The k best by BM25; queries without any hit take what n-grams, and after these substrings, find. among: the docs that may be found."""
+        c = self.config.sparse
+        live = None
+        if among is not None:
+            docs = docs.join(among.select("hash", F.lit(True).alias("_live")), "hash", "left")
+            live = F.coalesce("_live", F.lit(False))
+        index = self.store.get(postings) if c.tokenizer == "word" else None
+        hits = cut(sparse.bm25(docs, queries, k, c.k1, c.b, c.tokenizer, c.ngram, live, index).select("query_id", "hash", "score"))
+        for fallback in (sparse.ngram_search, sparse.substring_search):
+            missing = cut(queries.select("query_id", "text").where("trim(coalesce(text, '')) != ''").join(hits.select("query_id").distinct(), "query_id", "left_anti"))
+            if missing.isEmpty():
+                return hits
+            found = fallback(docs if live is None else docs.where(live), missing).select("query_id", "hash", "score")
+            hits = cut(sparse.with_fallback(hits, found, missing))
+        return hits
 
     def _in_time(self, hits: DataFrame, lower: float | None, upper: float | None, source: str | None = None) -> DataFrame:
         """Hits whose paragraph meets the window, with its interval."""
@@ -43,20 +64,23 @@ class Engine:
         p = p.where(overlaps(effective_start(), effective_end(), lower, upper)).select("hash", effective_start().alias("effective_start"), effective_end().alias("effective_end"))
         return hits.join(p, "hash")
 
-    def paragraphs(self, queries: DataFrame, k: int | None = None, lower: float | None = None, upper: float | None = None, source: str | None = None) -> DataFrame:
-        """Dense and sparse recall, filtered, gated, fused. Deleted rows, time and source are filtered before the best of either are taken."""
+    def paragraphs(self, queries: DataFrame, k: int | None = None, lower: float | None = None, upper: float | None = None, source: str | None = None, person: str | None = None) -> DataFrame:
+        """Dense and sparse recall, filtered, gated, fused. Deleted rows, time, source and person are filtered before the best of either are taken.
+
+        Queries that ask for a relation always take sparse recall too.
+        """
         c = self.config
         k = knn.scan_k(k or c.top_k_paragraphs, lower is not None or upper is not None, c.temporal_multiplier, c.max_scan)
-        wanted = F.expr(LIVE)
+        live = self._live(person)
         if source is not None:
-            wanted = wanted & (F.col("source") == source)
+            live = live.where(F.col("source") == source)
         if lower is not None or upper is not None:
-            wanted = wanted & overlaps(effective_start(), effective_end(), lower, upper)
-        live = self.store["paragraph"].where(wanted)
+            live = live.where(overlaps(effective_start(), effective_end(), lower, upper))
         vectors = self.store["vector"].where("item_type = 'paragraph'").join(live.select("hash"), "hash", "left_semi")
         dense = cut(knn.search(vectors, queries, k).select("query_id", "hash", "score"))
-        use = sparse.gate(queries, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id")
-        words = sparse.bm25(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, c.sparse.k1, c.sparse.b, live=wanted).select("query_id", "hash", "score")
+        forced = fusion.relation_intent(queries).where("force_sparse").select("query_id")
+        use = sparse.gate(queries, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id").union(forced).distinct()
+        words = self._sparse(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, "paragraph_index", live)
         return fusion.rrf([(dense, c.fusion.vector_weight), (fusion.minmax(words), c.fusion.sparse_weight)], c.fusion.rrf_k)
 
     def relations(self, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -67,7 +91,7 @@ class Engine:
         active = self.store["relation"].where("not coalesce(is_inactive, false)")
         vectors = self.store["vector"].where("item_type = 'relation'").join(active.select("hash"), "hash", "left_semi")
         dense = knn.search(vectors, queries, k).select("query_id", "hash", "score")
-        words = sparse.bm25(sparse.relation_docs(active), queries, c.sparse.relation_k, c.sparse.k1, c.sparse.b).select("query_id", "hash", "score")
+        words = self._sparse(sparse.relation_docs(self.store["relation"]), queries, c.sparse.relation_k, "relation_index", active)
         asked = q.where("relation_intent").select("query_id", "text")
         seeds = graph.seed_entities(asked, self.store["node"])
         found = graph.recall(seeds, self.store["edge"], c.graph.recall_k, c.graph.two_hop_below)
@@ -77,14 +101,20 @@ class Engine:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "hash")
         return merged.withColumn("_n", F.row_number().over(w)).join(q.select("query_id", "relation_top_k"), "query_id").where(F.col("_n") <= F.col("relation_top_k")).select("query_id", "hash", "score")
 
-    def search(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, ppr: bool = False, threshold_on: bool = True) -> DataFrame:
-        """The two paths fused, reranked, cut by the adaptive threshold, without repeated contents."""
+    def search(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, ppr: bool = False, threshold_on: bool = True, person: str | None = None, paths_on: bool = True) -> DataFrame:
+        """The two paths fused, reranked, cut by the adaptive threshold, without repeated contents.
+
+        Queries that ask for a relation see few relations of one pair; weak answers get the paths between the two
+        entities they name in front; within a time window equal scores go by the latest time.
+        """
         c = self.config
-        q = fusion.relation_intent(queries, c.top_k_final, c.top_k_relations, c.intent.alpha)
+        q = fusion.relation_intent(queries, c.top_k_final, c.top_k_relations, c.intent.alpha, c.intent.candidate_multiplier, c.intent.preserve, c.intent.pair_limit)
         # Results of each path are few rows a query and are read several times below: written once, not computed again.
-        p, r = cut(self.paragraphs(queries, None, lower, upper, source)), cut(self.relations(queries))
-        if lower is not None or upper is not None:
-            r = r.join(joins.best_support(self.store["paragraph_relation"], self._live(), lower, upper).select(F.col("relation_hash").alias("hash")), "hash", "left_semi")
+        p, r = cut(self.paragraphs(queries, None, lower, upper, source, person)), cut(self.relations(queries))
+        timed = lower is not None or upper is not None
+        if timed or person is not None:
+            support = joins.best_support(self.store["paragraph_relation"], self._live(person), lower, upper).withColumnRenamed("relation_hash", "hash")
+            r = r.join(support.select("hash"), "hash", "left_semi")
         alpha = q.select("query_id", F.coalesce("alpha", F.lit(c.alpha)).alias("_a"))
         fused = cut(fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve))
         if ppr:
@@ -94,22 +124,50 @@ class Engine:
             fused = fusion.ppr_rerank(fused, self.store["paragraph_entity"], rank.join(names, "node").select("query_id", "entity_hash", F.col("score").alias("ppr")), c.ppr_weight)
         if threshold_on:
             fused = threshold.adaptive(fused, c.threshold)
-        content = self.store["paragraph"].select("hash", "content", "source").unionByName(self.store["relation"].select("hash", F.concat_ws(" ", "subject", "predicate", "object").alias("content"), F.lit("relation").alias("source")))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "result_type", "hash")
-        ranked = fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= c.top_k_final)
-        return fusion.content_dedup(ranked.join(content, "hash"), c.top_k_final)
-
-    def in_time(self, queries: DataFrame, lower: float | None, upper: float | None, source: str | None = None, k: int | None = None) -> DataFrame:
+        fused = fused.select("query_id", "hash", "score", "result_type").withColumn("rank", F.row_number().over(w))
+        limited = q.where("pair_limit > 0").select("query_id")
+        asked = fusion.pair_rerank(fused.join(limited, "query_id", "left_semi"), self.store["relation"], c.intent.pair_limit)
+        ranked = fused.join(limited, "query_id", "left_anti").unionByName(asked)
+        if timed:
+            mine = joins.best_support(self.store["paragraph_relation"], self._live(), lower, upper).select(F.col("relation_hash").alias("hash"), "effective_start", "effective_end")
+            when = self._live().select("hash", effective_start().alias("effective_start"), effective_end().alias("effective_end")).unionByName(mine)
+            ranked = fusion.temporal_sort(ranked.join(when, "hash", "left"))
+        ranked = cut(ranked.where(F.col("rank") <= c.top_k_final).select("query_id", "hash", "score", "result_type", "rank"))
+        content = self.store["paragraph"].select("hash", "content", "source").unionByName(self.store["relation"].select("hash", F.concat_ws(" ", "subject", "predicate", "object").alias("content"), F.lit("relation").alias("source")))
+        found = ranked.join(content, "hash")
+        if paths_on:
+            walks = self._paths_for(queries, ranked)
+            if walks is not None:
+                first = fusion.with_paths(ranked, walks, c.path_below).where(F.col("rank") <= c.top_k_final)
+                texts = walks.select("query_id", "hash", "content", F.lit("path").alias("source"))
+                found = first.where("result_type != 'path'").join(content, "hash").unionByName(first.where("result_type = 'path'").join(texts, ["query_id", "hash"]))
+        return fusion.content_dedup(found, c.top_k_final)
+
+    def _paths_for(self, queries: DataFrame, ranked: DataFrame) -> DataFrame | None:
+        """(query_id, hash, content) of the paths between the two entities that a query with weak results names; None if no query does."""
+        c = self.config
+        best = ranked.groupBy("query_id").agg(F.max("score").alias("best"))
+        weak = queries.select("query_id", "text").join(best, "query_id", "left").where(F.coalesce(F.col("best") < c.path_below, F.lit(True))).select("query_id", "text")
+        seeds = graph.seed_entities(weak, self.store["node"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "canon"))).alias("x"))
+        pairs = cut(seeds.where(F.size("x") == 2).select("query_id", F.col("x")[0]["canon"].alias("a"), F.col("x")[1]["canon"].alias("b")))
+        if pairs.isEmpty():
+            return None
+        walks = graph.paths(self.store["edge"], pairs, c.graph.max_depth, c.graph.max_paths)
+        text = F.array_join("nodes", " -> ")
+        return cut(walks.select("query_id", F.concat(F.lit("path-"), F.sha2(text, 256)).alias("hash"), text.alias("content")))
+
+    def in_time(self, queries: DataFrame, lower: float | None, upper: float | None, source: str | None = None, k: int | None = None, person: str | None = None) -> DataFrame:
         """By time alone: the newest paragraphs of the window for each query."""
-        p = self._live() if source is None else self._live().where(F.col("source") == source)
+        p = self._live(person) if source is None else self._live(person).where(F.col("source") == source)
         p = p.where(overlaps(effective_start(), effective_end(), lower, upper)).select("hash", "content", effective_start().alias("effective_start"), effective_end().alias("effective_end"), "updated_at")
         top = p.orderBy(F.desc("effective_end"), F.desc("updated_at"), "hash").limit(k or self.config.top_k_final).withColumn("score", F.lit(1.0))
         return fusion.temporal_sort(queries.select("query_id").crossJoin(F.broadcast(top)))  # k rows
 
-    def episodes(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, k: int = 5) -> DataFrame:
-        """Visible episodes by their words and by the evidence that search finds."""
-        e = joins.visible_episodes(self.store["episode"], self.store["rebuild_source"], lower, upper, source)
-        hits = self.search(queries, threshold_on=False).select("query_id", "hash", "rank", "result_type")
+    def episodes(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, k: int = 5, person: str | None = None) -> DataFrame:
+        """Visible episodes by their words and by the evidence that search finds. person: those that name the person, or whose paragraphs do."""
+        e = joins.visible_episodes(self.store["episode"], self.store["rebuild_source"], lower, upper, source, person, self.store["episode_paragraph"], self.store["paragraph_entity"], self.store["entity"])
+        hits = self.search(queries, threshold_on=False, paths_on=False).select("query_id", "hash", "rank", "result_type")
         p, r = hits.where("result_type = 'paragraph'"), hits.where("result_type = 'relation'")
         by_p = joins.episodes_of_paragraphs(p, self.store["episode_paragraph"], e)
         by_r = joins.episodes_of_relations(r, self.store["paragraph_relation"], self.store["episode_paragraph"], e)
@@ -141,5 +199,20 @@ class Engine:
         return exact.unionByName(better.select("query_id", "hash", "score")).unionByName(found.join(weak, "query_id", "left_anti"))
 
     def query(self, mode: str, queries: DataFrame, **options) -> DataFrame:
-        """X11: by mode: search, time, episode, aggregate, relation."""
-        return {"search": self.search, "time": self.in_time, "episode": self.episodes, "aggregate": self.aggregate, "relation": self.relation_query}[mode](queries, **options)
+        """By mode: search, time, episode, aggregate, relation, entity, person."""
+        return {"search": self.search, "time": self.in_time, "episode": self.episodes, "aggregate": self.aggregate, "relation": self.relation_query, "entity": self.entities, "person": self.persons}[mode](queries, **options)
+
+    def entities(self, queries: DataFrame) -> DataFrame:
+        """The entity that a query's text names, by hash, exact or canonical name, with its neighbours and paragraphs."""
+        known = dml.resolve_entities(self.store["entity"], queries.select(F.col("text").alias("spec")).distinct())
+        cards = catalog.entity_cards(self.store["entity"], self.store["edge"], self.store["paragraph_entity"])
+        return queries.select("query_id", F.col("text").alias("spec")).join(known, "spec").join(cards, "hash").select("query_id", "hash", "name", "neighbors", "paragraphs")
+
+    def persons(self, queries: DataFrame, persons: DataFrame, now: float) -> DataFrame:
+        """The person that a query's text names, by id, name or nickname, with the latest profile, a manual one first, and whether it is out of date."""
+        found = profile.resolve(persons, queries.select(F.col("text").alias("key")).distinct())
+        snapshots = self.store["profile_snapshot"]
+        latest = profile.with_override(profile.latest(snapshots), self.store["profile_override"])
+        old = profile.stale(snapshots, now).select("person_id", F.lit(True).alias("stale"))
+        rows = queries.select("query_id", F.col("text").alias("key")).join(found, "key").join(latest, "person_id", "left").join(old, "person_id", "left")
+        return rows.select("query_id", "person_id", "profile_text", F.coalesce("overridden", F.lit(False)).alias("overridden"), F.coalesce("stale", F.lit(True)).alias("stale"))

@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.snapshot import cut
+from ..operators import sparse
+from ..sources.snapshot import exists, write
 
 T0 = 1_704_067_200
 NOW = T0 + 2_000_000.0
 
 
 class Fixtures:
-    """Each table of the store as a frame over the files in sf_dir; nothing is read before it is used."""
+    """Each table of the store as a frame over the files in sf_dir; nothing is read before it is used.
+
+    What stands for a table of a real store is written once for each application and folder, and read by all queries
+    after; the files in sf_dir must not change meanwhile.
+    """
+
+    _written: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir.rstrip("/"), name)
+        if key not in self._written or not exists(self.spark, self._written[key][1]):
+            self._written[key] = write(build())
+        return self._written[key][0]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def para(self) -> DataFrame:
-        d, i = self.table("documents"), F.col("doc_id")
+        return self.stored("paragraph", self._para)
+
+    def _para(self) -> DataFrame:
+        d, i = self.table("documents").repartition("doc_id"), F.col("doc_id")  # texts in few row groups are dealt to all tasks
         created = (F.lit(T0) + i * 3600).cast("double")
         p = d.select("doc_id", "source", tx.normalize(F.col("text")).alias("content"), created.alias("created_at"))
         timed = i % 3 == 0
@@ -45,10 +63,13 @@ class Fixtures:
         for table, col in t:
             df = self.table(table).select(F.col(col).alias("name"))
             out = df if out is None else out.unionByName(df)
-        return out
+        return out.unionByName(self.table("documents").where("source is not null").select(F.col("source").alias("name")))  # names without an edge
 
     @cached_property
     def entity(self) -> DataFrame:
+        return self.stored("entity", self._entity)
+
+    def _entity(self) -> DataFrame:
         e = self.names.groupBy(tx.entity_hash(F.col("name")).alias("hash")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("appearance_count"))
         dead = F.substring("hash", 1, 1) == "3"
         return e.select("hash", "name", "appearance_count", F.lit(float(T0)).alias("created_at"), dead.alias("is_deleted"), F.when(dead, F.lit(T0 + 60.0)).alias("deleted_at"))
@@ -69,38 +90,48 @@ class Fixtures:
 
     @cached_property
     def relation(self) -> DataFrame:
+        return self.stored("relation", self._relation)
+
+    def _relation(self) -> DataFrame:
         h = tx.relation_hash(F.col("subject"), F.col("predicate"), F.col("object"))
         t = self.triples.withColumn("hash", h)
         d = lambda i: F.substring("hash", i, 1)
         idle = d(1).isin("1", "2")
         created = (F.lit(T0) + F.col("n") * 1000).cast("double")
-        # Several times read by most queries: a table, as in a real store.
-        return cut(t.select(
+        return t.select(
             "hash", "subject", "predicate", "object", F.least(F.lit(1.0), F.col("n") / 10.0).alias("confidence"),
             F.when(d(4).isin("0", "1"), "ready").when(d(4) == "2", "pending").when(d(4) == "3", "failed").alias("vector_state"), F.lit(None).cast("double").alias("vector_updated_at"),
             F.lit(None).cast("string").alias("vector_error"), F.when(d(4) == "3", 2).otherwise(0).alias("vector_retry_count"), created.alias("created_at"), F.lit(None).cast("string").alias("source_paragraph"),
             F.lit(False).alias("is_permanent"), F.lit(None).cast("double").alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"), idle.alias("is_inactive"),
             F.when(idle, F.lit(NOW) - F.col("n") * 40000).alias("inactive_since"), (d(2) == "5").alias("is_pinned"), F.when(d(3) == "7", F.lit(NOW + 100)).alias("protected_until"),
             F.when(d(5) == "9", F.lit(NOW - 10)).alias("last_reinforced"), "key",
-        ))
+        )
 
     @cached_property
     def edge(self) -> DataFrame:
-        return cut(self.relation.groupBy(F.lower("subject").alias("src"), F.lower("object").alias("dst")).agg(F.sum("confidence").alias("weight"), F.array_sort(F.collect_set("hash")).alias("relation_hashes")))
+        build = lambda: self.relation.groupBy(F.lower("subject").alias("src"), F.lower("object").alias("dst")).agg(F.sum("confidence").alias("weight"), F.array_sort(F.collect_set("hash")).alias("relation_hashes"))
+        return self.stored("edge", build)
 
     @cached_property
     def node(self) -> DataFrame:
-        return self.names.groupBy(F.lower(F.trim("name")).alias("canon")).agg(F.min("name").alias("name"))
+        return self.stored("node", lambda: self.names.groupBy(F.lower(F.trim("name")).alias("canon")).agg(F.min("name").alias("name")))
+
+    def _linked(self, keyed: DataFrame) -> DataFrame:
+        """Rows with a key, each with the paragraph whose doc_id is a hash of the key modulo the number of documents: some get many, some none."""
+        n = self.table("documents").agg(F.count(F.lit(1)).alias("_n"))
+        p = self.para.select(F.col("hash").alias("paragraph_hash"), "doc_id")
+        spread = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("bigint")
+        return keyed.crossJoin(F.broadcast(n)).withColumn("doc_id", spread % F.col("_n")).join(p, "doc_id")  # one row
 
     @cached_property
     def paragraph_relation(self) -> DataFrame:
-        r = self.relation.select(F.col("hash").alias("relation_hash"), (F.col("key") % 1000).alias("doc_id"))
-        return r.join(self.para.select(F.col("hash").alias("paragraph_hash"), "doc_id"), "doc_id").select("paragraph_hash", "relation_hash")
+        build = lambda: self._linked(self.relation.select(F.col("hash").alias("relation_hash"), "key")).select("paragraph_hash", "relation_hash")
+        return self.stored("paragraph_relation", build)
 
     @cached_property
     def paragraph_entity(self) -> DataFrame:
-        c = self.table("customer").select(tx.entity_hash(F.col("c_name")).alias("entity_hash"), (F.col("c_custkey") % 1000).alias("doc_id"), (1 + F.col("c_custkey") % 3).cast("int").alias("mention_count"))
-        return c.join(self.para.select(F.col("hash").alias("paragraph_hash"), "doc_id"), "doc_id").select("paragraph_hash", "entity_hash", "mention_count")
+        c = self.table("customer").select(tx.entity_hash(F.col("c_name")).alias("entity_hash"), F.col("c_custkey").alias("key"), (1 + F.col("c_custkey") % 3).cast("int").alias("mention_count"))
+        return self.stored("paragraph_entity", lambda: self._linked(c).select("paragraph_hash", "entity_hash", "mention_count"))
 
     @cached_property
     def vector(self) -> DataFrame:
@@ -108,8 +139,18 @@ class Fixtures:
 
     @cached_property
     def queries(self) -> DataFrame:
-        d = self.table("documents").where("doc_id < 8").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split(tx.normalize(F.col("text")), r"\s+"), 1, 12), " ").alias("text"))
-        return d.join(self.table("embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+        """Whole texts and embeddings of the rows with an id divisible by 100; one without the other asks with what it has."""
+        d = self.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), tx.normalize(F.col("text")).alias("text"))
+        e = self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        return d.join(e, "query_id", "full").withColumn("text", F.coalesce("text", F.lit("")))
+
+    @cached_property
+    def posting(self) -> DataFrame:
+        return self.stored("posting", lambda: sparse.postings(self.para))
+
+    @cached_property
+    def relation_posting(self) -> DataFrame:
+        return self.stored("relation_posting", lambda: sparse.postings(sparse.relation_docs(self.relation)))
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -119,7 +160,19 @@ class Fixtures:
     @cached_property
     def words(self) -> DataFrame:
         """Another over some of the same keys: by the lines' quantity."""
-        return self.table("lineitem").where("l_linenumber <= 2").groupBy(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("hash")).agg((F.sum("l_quantity") / 100).cast("double").alias("score"))
+        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("hash")).agg((F.sum("l_quantity") / 100).cast("double").alias("score"))
+
+    @cached_property
+    def streams(self) -> DataFrame:
+        return self.table("events").select(F.col("event_type").alias("stream_id"), F.concat(F.lit("g"), F.col("user_id") % 4).alias("group_id"), F.col("user_id").cast("string").alias("user_id")).distinct()
+
+    @cached_property
+    def chat(self) -> DataFrame:
+        """Chat history: a row a conversation."""
+        c = self.table("conversations")
+        g = c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("p"), F.min_by("text", "turn").alias("t"))
+        first = F.split(tx.normalize(F.col("t")), " ")
+        return g.select(F.col("conv_id").alias("id"), F.concat(F.lit("c"), F.col("conv_id") % 7).alias("chat_id"), F.col("conv_id").cast("double").alias("start_time"), (F.col("conv_id") + 60).cast("double").alias("end_time"), F.to_json("p").alias("participants"), first[0].alias("theme"), F.to_json(F.slice(first, 1, 3)).alias("keywords"), F.col("t").alias("summary"))
 
     @cached_property
     def deleted_relation(self) -> DataFrame:
@@ -150,45 +203,15 @@ class Fixtures:
         return {k: getattr(self, k) for k in ("entity", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "vector", "deleted_relation", "rebuild_source", "episode", "episode_paragraph")} | {"paragraph": self.para}
 
 
-class Whole(Fixtures):
-    """The same store without a cut: every 100th row asks with its whole text, all paragraphs can have links, all lines make the lists."""
-
-    @cached_property
-    def queries(self) -> DataFrame:
-        """Texts and embeddings with an id divisible by 100; one without the other asks with what it has."""
-        d = self.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), tx.normalize(F.col("text")).alias("text"))
-        e = self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-        return d.join(e, "query_id", "full").withColumn("text", F.coalesce("text", F.lit("")))
-
-    def _linked(self, keyed: DataFrame) -> DataFrame:
-        """Rows with a key, each with the paragraph whose doc_id is the key modulo the number of documents."""
-        n = self.table("documents").agg(F.count(F.lit(1)).alias("_n"))
-        p = self.para.select(F.col("hash").alias("paragraph_hash"), "doc_id")
-        return keyed.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("key") % F.col("_n")).join(p, "doc_id")  # one row
-
-    @cached_property
-    def paragraph_relation(self) -> DataFrame:
-        return self._linked(self.relation.select(F.col("hash").alias("relation_hash"), "key")).select("paragraph_hash", "relation_hash")
-
-    @cached_property
-    def paragraph_entity(self) -> DataFrame:
-        c = self.table("customer").select(tx.entity_hash(F.col("c_name")).alias("entity_hash"), F.col("c_custkey").alias("key"), (1 + F.col("c_custkey") % 3).cast("int").alias("mention_count"))
-        return self._linked(c).select("paragraph_hash", "entity_hash", "mention_count")
-
-    @cached_property
-    def words(self) -> DataFrame:
-        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("hash")).agg((F.sum("l_quantity") / 100).cast("double").alias("score"))
-
-
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g')"
+NORM = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g')"
 _SQL = {
     "para": rf"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM (
         SELECT sha256(content) AS hash, content, source, doc_id, len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) AS word_count, c AS created_at, c AS updated_at,
         CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN c END AS event_time, CASE WHEN doc_id % 3 = 0 THEN c END AS event_time_start, CASE WHEN doc_id % 3 = 0 THEN c + 7200 END AS event_time_end,
         CASE WHEN doc_id % 3 = 0 THEN 'minute' ELSE 'day' END AS time_granularity, doc_id % 17 = 0 AS is_deleted,
         CASE WHEN doc_id % 11 = 0 THEN 'quote' WHEN doc_id % 7 = 0 THEN 'factual' WHEN doc_id % 13 = 0 THEN '' ELSE 'mixed' END AS knowledge_type
-        FROM (SELECT doc_id, source, {_NORM} AS content, CAST({T0} + doc_id * 3600 AS DOUBLE) AS c FROM documents))) WHERE rn = 1""",
-    "names": "SELECT c_name AS name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_brand FROM part",
+        FROM (SELECT doc_id, source, {NORM} AS content, CAST({T0} + doc_id * 3600 AS DOUBLE) AS c FROM documents))) WHERE rn = 1""",
+    "names": "SELECT c_name AS name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_brand FROM part UNION ALL SELECT source FROM documents WHERE source IS NOT NULL",
     "entity": f"SELECT sha256(lower(trim(name))) AS hash, min(name) AS name, count(*) AS appearance_count, CAST({T0} AS DOUBLE) AS created_at, sha256(lower(trim(name)))[1] = '3' AS is_deleted FROM names GROUP BY 1",
     "triples": """SELECT c_name AS subject, 'located_in' AS predicate, n_name AS object, count(*) AS n, min(c_custkey) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
         UNION ALL SELECT s_name, 'located_in', n_name, count(*), min(s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL
@@ -200,12 +223,13 @@ _SQL = {
         FROM (SELECT *, sha256(lower(subject) || '|' || lower(predicate) || '|' || lower(object)) AS hash FROM triples)""",
     "edge": "SELECT lower(subject) AS src, lower(object) AS dst, sum(confidence) AS weight, list_sort(list(DISTINCT hash)) AS relation_hashes FROM relation GROUP BY 1, 2",
     "node": "SELECT lower(trim(name)) AS canon, min(name) AS name FROM names GROUP BY 1",
-    "paragraph_relation": "SELECT p.hash AS paragraph_hash, r.hash AS relation_hash FROM relation r JOIN para p ON p.doc_id = r.key % 1000",
-    "paragraph_entity": "SELECT p.hash AS paragraph_hash, sha256(lower(trim(c_name))) AS entity_hash, (1 + c_custkey % 3)::INT AS mention_count FROM customer JOIN para p ON p.doc_id = c_custkey % 1000",
+    "paragraph_relation": "SELECT p.hash AS paragraph_hash, r.hash AS relation_hash FROM (SELECT hash, ('0x' || md5(key::VARCHAR)[1:8])::BIGINT % (SELECT count(*) FROM documents) AS doc_id FROM relation) r JOIN para p USING (doc_id)",
+    "paragraph_entity": "SELECT p.hash AS paragraph_hash, entity_hash, mention_count FROM (SELECT sha256(lower(trim(c_name))) AS entity_hash, (1 + c_custkey % 3)::INT AS mention_count, ('0x' || md5(c_custkey::VARCHAR)[1:8])::BIGINT % (SELECT count(*) FROM documents) AS doc_id FROM customer) JOIN para p USING (doc_id)",
     "vector": "SELECT 'v' || vec_id AS hash, CASE WHEN vec_id % 4 = 3 THEN 'relation' ELSE 'paragraph' END AS item_type, embedding FROM embeddings",
-    "queries": rf"SELECT doc_id AS query_id, array_to_string(string_split_regex({_NORM}, '\s+')[1:12], ' ') AS text, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id < 8",
+    "queries": f"SELECT coalesce(doc_id, vec_id) AS query_id, coalesce(t, '') AS text, embedding FROM (SELECT doc_id, {NORM} AS t FROM documents WHERE doc_id % 100 = 0) FULL JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) ON vec_id = doc_id",
+    "chat": f"SELECT conv_id AS id, 'c' || (conv_id % 7) AS chat_id, conv_id::DOUBLE AS start_time, (conv_id + 60)::DOUBLE AS end_time, string_split({NORM}, ' ')[1] AS theme, text AS summary FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)",
     "dense": "SELECT l_suppkey AS query_id, 'p' || l_partkey AS hash, (max(l_extendedprice) / 199999.7)::DOUBLE AS score FROM lineitem GROUP BY 1, 2",
-    "words": "SELECT l_suppkey AS query_id, 'p' || l_partkey AS hash, (sum(l_quantity) / 100)::DOUBLE AS score FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2",
+    "words": "SELECT l_suppkey AS query_id, 'p' || l_partkey AS hash, (sum(l_quantity) / 100)::DOUBLE AS score FROM lineitem GROUP BY 1, 2",
     "deleted_relation": "SELECT *, created_at + 5 AS deleted_at FROM relation WHERE hash[1] = '0' UNION ALL SELECT * REPLACE ('x' || hash[2:] AS hash), created_at + 5 FROM relation WHERE hash[1] = '0'",
     "rebuild_source": "SELECT source, CASE WHEN md5(source)[1] < '4' THEN 'pending' WHEN md5(source)[1] < '8' THEN 'running' WHEN md5(source)[1] < 'c' THEN 'done' ELSE 'failed' END AS status FROM (SELECT DISTINCT source FROM documents)",
     "episode": "SELECT md5(source) AS episode_id, source, 'about ' || source AS title, 'notes of ' || source AS summary, min(created_at) AS event_time_start, max(created_at) AS event_time_end, max(created_at) AS updated_at, count(*) AS paragraph_count FROM para WHERE NOT is_deleted GROUP BY source",
@@ -213,21 +237,6 @@ _SQL = {
 }
 _NEEDS = {"entity": ["names"], "relation": ["triples"], "edge": ["relation"], "node": ["names"], "paragraph_relation": ["para", "relation"], "paragraph_entity": ["para"], "deleted_relation": ["relation"], "episode": ["para"], "episode_paragraph": ["para"]}
 
-_WHOLE_SQL = {
-    "queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
-    "paragraph_relation": "SELECT p.hash AS paragraph_hash, r.hash AS relation_hash FROM relation r CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = r.key % m",
-    "paragraph_entity": "SELECT p.hash AS paragraph_hash, sha256(lower(trim(c_name))) AS entity_hash, (1 + c_custkey % 3)::INT AS mention_count FROM customer CROSS JOIN (SELECT count(*) AS m FROM documents) JOIN para p ON p.doc_id = c_custkey % m",
-    "words": "SELECT l_suppkey AS query_id, 'p' || l_partkey AS hash, (sum(l_quantity) / 100)::DOUBLE AS score FROM lineitem GROUP BY 1, 2",
-}
-
-
-def whole_sql(sql: str) -> str:
-    """SQL made by with_tables, over the tables of Whole."""
-    for name, body in _WHOLE_SQL.items():
-        sql = sql.replace(f"{name} AS ({_SQL[name]})", f"{name} AS ({body})")
-    return sql
-
-
 def with_tables(names: str, body: str) -> str:
     """`body` after the definitions of the named tables and what these need."""
     order: list[str] = []
@@ -242,4 +251,5 @@ def with_tables(names: str, body: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({_SQL[n]})" for n in order)
     body = body.strip()
-    return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+    head = re.match(r"(?i)WITH (RECURSIVE )?", body)
+    return f"{head[0]}{ctes}, {body[head.end():]}" if head else f"WITH {ctes}\n{body}"

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,32 +10,9 @@ from ..functions import time as tm
 from ..functions import vector as vx
 from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, joins, knn, lifecycle, sparse, threshold
 from ..sources import ingest, readers
-from ..sources.snapshot import cut
 from .engine import Engine, parse_relation_query
-from .fixtures import NOW, T0, Fixtures, Whole, whole_sql, with_tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-MADE: dict[str, Callable[[Fixtures], DataFrame]] = {}
-R = 6
-
-
-def query(tables: str = "", sql: str | None = None):
-    """Registers f(fixtures) under its name, with the SQL over the named derived tables."""
-    def add(f: Callable[[Fixtures], DataFrame]):
-        MADE[f.__name__] = f
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        if sql is not None:
-            ORACLES[f.__name__] = with_tables(tables, sql) if tables else sql
-        return f
-
-    return add
-
-
-def r6(c: str, name: str | None = None):
-    return F.round(F.col(c), R).alias(name or c)
-
+from .fixtures import NOW, T0, Fixtures
+from .registry import ORACLES, QUERIES, R, query, r6  # noqa: F401
 
 # Text, time and vectors.
 
@@ -123,12 +98,14 @@ def relation_text_parse(x: Fixtures):
 # Upserts and deletes.
 
 
-@query("para", "SELECT hash, count(*) AS n, min(is_deleted) AS is_deleted FROM para GROUP BY hash HAVING count(*) = 1".replace("min(is_deleted) AS is_deleted", "bool_and(is_deleted AND doc_id >= 500 AND false) AS is_deleted"))
+@query("para", f"""SELECT hash, CASE WHEN hash < '8' THEN source ELSE 'in ' || source END AS source, CASE WHEN hash < '8' THEN created_at ELSE {NOW} END::DOUBLE AS created_at, CASE WHEN hash < '8' AND coalesce(source = 'src1', true) THEN is_deleted ELSE false END AS is_deleted FROM para WHERE hash < '8' OR source <> 'src1'""")
 def dedup_paragraph_upsert(x: Fixtures):
-    existing = x.para.where("doc_id < 500")
-    incoming = x.table("documents").select(F.col("text").alias("content"), "source", F.col("doc_id").alias("ord"))
-    out = dml.upsert_paragraphs(existing, incoming, NOW)
-    return out.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.bool_and("is_deleted").alias("is_deleted"))
+    """Half of the paragraphs are there; all documents but those of one source come in: new ones by their first row, deleted ones live again."""
+    existing = x.para.where("hash < '8'")
+    shown = x.para.where("source != 'src1'").select("hash")
+    d = x.table("documents").withColumn("hash", tx.content_hash(tx.normalize(F.col("text")))).join(shown, "hash", "left_semi")
+    incoming = d.select(F.col("text").alias("content"), F.concat(F.lit("in "), "source").alias("source"), F.col("doc_id").alias("ord"))
+    return dml.upsert_paragraphs(existing, incoming, NOW).select("hash", "source", "created_at", "is_deleted")
 
 
 @query("names entity", "SELECT hash, name, appearance_count * 2 AS appearance_count, false AS is_deleted FROM entity")
@@ -248,17 +225,13 @@ def join_orphan_recycle(x: Fixtures):
 
 @query("para paragraph_entity paragraph_relation", f"SELECT hash FROM para WHERE NOT is_deleted AND created_at < {T0 + 900 * 3600} AND hash NOT IN (SELECT paragraph_hash FROM paragraph_entity) AND hash NOT IN (SELECT paragraph_hash FROM paragraph_relation)")
 def join_gc_paragraphs(x: Fixtures):
-    return joins.paragraph_gc(x.para, x.paragraph_entity.where("mention_count = 1"), x.paragraph_relation.where("substring(relation_hash, 1, 1) = '4'"), T0 + 900 * 3600.0)
-
+    return joins.paragraph_gc(x.para, x.paragraph_entity, x.paragraph_relation, T0 + 900 * 3600.0)
 
-ORACLES["join_gc_paragraphs"] = ORACLES["join_gc_paragraphs"].replace("FROM paragraph_entity)", "FROM paragraph_entity WHERE mention_count = 1)").replace("FROM paragraph_relation)", "FROM paragraph_relation WHERE relation_hash[1] = '4')")
 
-
-@query("entity edge para paragraph_entity", f"""SELECT hash, name FROM entity WHERE NOT is_deleted AND created_at < {NOW} AND lower(trim(name)) NOT IN (SELECT src FROM edge WHERE weight > 0 AND src LIKE '%7' UNION SELECT dst FROM edge WHERE weight > 0 AND src LIKE '%7')
+@query("entity edge para paragraph_entity", f"""SELECT hash, name FROM entity WHERE NOT is_deleted AND created_at < {NOW} AND lower(trim(name)) NOT IN (SELECT src FROM edge WHERE weight > 0 UNION SELECT dst FROM edge WHERE weight > 0)
     AND hash NOT IN (SELECT entity_hash FROM paragraph_entity JOIN para p ON p.hash = paragraph_hash WHERE NOT is_deleted)""")
 def join_gc_entities(x: Fixtures):
-    alone = graph.isolated(x.node, x.edge.where("src like '%7'"))
-    return joins.entity_gc(x.entity, alone, x.paragraph_entity, x.para, NOW)
+    return joins.entity_gc(x.entity, graph.isolated(x.node, x.edge), x.paragraph_entity, x.para, NOW)
 
 
 @query("entity para paragraph_entity", "SELECT hash FROM para WHERE hash IN (SELECT paragraph_hash FROM paragraph_entity WHERE entity_hash IN (SELECT hash FROM entity WHERE contains(lower(name), 'customer#00000001')))")
@@ -298,7 +271,7 @@ def audit_relation_vectors(x: Fixtures):
 
 _KNN = """SELECT query_id, hash, round(score, 6) AS score, rank FROM (SELECT q.query_id, v.hash, list_inner_product(v.u, q.u) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY list_inner_product(v.u, q.u) DESC, v.hash) AS rank FROM
     (SELECT hash, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM (SELECT hash, embedding::DOUBLE[] AS e FROM vector WHERE {where})) v,
-    (SELECT query_id, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM (SELECT query_id, embedding::DOUBLE[] AS e FROM queries)) q) WHERE rank <= {k}"""
+    (SELECT query_id, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM (SELECT query_id, embedding::DOUBLE[] AS e FROM queries WHERE embedding IS NOT NULL)) q) WHERE rank <= {k}"""
 
 
 @query("vector queries", _KNN.format(where="true", k=20))
@@ -313,14 +286,14 @@ def knn_filtered(x: Fixtures):
 
 _BM25 = r"""WITH doc AS ({docs}), w AS (SELECT hash, list_filter(string_split_regex(lower(content), '[^\pL\pN_]+'), lambda t: t <> '') AS ts FROM doc), st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM w),
     p AS (SELECT hash, len(ts) AS dl, unnest(ts) AS term FROM w), tf AS (SELECT hash, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    q AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[^\pL\pN_]+'), lambda t: t <> '')) AS term FROM {queries}),
-    s AS (SELECT query_id, hash, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY query_id, hash)
+    q AS (SELECT query_id, unnest(list_filter(ts, lambda t, i: list_position(ts, t) = i)[1:64]) AS term FROM (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\pL\pN_]+'), lambda t: t <> '') AS ts FROM {queries})),
+    s AS (SELECT query_id, hash, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY query_id, hash)
     SELECT query_id, hash, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rank FROM s) WHERE rank <= {k}"""
 
 
 @query("para queries", _BM25.format(docs="SELECT hash, content FROM para", queries="queries", k=80))
 def bm25_paragraphs(x: Fixtures):
-    return sparse.bm25(x.para, x.queries, 80).select("query_id", "hash", r6("score"))
+    return sparse.bm25(x.para, x.queries, 80, index=x.posting).select("query_id", "hash", r6("score"))
 
 
 @query("relation names", _BM25.format(docs="SELECT hash, subject || ' ' || predicate || ' ' || object AS content FROM relation", queries="(SELECT n_nationkey AS query_id, n_name || ' part_of' AS text FROM nation)", k=60))
@@ -439,9 +412,9 @@ def graph_degree(x: Fixtures):
     return graph.degrees(x.edge)
 
 
-@query("node edge", "SELECT canon, name FROM node WHERE canon NOT IN (SELECT src FROM edge WHERE weight >= 0.3 UNION SELECT dst FROM edge WHERE weight >= 0.3)")
+@query("node edge", "SELECT canon, name FROM node WHERE canon NOT IN (SELECT src FROM edge WHERE weight > 0 UNION SELECT dst FROM edge WHERE weight > 0)")
 def graph_isolated(x: Fixtures):
-    return graph.isolated(x.node, x.edge.where("weight >= 0.3"))
+    return graph.isolated(x.node, x.edge)
 
 
 @query("edge", "SELECT src AS node, round(weight, 6) AS weight FROM edge WHERE dst = 'brand#11'")
@@ -498,15 +471,18 @@ def graph_ppr_5(x: Fixtures):
 _U = "u AS (SELECT DISTINCT * FROM (SELECT src AS x, dst AS y FROM g UNION ALL SELECT dst, src FROM g))"
 
 
-@query("relation", f"""WITH g AS (SELECT DISTINCT lower(subject) AS src, lower(object) AS dst FROM relation WHERE predicate <> 'buys'), {_U}, pr AS (SELECT s_suppkey AS query_id, lower(s_name) AS a, lower(r_name) AS b FROM supplier, region WHERE r_regionkey = s_suppkey % 5),
-    w AS (SELECT query_id, [a, p2.y, p3.y] AS nodes FROM pr JOIN u p2 ON p2.x = a JOIN u p3 ON p3.x = p2.y WHERE p3.y = b AND p2.y <> a AND p2.y <> b AND p3.y <> a
-    UNION ALL SELECT query_id, [a, p2.y, p3.y, p4.y] FROM pr JOIN u p2 ON p2.x = a JOIN u p3 ON p3.x = p2.y JOIN u p4 ON p4.x = p3.y WHERE p4.y = b AND p2.y NOT IN (a, b) AND p3.y NOT IN (a, p2.y, b) UNION ALL SELECT query_id, [a, y] FROM pr JOIN u ON x = a WHERE y = b)
-    SELECT query_id, nodes, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(nodes), array_to_string(nodes, chr(0))) AS rank FROM w) WHERE rank <= 5""")
+@query("relation", f"""WITH g AS (SELECT DISTINCT lower(subject) AS src, lower(object) AS dst FROM relation), {_U}, pr AS (SELECT DISTINCT a, b FROM (SELECT lower(n_name) AS a, lower(p_brand) AS b FROM part JOIN nation ON n_nationkey = p_partkey % 25 UNION ALL SELECT lower(s_name), lower(r_name) FROM supplier JOIN region ON r_regionkey = s_suppkey % 5
+    UNION ALL SELECT lower(r_name), lower(p_brand) FROM region, part)), w AS (SELECT a, b, [a, b] AS nodes FROM pr JOIN u ON x = a AND y = b UNION ALL SELECT a, b, [a, p2.y, b] FROM pr JOIN u p2 ON p2.x = a JOIN u p3 ON p3.x = p2.y AND p3.y = b WHERE p2.y NOT IN (a, b)
+    UNION ALL SELECT a, b, [a, p2.y, p3.y, b] FROM pr JOIN u p2 ON p2.x = a JOIN u p3 ON p3.x = p2.y JOIN u p4 ON p4.x = p3.y AND p4.y = b WHERE p2.y NOT IN (a, b) AND p3.y NOT IN (a, b, p2.y))
+    SELECT a, b, nodes, rank FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(nodes), array_to_string(nodes, chr(0))) AS rank FROM w) WHERE rank <= 5""")
 def graph_paths_3(x: Fixtures):
-    e = x.relation.where("predicate != 'buys'").select(F.lower("subject").alias("src"), F.lower("object").alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    s, r = x.table("supplier"), x.table("region")
-    pairs = s.join(r, F.col("r_regionkey") == F.col("s_suppkey") % 5).select(F.col("s_suppkey").alias("query_id"), F.lower("s_name").alias("a"), F.lower("r_name").alias("b"))
-    return graph.paths(e, pairs).select("query_id", "nodes", "rank")
+    """Over all edges, hubs too: from nations to brands, suppliers to regions, regions to brands."""
+    e = x.relation.select(F.lower("subject").alias("src"), F.lower("object").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    s, r, n, p = x.table("supplier"), x.table("region"), x.table("nation"), x.table("part")
+    pair = lambda df, a, b: df.select(F.lower(a).alias("a"), F.lower(b).alias("b"))
+    brands = p.select("p_brand").distinct()  # a fixed list
+    pairs = pair(p.join(n, F.col("n_nationkey") == F.col("p_partkey") % 25), "n_name", "p_brand").union(pair(s.join(r, F.col("r_regionkey") == F.col("s_suppkey") % 5), "s_name", "r_name")).union(pair(r.crossJoin(F.broadcast(brands)), "r_name", "p_brand"))
+    return graph.paths(e, pairs.distinct().withColumn("query_id", F.concat_ws("|", "a", "b"))).select("a", "b", "nodes", "rank")
 
 
 @query("relation edge", """WITH h AS (SELECT src, dst, unnest(relation_hashes) AS hash FROM edge) SELECT n_nationkey AS query_id, hash, 'one_hop_seed' AS candidate_type, rank FROM (SELECT n_nationkey, hash, row_number() OVER (PARTITION BY n_nationkey ORDER BY hash) AS rank FROM (SELECT DISTINCT n_nationkey, hash FROM nation JOIN h ON src = lower(n_name) OR dst = lower(n_name))) WHERE rank <= 24""")
@@ -619,21 +595,14 @@ def stream_summaries(x: Fixtures):
     return ingest.summarize_streams(m, 5).drop("transcript")
 
 
-def _chats(x: Fixtures) -> DataFrame:
-    c = x.table("conversations")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("p"), F.min_by("text", "turn").alias("t"))
-    first = F.split(tx.normalize(F.col("t")), " ")
-    return g.select(F.col("conv_id").alias("id"), F.concat(F.lit("c"), F.col("conv_id") % 7).alias("chat_id"), F.col("conv_id").cast("double").alias("start_time"), (F.col("conv_id") + 60).cast("double").alias("end_time"), F.to_json("p").alias("participants"), first[0].alias("theme"), F.to_json(F.slice(first, 1, 3)).alias("keywords"), F.col("t").alias("summary"))
-
-
 @query("", "SELECT chat_id, count(*) AS n FROM (SELECT DISTINCT conv_id, 'c' || (conv_id % 7) AS chat_id FROM conversations) GROUP BY chat_id ORDER BY n DESC, chat_id LIMIT 30")
 def migration_preview(x: Fixtures):
-    return readers.chat_counts(_chats(x).where(readers.selection(id_from=0)))
+    return readers.chat_counts(x.chat.where(readers.selection(id_from=0)))
 
 
 @query()
 def chat_history_map(x: Fixtures):
-    return ingest.map_chats(_chats(x))["items"]
+    return ingest.map_chats(x.chat)["items"]
 
 
 @query()
@@ -659,7 +628,6 @@ def eval_query_set(x: Fixtures):
 @query()
 def hybrid_search(x: Fixtures):
     """The flagship: dense, sparse and graph recall fused, thresholded, deduplicated."""
-    x = Whole(x.spark, x.dir)
     v = x.vector.select(F.col("hash").alias("v"), "item_type", "embedding").withColumn("doc_id", F.expr("cast(substring(v, 2) as bigint)"))
     vectors = v.where("item_type = 'paragraph'").join(x.para.select("hash", "doc_id"), "doc_id").select("hash", "item_type", "embedding")
     # A relation's vector belongs to where the customer of that number is.
@@ -669,23 +637,9 @@ def hybrid_search(x: Fixtures):
     # Negative ids: questions for a nation's relation, without an embedding.
     n = x.table("nation").join(x.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     asked = n.select((-1 - F.col("n_nationkey")).cast("bigint").alias("query_id"), F.concat_ws("|", "n_name", F.lit("part_of"), "r_name").alias("text"), F.lit(None).cast("array<float>").alias("embedding"))
-    made = {t: x.store[t] if t in ("relation", "edge") else cut(x.store[t]) for t in ("paragraph", "relation", "edge", "node", "paragraph_relation", "paragraph_entity", "entity")}
-    found = Engine(made | {"vector": cut(vectors)}).search(cut(x.queries.unionByName(asked)))
+    store = x.store | {"vector": x.stored("search_vector", lambda: vectors), "paragraph_index": x.posting, "relation_index": x.relation_posting}
+    found = Engine(store).search(x.stored("search_query", lambda: x.queries.unionByName(asked)))
     return found.select("query_id", "hash", r6("score"), "result_type", "rank", "source")
 
 
-def _register_whole(name: str, sql: bool = True) -> None:
-    """NAME_whole: the query over Whole, with its SQL over the same."""
-    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: MADE[name](Whole(spark, sf_dir))
-    if sql:
-        ORACLES[f"{name}_whole"] = whole_sql(ORACLES[name])
-
-
-_register_whole("knn_top_k")
-_register_whole("knn_filtered")
-_register_whole("bm25_paragraphs", sql=False)
-for _name in "join_bridge time_best_support join_episode_relations mention_count_merge delete_source_cascade join_person_semi join_gc_paragraphs join_gc_entities".split():
-    _register_whole(_name)
-_register_whole("episode_fallback", sql="episode_fallback" in ORACLES)
-for _name in "fuse_rrf merge_relations_max merge_relations_graph fuse_alpha_dedup aggregate_mix".split():
-    _register_whole(_name, sql=_name in ORACLES)
+from . import store_queries  # noqa: E402, F401  registers the rest

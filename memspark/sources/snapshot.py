@@ -1,4 +1,4 @@
-"""Versioned snapshots of all tables, published by one pointer."""
+"""Versioned snapshots of all tables, published by one manifest."""
 
 from __future__ import annotations
 
@@ -24,16 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends and a lost executor costs nothing."""
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path, as the JVM's objects."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def write(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memspark_{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends and a lost executor costs nothing."""
+    return write(df)[0]
 
 
 class Snapshots:
-    """Snapshots under a root in any Hadoop file system. A reader sees all tables of one version or none of it."""
+    """Snapshots under a root in any Hadoop file system. A reader sees all tables of one version or none of it.
+
+    A version is a manifest, a file that is created once and never changed, over tables in folders that are written once;
+    the current version is the last whole manifest. A commit that finds its number taken has lost against another.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -52,23 +74,41 @@ class Snapshots:
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        stream = self._fs.create(self._path(f"{self.root}/{name}"), True)
+    def _create(self, name: str, text: str) -> None:
+        """Creates a file; refuses if there is one of that name."""
+        p = self._path(f"{self.root}/{name}")
+        if self._fs.exists(p):
+            raise RuntimeError(f"{p} is there already: another commit came between")
+        stream = self._fs.create(p, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
 
+    def versions(self) -> list[int]:
+        """Numbers of all manifests, whole or not, the last first."""
+        folder = self._path(f"{self.root}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [str(f.getPath().getName()) for f in self._fs.listStatus(folder)]
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+    def _manifest(self, version: int) -> dict | None:
+        """A whole manifest, or None for one that is missing or was not written to its end."""
+        try:
+            return json.loads(self._read(f"manifests/{version:08d}.json") or "")
+        except ValueError:
+            return None
+
     def version(self) -> int:
         """The current version; 0 before the first commit."""
-        found = self._read("CURRENT")
-        return int(found) if found else 0
+        return next((v for v in self.versions() if self._manifest(v) is not None), 0)
 
     def manifest(self, version: int | None = None) -> dict:
-        found = self._read(f"v{version or self.version():08d}/MANIFEST.json")
+        found = self._manifest(version or self.version())
         if found is None:
             raise FileNotFoundError(f"no snapshot {version or self.version()} under {self.root}")
-        return json.loads(found)
+        return found
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table; what a snapshot lacks is empty with its schema. Other schema versions are refused."""
@@ -85,29 +125,29 @@ class Snapshots:
         return {t: self.read(t, version) for t in TABLES}
 
     def commit(self, tables: dict[str, DataFrame], note: str = "", expected: int | None = None) -> int:
-        """Writes the given tables, takes over the others, and swaps the pointer. expected: refuses if another commit came between."""
+        """Writes the given tables, takes over the others, and creates the next manifest. Refuses if another commit came between, or `expected` isn't the current version."""
         now = self.version()
         if expected is not None and expected != now:
             raise RuntimeError(f"the snapshot is at version {now}, not {expected}")
         kept = self.manifest(now)["tables"] if now else {}
-        v = now + 1
+        commit_id = uuid.uuid4().hex
         for name, df in tables.items():
-            path = f"v{v:08d}/{name}"
-            df.write.mode("overwrite").parquet(f"{self.root}/{path}")
+            path = f"tables/{commit_id}/{name}"
+            df.write.parquet(f"{self.root}/{path}")
             kept[name] = {"path": path, "schema": df._jdf.schema().toDDL()}
-        self._write(f"v{v:08d}/MANIFEST.json", json.dumps({"version": v, "commit_id": uuid.uuid4().hex, "schema_version": SCHEMA_VERSION, "note": note, "tables": kept}))
-        self._write("CURRENT.tmp", str(v))
-        current = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(self._path(f"{self.root}/CURRENT.tmp"), current):
-            raise RuntimeError("the pointer could not be swapped")
+        return self._publish(now, commit_id, note, kept)
+
+    def _publish(self, base: int, commit_id: str, note: str, tables: dict) -> int:
+        if self.version() != base:
+            raise RuntimeError(f"the snapshot is at version {self.version()}, not {base}: another commit came between")
+        # Numbers of manifests that were never finished are passed over.
+        v = 1 + next(iter(self.versions()), 0)
+        self._create(f"manifests/{v:08d}.json", json.dumps({"version": v, "commit_id": commit_id, "schema_version": SCHEMA_VERSION, "note": note, "tables": tables}))
         return v
 
-    def rollback(self, version: int) -> None:
-        """Points back at an older version, which must be whole."""
-        self.manifest(version)
-        self._write("CURRENT", str(version))
+    def rollback(self, version: int) -> int:
+        """A new version with the tables of an older one, which must be whole. No version is ever changed."""
+        return self._publish(self.version(), uuid.uuid4().hex, f"rollback to {version}", self.manifest(version)["tables"])
 
     def compact(self, table: str, files: int) -> int:
         """Rewrites a table as so many files."""

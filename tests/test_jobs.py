@@ -30,7 +30,16 @@ def test_cli(spark, tmp_path):
     assert s.read("episode").count() == cli.run(spark, root, "sources", []).count()
     cli.run(spark, root, "delete-source", ["web"], NOW)
     assert s.read("paragraph").where("source = 'web'").count() == 0
-    cli.run(spark, root, "maintain", [], NOW)
+    hits = s.read("relation").where("predicate = 'met'").select("hash", F.lit(3).alias("hits"))
+    hits.write.parquet(f"{tmp_path}/hits")
+    cli.run(spark, root, "maintain", [f"{tmp_path}/hits"], NOW)
+    assert [r.predicate for r in s.read("relation").where(f"last_reinforced = {NOW}").collect()] == ["met"]
+    assert "paragraph_entity" not in {t for t, v in s.manifest()["tables"].items() if s.manifest()["commit_id"] in v["path"]}
+    (tmp_path / "in/c.json").write_text("no json")
+    at = s.version()
+    with pytest.raises(ValueError):
+        cli.run(spark, root, "import-json", [f"{tmp_path}/in", f"{tmp_path}/bad", "0"], NOW)
+    assert s.version() == at and [r.content for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["no json"]
     with pytest.raises(ValueError):
         cli.run(spark, root, "other", [])
 

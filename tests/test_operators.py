@@ -1,6 +1,7 @@
 """Operators on hand-made stores: writes, graph, fusion folds, episodes, lifecycle, chunkers, ingest, streaming."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -387,6 +388,98 @@ def test_snapshots_and_streams(spark, store, tmp_path):
     assert s.read("episode").count() == 0
 
 
+def test_commits_never_change_a_version(spark, store, tmp_path):
+    a, b = (Snapshots(spark, f"file://{tmp_path}/store") for _ in range(2))
+    one = store["node"].limit(1)
+    assert a.commit({"node": store["node"]}) == 1
+    reader = b.store()
+    assert a.commit({"node": one}) == 2 and a.commit({"edge": store["edge"]}) == 3
+    assert reader["node"].count() == 3 and b.read("node").count() == 1  # what was opened stays readable
+    assert b.rollback(1) == 4 and b.commit({"node": one.limit(0)}) == 5
+    assert [b.read("node", v).count() for v in (1, 2, 3, 4, 5)] == [3, 1, 1, 3, 0] and b.read("edge", 4).count() == 0
+    # Another commit comes in while tables are written.
+    first = b._publish
+
+    def late(*args):
+        a.commit({"node": store["node"]})
+        return first(*args)
+
+    b._publish = late
+    with pytest.raises(RuntimeError):
+        b.commit({"node": one})
+    assert b.version() == 6 and b.read("node").count() == 3
+    # A manifest that was not written to its end is no version, and its number is passed over.
+    a._create("manifests/00000007.json", '{"version": 7, "tab')
+    assert a.version() == 6 and a.commit({"node": one}) == 8 and b.read("node").count() == 1
+
+
+def test_repeated_changes_count_once(spark, store):
+    h = store["paragraph"].select("hash")
+    ch = h.withColumn("source", F.lit("a")).unionByName(h.withColumn("source", F.lit("b")))
+    assert dml.patch(store["paragraph"], ch).count() == 3
+    r = store["relation"].select("hash")
+    states = [r.select("hash", F.lit(s).alias("state"), F.lit("e").alias("error"), F.lit(False).alias("bump")) for s in ("ready", "failed", "pending")]
+    got = dml.set_vector_state(store["relation"], states[0].unionByName(states[1]).unionByName(states[2]), NOW)
+    assert got.count() == 2 and {x.vector_state for x in got.collect()} == {"failed"}
+    d = spark.createDataFrame([("ann", "bob", 1.0), ("ann", "bob", 2.0)], "src string, dst string, delta double")
+    assert [x.weight for x in graph.shift_weights(store["edge"], d).where("src = 'ann'").collect()] == [4.0]
+
+
+def test_delete_takes_vectors_and_edges(spark, store):
+    v = store["paragraph"].select("hash", F.lit("paragraph").alias("item_type")).unionByName(store["relation"].select("hash", F.lit("relation").alias("item_type"))).withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>"))
+    out = dml.delete_source(store | {"vector": v}, "s1")
+    assert out["edge"].count() == 0 and out["relation"].count() == 0 and out["vector"].count() == 1
+    kept, n = dml.delete_by_content(store | {"vector": v}, F.lit("Bob likes tea."))
+    assert n == 1 and [(r.src, r.dst) for r in kept["edge"].collect()] == [("ann", "bob")] and kept["vector"].count() == 3
+
+
+def brute_paths(edges, a, b, depth, most):
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    found, now = [], [[a]]
+    for _ in range(depth):
+        now = [p + [y] for p in now for y in near.get(p[-1], ()) if y not in p]
+        found += sorted(p for p in now if p[-1] == b)
+        now = [p for p in now if p[-1] != b]
+    return found[:most]
+
+
+@settings(deadline=None, max_examples=6)
+@given(st.sets(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=26), st.integers(1, 4), st.integers(1, 4))
+def test_paths(spark, links, depth, most):
+    """A hub (node 0) that all nodes know, at depths up to four."""
+    edges = [(f"n{a}", f"n{b}") for a, b in links if a != b] + [("n0", f"n{b}") for b in range(1, 8)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src string, dst string, weight double")
+    pairs = spark.createDataFrame([(1, "n1", "n2"), (2, "n3", "n0"), (3, "n1", "n2"), (4, "n5", "n5"), (5, "n6", "zz")], "query_id int, a string, b string")
+    got = {}
+    for r in graph.paths(e, pairs, depth, most).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.nodes)
+    for q, a, b in [(1, "n1", "n2"), (2, "n3", "n0"), (3, "n1", "n2")]:
+        assert got.get(q, []) == brute_paths(edges, a, b, depth, most)
+    assert not got.keys() & {4, 5}
+
+
+def test_engine_branches(spark, store):
+    """Relation questions, fallbacks, paths, persons and time in one engine."""
+    none = F.lit(None).cast("array<float>")
+    q = lambda *texts: spark.createDataFrame(list(enumerate(texts, 1)), "query_id int, text string").withColumn("embedding", none)
+    e = Engine(store | {"vector": spark.createDataFrame([], TABLES["vector"])}, Config())
+    assert {r.content for r in e.search(q("lik"), paths_on=False).collect()} >= {"Bob likes tea."}  # no word of the store: found by its n-grams
+    walk = e.search(q("what links Ann and Tea")).where("result_type = 'path'").collect()
+    assert [r.content for r in walk] == ["ann -> bob -> tea"] and walk[0]["rank"] == 1
+    assert {r.content for r in e.search(q("Bob"), person="tea", paths_on=False).where("result_type = 'paragraph'").collect()} == {"Bob likes tea."}
+    cards = e.query("entity", q(" BOB ", "nobody")).collect()
+    assert [(r.query_id, r.neighbors, len(r.paragraphs)) for r in cards] == [(1, ["tea"], 2)]
+    people = spark.createDataFrame([("p1", "Ann", "annie", None)], "person_id string, name string, nickname string, group_nicks string")
+    got = e.query("person", q("ANNIE"), persons=people, now=NOW).collect()
+    assert [(r.person_id, r.profile_text, r.stale) for r in got] == [("p1", None, True)]
+    cjk = spark.createDataFrame([("c", "我们喜欢喝绿茶", False, 1.0)], "hash string, content string, is_deleted boolean, created_at double")
+    hits = Engine({}, Config(sparse=replace(Config().sparse, tokenizer="char_ngram")))._sparse(cjk, q("绿茶"), 5, "paragraph_index")
+    assert [r.hash for r in hits.collect()] == ["c"]
+
+
 def test_stream_operators(spark, tmp_path):
     rows = [(f"k{i % 3}", i) for i in range(9)]
     spark.createDataFrame(rows, "request_key string, s int").selectExpr("request_key", "request_key as hash", "timestamp_seconds(s / 10) as ts").write.parquet(f"{tmp_path}/r")
@@ -433,7 +526,7 @@ def test_engine(spark, store):
     v = v.unionByName(store["relation"].select("hash", F.lit("relation").alias("item_type"), embed(F.concat_ws(" ", "subject", "predicate", "object")).alias("embedding")))
     q = spark.createDataFrame([(1, "Bob likes tea"), (2, "Ann|knows|Bob")], "query_id int, text string").withColumn("embedding", embed(F.col("text")))
     e = Engine(store | {"vector": v}, Config())
-    top = {r.query_id: r.content for r in e.search(q).where("rank = 1").collect()}
+    top = {r.query_id: r.content for r in e.search(q, paths_on=False).where("rank = 1").collect()}
     assert top[1] == "Bob likes tea." and "knows" in top[2]
     exact = e.relation_query(q).where("query_id = 2").collect()
     assert exact[0].score == 1.0 and len(exact) == 1
