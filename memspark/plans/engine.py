@@ -145,11 +145,11 @@ class Engine:
         return fusion.content_dedup(found, c.top_k_final)
 
     def _paths_for(self, queries: DataFrame, ranked: DataFrame) -> DataFrame | None:
-        """(query_id, hash, content) of the paths between the two entities that a query with weak results names; None if no query does."""
+        """(query_id, hash, content) of the paths between the entities of queries with weak results that name just two; None if there is none."""
         c = self.config
         best = ranked.groupBy("query_id").agg(F.max("score").alias("best"))
         weak = queries.select("query_id", "text").join(best, "query_id", "left").where(F.coalesce(F.col("best") < c.path_below, F.lit(True))).select("query_id", "text")
-        seeds = graph.seed_entities(weak, self.store["node"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "canon"))).alias("x"))
+        seeds = graph.seed_entities(weak, self.store["node"], 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "canon"))).alias("x"))
         pairs = cut(seeds.where(F.size("x") == 2).select("query_id", F.col("x")[0]["canon"].alias("a"), F.col("x")[1]["canon"].alias("b")))
         if pairs.isEmpty():
             return None
