@@ -16,7 +16,12 @@ from .engine import Engine
 from .fixtures import NORM, NOW, T0, Fixtures
 from .registry import query, r6
 
-_N = F.count(F.lit(1)).alias("n")
+
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
+
 _START = "coalesce(event_time_start, event_time, event_time_end, created_at)"
 _END = "coalesce(event_time_end, event_time, event_time_start, created_at)"
 
@@ -42,7 +47,7 @@ def source_preview(x: Fixtures):
 @query("chat", "SELECT count(*) AS n, count(DISTINCT id) AS ids, bool_and(known) AS known FROM (SELECT id, true AS known FROM chat LIMIT 50)")
 def source_sample(x: Fixtures):
     s = readers.sample(x.chat, 50).select("id").join(x.chat.select("id", F.lit(True).alias("known")), "id", "left")
-    return s.agg(_N, F.count_distinct("id").alias("ids"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+    return s.agg(_n(), F.count_distinct("id").alias("ids"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
 
 
 _STREAM = "SELECT DISTINCT event_type AS stream_id, 'g' || (user_id % 4) AS group_id, user_id::VARCHAR AS user_id FROM events"
@@ -69,7 +74,7 @@ def source_vectors(x: Fixtures):
     v = x.table("part").select(F.col("p_type").alias("str"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
     bad = x.table("region").select(F.col("r_name").alias("str"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
     good, _ = readers.vectors_from(v.unionByName(bad), 2)
-    return good.groupBy("hash").agg(_N)
+    return good.groupBy("hash").agg(_n())
 
 
 @query("", "SELECT lower(c_name) AS src, lower(n_name) AS dst, round(sum(c_acctbal), 2)::DOUBLE AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
@@ -96,7 +101,7 @@ def source_json_shape(x: Fixtures):
 @query("", r"""SELECT 'paragraphs' AS unit, count(*) AS n FROM conversations WHERE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '' AND NOT (role = 'user' AND text LIKE '{%') UNION ALL SELECT 'entities', count(*) FROM conversations WHERE text IS NOT NULL AND role = 'user' UNION ALL SELECT 'of items', count(*) FROM conversations WHERE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '' AND role <> 'user'""")
 def source_json_units(x: Fixtures):
     u = ingest.json_units(_json_files(x))
-    n = lambda df, name: df.agg(F.lit(name).alias("unit"), _N)
+    n = lambda df, name: df.agg(F.lit(name).alias("unit"), _n())
     return n(u["paragraphs"], "paragraphs").unionByName(n(u["entities"], "entities")).unionByName(n(u["paragraphs"].where(F.size("entities") > 0), "of items"))
 
 
@@ -105,7 +110,7 @@ def source_items(x: Fixtures):
     rel = "array<struct<subject:string,predicate:string,object:string>>"
     d = x.table("documents").where("lang is not null").select(F.col("text").alias("content"), F.lit("auto").alias("knowledge_type"), "source", F.array("lang", F.upper("lang"), F.lit("")).alias("entities"), F.expr(f"cast(array(struct('', 'p', 'o')) as {rel})").alias("relations"))
     out = ingest.normalize_items(d, "none").where(F.size("relations") == 0)
-    return out.select("source", F.explode("entities").alias("e")).groupBy("source").agg(F.array_sort(F.collect_set("e")).alias("entities"), _N)
+    return out.select("source", F.explode("entities").alias("e")).groupBy("source").agg(F.array_sort(F.collect_set("e")).alias("entities"), _n())
 
 
 _FILES = "SELECT url AS path, md5(html) AS md5, html AS content FROM pages WHERE html IS NOT NULL AND url IS NOT NULL"
@@ -120,7 +125,7 @@ def source_not_imported(x: Fixtures):
     f = _files(x)
     manifest = readers.record_import(f.where("content like '%the%'").dropDuplicates(["path"]).drop("content"), x.spark.createDataFrame([], "path string, md5 string, task_id string, imported_at double"), "t", NOW)
     known = f.where("content like '%the%'").select("md5").distinct()
-    return readers.not_imported(f, manifest.select("md5").union(known).distinct()).groupBy("path").agg(_N)
+    return readers.not_imported(f, manifest.select("md5").union(known).distinct()).groupBy("path").agg(_n())
 
 
 @query("", "WITH f AS (SELECT url AS path, md5(html) AS md5, string_split(url, '/')[-1] AS file FROM pages WHERE html IS NOT NULL AND url IS NOT NULL), s AS (SELECT min(file) AS a, max(path) AS b, min(md5) AS c FROM f) SELECT DISTINCT path FROM f WHERE path NOT IN (SELECT path FROM f, s WHERE file = a OR path = b OR md5 = c)")
@@ -165,7 +170,7 @@ def extract_relations(x: Fixtures):
     word = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.expr(f"substring({c}, 2)")))
     t = x.table("part").select(F.col("p_partkey").alias("hash"), F.concat(word("p_type"), F.lit(" is "), word("p_name")).alias("content"))
     _, r = ingest.extract_regex(t)
-    return r.groupBy("subject", "predicate", "object").agg(_N)
+    return r.groupBy("subject", "predicate", "object").agg(_n())
 
 
 @query("para entity", """WITH g AS (SELECT source, min(doc_id) AS ord, any_value(word_count) AS w FROM para GROUP BY source), p AS (SELECT source, lower(trim(source)) AS s FROM g WHERE trim(coalesce(source, '')) <> '')
@@ -199,7 +204,7 @@ def import_window_replay(x: Fixtures):
 def dml_link(x: Fixtures):
     b = x.paragraph_relation
     out = dml.link(dml.link(b, b), b.withColumn("relation_hash", F.lit("new")))
-    return out.agg(_N, F.count_distinct(F.concat("paragraph_hash", "relation_hash")).alias("pairs"))
+    return out.agg(_n(), F.count_distinct(F.concat("paragraph_hash", "relation_hash")).alias("pairs"))
 
 
 @query("para", f"SELECT hash, CASE WHEN source = 'src1' THEN {NOW}::DOUBLE ELSE event_time END AS event_time, time_granularity FROM para")
@@ -505,7 +510,7 @@ def knn_delete(x: Fixtures):
 
 @query("vector", "SELECT count(*) AS n, count(DISTINCT hash) AS hashes FROM (SELECT hash FROM vector LIMIT 100)")
 def knn_training_sample(x: Fixtures):
-    return knn.training_sample(x.vector, 100).agg(_N, F.count_distinct("hash").alias("hashes"))
+    return knn.training_sample(x.vector, 100).agg(_n(), F.count_distinct("hash").alias("hashes"))
 
 
 @query("", """WITH v AS (SELECT vec_id, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)) SELECT 'v' || a.vec_id AS a, 'v' || b.vec_id AS b FROM v a JOIN v b ON 'v' || a.vec_id < 'v' || b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.45 AND list_inner_product(a.u, b.u) < 1 - 1e-12""")
@@ -900,7 +905,7 @@ def chunk_stanzas(x: Fixtures):
 @query("", "SELECT page_id, pattern, (length(html) - length(replace(html, pattern, ''))) // length(pattern) AS n FROM pages, (SELECT unnest(['<li>', '<p>', '</article>', '&copy;']) AS pattern) WHERE contains(html, pattern)")
 def match_patterns(x: Fixtures):
     m = chunk.match_patterns(x.table("pages"), ["<li>", "<p>", "</article>", "&copy;", ""], "page_id", "html")
-    return m.groupBy(F.col("id").alias("page_id"), "pattern").agg(_N)
+    return m.groupBy(F.col("id").alias("page_id"), "pattern").agg(_n())
 
 
 @query("dense", """WITH r AS (SELECT query_id, hash, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rank FROM dense), c AS (SELECT query_id, max(hash) AS h, CASE WHEN query_id % 2 = 0 THEN 'query_nl' ELSE 'spo_relation' END AS category FROM dense GROUP BY 1)
@@ -915,7 +920,7 @@ def eval_triples(x: Fixtures):
     t = evaluate.sample_triples(x.relation, 24)
     ends = x.relation.select(F.lower("subject").alias("e")).union(x.relation.select(F.lower("object"))).groupBy("e").agg(F.count(F.lit(1)).alias("c"))
     j = t.join(ends.select(F.col("e").alias("s"), F.col("c").alias("cs")), F.lower("subject") == F.col("s")).join(ends.select(F.col("e").alias("o"), F.col("c").alias("co")), F.lower("object") == F.col("o"))
-    return j.groupBy("predicate").agg(F.min(F.col("cs") + F.col("co")).alias("rare"), _N)
+    return j.groupBy("predicate").agg(F.min(F.col("cs") + F.col("co")).alias("rare"), _n())
 
 
 # The engine's branches.
@@ -964,4 +969,4 @@ def engine_sparse_fallback(x: Fixtures):
     """Queries without a BM25 hit: each finds its twenty by n-grams."""
     d = x.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("hash"), F.col("p_name").alias("content"))
     q = x.table("region").select(F.col("r_regionkey").cast("bigint").alias("query_id"), F.concat(F.lit("red"), "r_name", F.lit("widget")).alias("text"))
-    return _engine(x)._sparse(d, q, 20, "no index").groupBy("query_id").agg(_N)
+    return _engine(x)._sparse(d, q, 20, "no index").groupBy("query_id").agg(_n())
