@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +58,7 @@ def adjusted(history: DataFrame, tolerance: float = 0.2, window: int = 10) -> Da
             for s, t in zip(b["stream"], b["threshold"], strict=True):
                 if (s,) != stream:
                     stream, last = (s,), []
-                mean = sum(last) / len(last) if last else t
+                mean = reduce(add, last) / len(last) if last else t  # term by term: sum() compensates in some versions of Python
                 t = (t + mean) / 2 if abs(t - mean) > tolerance else t
                 last = [*last, t][-window:]
                 out.append(t)

@@ -629,7 +629,7 @@ def threshold_adjusted(x: Fixtures):
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     h = x.table("events").select(F.col("user_id").alias("stream"), F.row_number().over(w).alias("at"), (F.col("value") / 100).alias("threshold"))
-    return threshold.adjusted(h).select("stream", F.col("at").cast("bigint").alias("at"), F.round("threshold", 9).alias("threshold"))
+    return threshold.adjusted(h).select("stream", F.col("at").cast("bigint").alias("at"), (F.round(F.col("threshold") * 1e9) / 1e9).alias("threshold"))
 
 
 @query("dense words", "SELECT query_id, 'a' AS branch, count(*) AS n FROM dense GROUP BY 1 UNION ALL SELECT query_id, 'b', count(*) FROM words GROUP BY 1")
