@@ -414,3 +414,19 @@ def test_pipeline(spark):
 def test_registered():
     assert sorted(queries(), key=lambda x: int(x[2:].split("_")[0])) == list(queries())
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty and repeated texts, repeated rows; then empty tables."""
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet")
+    blank = [(None,) * len(docs.columns)] * 2
+    texts = [None, "", " \n\t", "one", "a long line that two documents share\nb", "a long line that two documents share\nc", "word " * 5000]
+    rows = [tuple({"doc_id": i, "text": t}.get(c) for c in docs.columns) for i, t in enumerate(texts)]
+    odd = spark.createDataFrame(blank + rows + rows[3:5], docs.schema)
+    marks = spark.read.parquet(f"{h.SF}/labels.parquet")
+    for name, d, m in (("odd", odd, marks), ("unlabelled", odd, marks.limit(0)), ("empty", docs.limit(0), marks.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        m.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} <= {None, *range(len(texts))} and (out or name != "unlabelled")
+        assert not out or name != "empty"
