@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage is written as Parquet and read again."""
+    """Applies the stages to documents; each stage is written as Parquet and read again.
+
+    Nulls in any column, empty texts and repeated rows go through the stages as their operators say; without labels no
+    document is toxic, and an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline_{uuid.uuid4().hex[:12]}"
     for k, (_, stage) in enumerate(STAGES):
