@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_middle, restore
+from .filter_audit import audit
 from .fingerprints import fingerprints
 from .html_extract import extract
 from .line_dedup import line_dedup
@@ -16,6 +18,7 @@ from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import quality
 from .substring_dedup import substring_dedup
+from .token_counts import count_tokens
 from .toxicity import toxicity
 
 
@@ -67,8 +70,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(table(spark, sf_dir, "documents"))
+    shas = F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *shas)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_substring_dedup, op3_quality, op4_best_fit_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_line_dedup, op9_fingerprints, op10_near_dedup)
+    found = (op1_html_extract, op2_substring_dedup, op3_quality, op4_best_fit_packing, op5_exact_dedup, op6_toxicity, op7_mixing, op8_line_dedup, op9_fingerprints, op10_near_dedup, op11_fill_middle, op12_filter_audit, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
@@ -118,5 +135,33 @@ FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS xs, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT *, len(xs) AS n, ('0x' || h[1:8])::UBIGINT % (len(xs) + 1) AS x, ('0x' || h[9:16])::UBIGINT % (len(xs) + 1) AS y, ('0x' || h[17:24])::UBIGINT % 100 AS r3, ('0x' || h[25:32])::UBIGINT % 100 AS r4 FROM d),
+c AS (SELECT *, list_aggregate(xs[1:least(x, y)::INT], 'string_agg', '') AS p, list_aggregate(xs[least(x, y)::INT + 1:greatest(x, y)::INT], 'string_agg', '') AS m, list_aggregate(xs[greatest(x, y)::INT + 1:], 'string_agg', '') AS s FROM k),
+o AS (SELECT doc_id, t, n, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form, coalesce(p, '') AS p, coalesce(m, '') AS m, coalesce(s, '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS f FROM d),
+g AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE q = 1) AS good, count(*) FILTER (WHERE x = 1) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY part, f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS MATERIALIZED (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+met AS (SELECT part, filter_order, f, n, good, toxic, list_min(list_transform(string_split(f, ''), lambda y: CASE WHEN y = '' THEN 9 ELSE instr(filter_order, y) END)) AS p FROM c, o),
+s AS (SELECT part, filter_order, step, filter_order[step] AS x, sum(n) FILTER (WHERE p > step) AS kept, sum(n) FILTER (WHERE p = step) AS removed, sum(n) FILTER (WHERE contains(f, filter_order[step]) AND p < step) AS redundant,
+        sum(n) FILTER (WHERE f = filter_order[step]) AS unique_fails, sum(good) FILTER (WHERE p = step) AS good_lost, sum(toxic) FILTER (WHERE p = step) AS toxic_lost
+      FROM met, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op5_exact_dedup": OP5, "op8_line_dedup": OP8, "op10_near_dedup": OP10}
+    return {"op2_substring_dedup": OP2, "op5_exact_dedup": OP5, "op8_line_dedup": OP8, "op10_near_dedup": OP10, "op11_fill_middle": OP11, "op12_filter_audit": OP12}
