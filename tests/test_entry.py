@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def normal(v):
     if isinstance(v, float):
         return "NULL" if v != v else f"{v:.6g}"
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "NULL"
     if hasattr(v, "tolist") and not isinstance(v, (int, str)):
         v = v.tolist()
