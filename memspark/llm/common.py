@@ -57,12 +57,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder, now or when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if at_exit:
+        fs.deleteOnExit(p)
+    else:
+        fs.delete(p, True)
+
+
+_UNDER: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, root: str):
+    """Work tables of operators that are called within go under root and are deleted at the end: results must be written by then."""
+    _UNDER.append(root)
+    try:
+        yield
+    finally:
+        _UNDER.remove(root)
+        delete(spark, root)
+
+
 class Work:
-    """Work tables of one run of an operator, under the shared folder."""
+    """Work tables of one run of an operator, under the shared folder. They go when the application ends, or earlier by drop() or scratch()."""
 
     def __init__(self, spark: SparkSession, name: str):
         tune(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/memspark_{name}_{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{_UNDER[-1] if _UNDER else shared_dir(spark)}/memspark_{name}_{uuid.uuid4().hex[:12]}"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -71,23 +95,34 @@ class Work:
         """Writes and rereads df: lineage ends here, and a lost executor costs no more than its own tasks. packed: compressed already."""
         writer = df.write.mode("overwrite").option("compression", "uncompressed" if packed else "zstd")
         writer.option("parquet.block.size", 32 << 20).parquet(self.path(table))
+        delete(self.spark, self.root, at_exit=True)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(t))
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            delete(self.spark, self.path(t))
+
+
+#: Plan nodes under which a file's size still tells how much there is to read.
+PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation"}
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size, from the files' sizes."""
-    try:
-        n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return 0
-    return n if n < 1 << 60 else 0
+    """Size of the input: the files' sizes where the frame is a scan of files, else text and binary columns measured in a pass."""
+    node, names = df._jdf.queryExecution().optimizedPlan(), set()
+    while True:
+        names.add(str(node.nodeName()).split(" ")[0])
+        if node.children().size() != 1:
+            break
+        node = node.children().head()
+    if names <= PLAIN | {"Relation"} and not node.children().size():
+        n = int(str(node.stats().sizeInBytes()))
+        if n < 1 << 60:
+            return n
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    each = sum(wide, F.lit(8)).cast("long")
+    return df.agg(F.sum(each)).first()[0] or 0
 
 
 def shards_for(df: DataFrame, per_shard: int = 32 << 20) -> int:

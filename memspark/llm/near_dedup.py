@@ -144,27 +144,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text's set holds its distinct shingles of `words` words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a shorter
     text is one shingle; null, empty and blank texts have no shingle and no link. Texts are linked when 100 * common
-    >= percent * union. component_id is the smallest id reachable, kept marks the rows that have it. A null id sorts
-    below all others and is returned as null; rows repeated with one id are one document. An empty table gives no rows;
-    further columns are ignored.
+    >= percent * union. Every row is a document of its own, also where rows share an id: an id is no link, and one id can
+    be in two components. component_id is the smallest id of the rows reachable, and kept marks one row of each component:
+    that with the smallest id and, of rows that share it, the one with the smaller set, then by a digest of the set, then
+    by its place. Where ids are unique, kept is doc_id = component_id. A null id sorts below all others and is returned as
+    null. An empty table gives no rows; further columns, whatever their names, are ignored.
 
     Tasks pack documents into chunks and send each distinct set's signature to shards, one entry for each of the
     forest's trees; a shard sorts its entries and links neighbours with a long enough common prefix. Components of these
     candidate links name the sets to compare; equal sets are compared once, and each task confirms links over full sets
     by postings, so that no pair is written out. Components too large for a task are compared in pairs of blocks.
     """
+    return _classes(docs.select(id_col, text_col), id_col, text_col, words, percent)[1].select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that near_dedup keeps, whole and with all their columns: one of each component, whatever their ids.
+
+    Rows are told apart by their place in the written chunks, so null and repeated ids neither lose a text nor keep two.
+    """
+    chunks, told = _classes(docs, id_col, text_col, words, percent)
+    stay = told.where("kept").groupBy("gid").agg(F.collect_list("pos").alias("places"))  # of one chunk, 2^15 at most
+
+    def take(batches):
+        for b in batches:
+            for body, places in zip(b.column("body").to_pylist(), b.column("places").to_pylist(), strict=True):
+                yield unpack(body).take(pa.array(sorted(places), pa.int64()))
+
+    return chunks.select("gid", "body").join(stay.hint("merge"), "gid").select("body", "places").mapInArrow(take, docs.schema)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written chunks of whole rows, and for each row its place (gid, pos) there, its class and whether it stays."""
     spark = docs.sparkSession
     work, n_shards = Work(spark, "near"), shards_for(docs)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def send(batches):
         factors, gid = _multipliers(), group_seed() >> (32 - CHUNK_BITS)
         entry = pa.list_(pa.struct([("shard", pa.int32()), ("entries", pa.binary())]))
         doc = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("uid", pa.int64()), ("set_id", pa.binary())]))
-        for b in pieces(batches, "text", 2 << 20, 1 << SET_BITS):
-            sets = shingle_sets(*texts_of(b, "text"), words)
+        for b in pieces(batches, text_col, 2 << 20, 1 << SET_BITS):
+            sets = shingle_sets(*texts_of(b, text_col), words)
             seen, rows, signatures = {}, [], []
-            for i, s in zip(ids_of(b, "doc_id").tolist(), sets, strict=True):
+            for i, s in zip(ids_of(b, id_col).tolist(), sets, strict=True):
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 if key not in seen:
                     seen[key] = (gid << SET_BITS) + len(seen)
@@ -188,7 +210,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([pack(b)], pa.binary()), pa.array([rows], doc), pa.array([probes], entry)], names=["gid", "body", "docs", "probes"])
             gid += 1
 
-    chunks = work.save(slim.mapInArrow(send, CHUNK), "chunks", packed=True)
+    chunks = work.save(docs.mapInArrow(send, CHUNK), "chunks", packed=True)
 
     def sort(key, t):
         a, b = neighbours(np.frombuffer(b"".join(t["entries"].to_pylist()), ENTRY))
@@ -207,7 +229,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = chunks.select(F.inline("probes")).groupBy("shard").applyInArrow(sort, "part int, pairs binary")
     links = work.save(part.groupBy("part").applyInArrow(contract, "a bigint, b bigint"), "links")
     near = components(links, work).select(F.col("node").alias("uid"), F.col("label").alias("comp"))
-    rows = chunks.select(F.inline("docs"))
+    rows = chunks.select("gid", F.posexplode("docs").alias("pos", "d")).select("gid", "pos", "d.*")
     # Of equal sets one is compared; components with one distinct set are done.
     sets = rows.where("n > 0").select("uid", "set_id", "n").join(near, "uid").groupBy("comp", "set_id").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
     sets = work.save(sets, "sets")
@@ -231,7 +253,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     place.setdefault(d["uid"], k)
                 picked = sorted({place[w["uid"]] for w in want})
                 rows_ = unpack(body).take(pa.array(picked, pa.int64()))
-                found = dict(zip(picked, shingle_sets(*texts_of(rows_, "text"), words), strict=True))
+                found = dict(zip(picked, shingle_sets(*texts_of(rows_, text_col), words), strict=True))
                 for k in range(0, len(want), 1000):
                     part = want[k : k + 1000]
                     cols = {c: [w[c] for w in part] for c in ("task", "comp", "i", "j", "uid")}
@@ -261,10 +283,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = sets.select("uid", "set_id")
     named = label.join(ids, "uid").select("set_id", "label").join(ids.select(F.col("uid").alias("label"), F.col("set_id").alias("class")), "label").select("set_id", "class")
     named = work.save(named, "named")
-    every = rows.where("n > 0").join(named, "set_id", "left").select("doc_id", "n", F.coalesce("class", "set_id").alias("class"))
+    key = F.struct("doc_id", "n", "set_id", "gid", "pos")
+    every = rows.where("n > 0").join(named, "set_id", "left").select("gid", "pos", "doc_id", "n", key.alias("key"), F.coalesce("class", "set_id").alias("class"))
     every = work.save(every, "every")
-    least = work.save(every.groupBy("class").agg(F.min("doc_id").alias("least")), "least")  # as a table: a hot class's join can be split
-    linked = every.join(least, "class").select("doc_id", "n", "least")
-    done = linked.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
+    least = work.save(every.groupBy("class").agg(F.min("key").alias("least")), "least")  # as a table: a hot class's join can be split
+    linked = every.join(least, "class").select("gid", "pos", "doc_id", "n", F.col("least.doc_id").alias("least"), (F.col("key") == F.col("least")).alias("kept"))
+    done = linked.unionByName(rows.where("n = 0").select("gid", "pos", "doc_id", "n", F.col("doc_id").alias("least"), F.lit(True).alias("kept")))
     known = F.nullif(F.col("doc_id"), F.lit(NULL_ID)), F.nullif(F.col("least"), F.lit(NULL_ID))
-    return done.select(known[0].alias("doc_id"), F.col("n").alias("n_shingles"), known[1].alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
+    return chunks, done.select("gid", "pos", known[0].alias("doc_id"), F.col("n").alias("n_shingles"), known[1].alias("component_id"), "kept")

@@ -1,11 +1,13 @@
 """Exact, line, substring and near dedup against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
+from memspark.llm.common import input_bytes, shards_for
 from memspark.llm.exact_dedup import exact_dedup
 from memspark.llm.line_dedup import line_dedup
-from memspark.llm.near_dedup import near_dedup
+from memspark.llm.near_dedup import drop_near_copies, near_dedup
 from memspark.llm.substring_dedup import substring_dedup
 from pyspark.sql import functions as F
 
@@ -71,8 +73,41 @@ def test_near(spark, words):
     got = {r.doc_id: r for r in near_dedup(docs, words=words).collect()}
     assert near_dedup(docs, words=words).count() == docs.count()
     for i, want in h.brute_near(known(docs), words).items():
-        assert (got[i].n_shingles, got[i].component_id) == want and got[i].kept == (i == want[1])
+        assert (got[i].n_shingles, got[i].component_id) == want
     assert got[None].component_id is None and got[None].kept
+    kept = Counter((r.component_id, r.doc_id, r.n_shingles > 0) for r in near_dedup(docs, words=words).where("kept").collect())
+    assert all(c == i for c, i, _ in kept) and all(n == 1 for (c, i, some), n in kept.items() if some)
+    assert {c for c, _, _ in kept} == {r.component_id for r in got.values()}
+
+
+def test_near_rows_with_shared_ids(spark):
+    """Rows are documents: an id that two texts share is no link, and of each group one row stays."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "w"), (None, a.upper(), "n"), (None, a, "m"), (9, None, "e"), (9, " ", "f")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, body string").repartition(3)
+    got = Counter(tuple(r) for r in near_dedup(docs).collect())
+    n = len(h.shingles(a, 5))
+    assert sum(got.values()) == 8 and sum(v for k, v in got.items() if k[3]) == 4
+    assert {k[:3] for k in got} == {(3, n, None), (5, n, None), (5, n, 5), (7, n, 5), (None, n, None), (9, 0, 9)}
+    left = drop_near_copies(docs)
+    assert left.schema == docs.schema
+    texts = sorted((r.text or "").lower() for r in left.collect())
+    assert texts == sorted([a, b, "", " "])
+    no_ids = spark.createDataFrame([(None, t) for t in (a, a, b, b + " tail")], "doc_id long, text string")
+    assert sorted(t.text[0] for t in drop_near_copies(no_ids).collect()) == ["a", "b"]
+    assert drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_input_bytes(spark, tmp_path):
+    """Files are told by their size, and what can't be told is measured."""
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(500)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/d")
+    files = spark.read.parquet(f"{tmp_path}/d")
+    assert 0 < input_bytes(files) < 200_000 and input_bytes(files.select("text").where("doc_id > 3")) > 0
+    many = files.crossJoin(spark.range(3)).crossJoin(spark.range(2).withColumnRenamed("id", "id2"))
+    assert input_bytes(many) == 500 * 6 * 1008
+    assert input_bytes(docs.mapInArrow(lambda it: it, docs.schema)) == 500 * 1008
+    assert input_bytes(docs.limit(0)) == 0 and shards_for(many, 1 << 20) == 4
 
 
 @pytest.mark.parametrize("by_sets, by_shingles", [(3, 10**9), (10**9, 400)])

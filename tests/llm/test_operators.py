@@ -1,7 +1,9 @@
 """Fingerprints, toxicity, mixing, packing, quality, extraction and the pipeline on small tables."""
 
+import glob
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -430,3 +432,29 @@ def test_pipeline_edges(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in out} <= {None, *range(len(texts))} and (out or name != "unlabelled")
         assert not out or name != "empty"
+
+
+def test_pipeline_rows_and_columns(spark, tmp_path):
+    """Shared and missing ids lose no text, columns named like results stay as they are, a very long text stays whole; nothing but the result is left."""
+    r = random.Random(6)
+    prose = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**5)}" for _ in range(n))
+    a, b, c, long = prose(80), prose(80), prose(80), prose(60_000)
+    texts = [(3, a), (5, a), (5, b), (7, b), (None, c), (None, c), (11, long), (11, prose(90)), (12, long + " tail")]
+    rows = [(i, t, "en", "s", len(t), "mine", float(k), "w", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, predicted double, n_lines string, gid int")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    left = docs.collect()
+    assert sorted(x.text.split()[0] for x in left if x.text) == sorted({t.split()[0] for _, t in texts})  # line dedup leaves a repeated line to its first id
+    assert {(x.score, x.n_lines) for x in left} == {("mine", "w")} and all(x.predicted == x.gid for x in left)
+    assert max(len(x.text) for x in left) >= len(long)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    tokens = sum(x.n_tokens for x in out.collect())
+    assert tokens > 0
+    left_behind = [f for f in glob.glob(f"{os.path.dirname(os.path.dirname(out.inputFiles()[0])).removeprefix('file://')}/*")]
+    assert [os.path.basename(f) for f in left_behind] == ["4"]
