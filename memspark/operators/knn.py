@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
+from . import matrix
 
 #: Queries that are sent to all tasks at once; more queries go in blocks of this many.
 QUERY_BLOCK = 2000
@@ -21,22 +22,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, item_type: str |
     """vectors(hash, item_type, embedding) x queries(query_id, embedding) to the k best per query.
 
     Cosine similarity in double precision; invalid vectors and queries are left out; ties go to the smaller hash. The
-    vectors are read once for each block of queries and never shuffled: each task keeps its own best before the merge.
+    vectors are read once, whatever the number of queries, and packed where they lie; each pair of blocks is one matrix
+    product that keeps its own k best before the merge.
     """
     v = vectors if item_type is None else vectors.where(F.col("item_type") == item_type)
-    v = v.where(vx.is_valid(F.col("embedding"), dim)).select("hash", vx.normalize(F.col("embedding")).alias("_v"))
-    q = queries.where(vx.is_valid(F.col("embedding"), dim)).select("query_id", vx.normalize(F.col("embedding")).alias("_q"))
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "hash")
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = v.crossJoin(F.broadcast(part)).where(F.size("_v") == F.size("_q"))  # a block's size is bounded
-        scored = pairs.select("query_id", "hash", vx.dot(F.col("_v"), F.col("_q")).alias("score"))
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    return matrix.nearest(v, queries, k, dim).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def add(existing: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
@@ -87,16 +78,3 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, planes: int
 def scan_k(k: int, temporal: bool, multiplier: int = 8, max_scan: int = 1000) -> int:
     """How many candidates a time-bound search takes."""
     return max(1, min(k * multiplier, max_scan) if temporal else k)
-
-
-def synonyms(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs of names with threshold <= similarity < 1, each once. Blocks of names of a bounded size meet the stream of all; nothing is shuffled."""
-    v = vectors.where(vx.is_valid(F.col("embedding"))).select("hash", vx.normalize(F.col("embedding")).alias("_v"))
-    n = v.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-    for b in range(blocks):
-        part = v.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).select(F.col("hash").alias("src"), F.col("_v").alias("_s"))
-        pairs = v.crossJoin(F.broadcast(part)).where((F.col("src") < F.col("hash")) & (F.size("_v") == F.size("_s")))
-        hit = pairs.select("src", F.col("hash").alias("dst"), vx.dot(F.col("_v"), F.col("_s")).alias("score")).where((F.col("score") >= threshold) & (F.col("score") < 1 - 1e-12))
-        out = hit if out is None else out.unionByName(hit)
-    return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import sparse
+from ..operators import ivf, sparse
 from ..sources.snapshot import exists, write
 
 T0 = 1_704_067_200
@@ -25,6 +25,7 @@ class Fixtures:
     """
 
     _written: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+    _indexes: dict[tuple[str, str, str], ivf.Index] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -137,6 +138,15 @@ class Fixtures:
     def vector(self) -> DataFrame:
         return self.table("embeddings").select(F.concat(F.lit("v"), F.col("vec_id")).alias("hash"), F.when(F.col("vec_id") % 4 == 3, "relation").otherwise("paragraph").alias("item_type"), "embedding")
 
+    @cached_property
+    def ivf(self) -> ivf.Index:
+        """The index of all vectors, written once for each application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.dir.rstrip("/"), "ivf")
+        if key not in self._indexes or not exists(self.spark, self._indexes[key].path):
+            dim = self.vector.select(F.max(F.size("embedding"))).first()[0] or 1
+            self._indexes[key] = ivf.build(self.vector, dim)
+        return self._indexes[key]
+
     @cached_property
     def queries(self) -> DataFrame:
         """Whole texts and embeddings of the rows with an id divisible by 100; one without the other asks with what it has."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..functions import vector as vx
-from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, joins, knn, lifecycle, sparse, threshold
+from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, ivf, joins, knn, lifecycle, sparse, threshold
 from ..sources import ingest, readers
 from .engine import Engine, parse_relation_query
 from .fixtures import NOW, T0, Fixtures
@@ -284,6 +284,12 @@ def knn_filtered(x: Fixtures):
     return knn.search(x.vector, x.queries, 10, "relation").select("query_id", "hash", r6("score"), "rank")
 
 
+@query()
+def knn_ivf(x: Fixtures):
+    """Every 100th row asks the index of all rows; the tests hold its recall against brute force."""
+    return ivf.search(x.ivf, x.queries, 10).select("query_id", "hash", r6("score"), "rank")
+
+
 _BM25 = r"""WITH doc AS ({docs}), w AS (SELECT hash, list_filter(string_split_regex(lower(content), '[^\pL\pN_]+'), lambda t: t <> '') AS ts FROM doc), st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM w),
     p AS (SELECT hash, len(ts) AS dl, unnest(ts) AS term FROM w), tf AS (SELECT hash, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     q AS (SELECT query_id, unnest(list_filter(ts, lambda t, i: list_position(ts, t) = i)[1:64]) AS term FROM (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\pL\pN_]+'), lambda t: t <> '') AS ts FROM {queries})),

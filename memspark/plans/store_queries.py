@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..functions import vector as vx
-from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, hooks, joins, knn, lifecycle, profile, sparse, threshold
+from ..operators import aggregate, catalog, chunk, dml, episode, evaluate, fusion, graph, hooks, ivf, joins, knn, lifecycle, profile, sparse, threshold
 from ..schemas import TABLES
 from ..sources import ingest, readers
 from ..sources.snapshot import cut, verify
@@ -515,7 +515,7 @@ def knn_training_sample(x: Fixtures):
 
 @query("", """WITH v AS (SELECT vec_id, list_transform(e, lambda a: a / sqrt(list_inner_product(e, e))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)) SELECT 'v' || a.vec_id AS a, 'v' || b.vec_id AS b FROM v a JOIN v b ON 'v' || a.vec_id < 'v' || b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.45 AND list_inner_product(a.u, b.u) < 1 - 1e-12""")
 def knn_synonyms(x: Fixtures):
-    return knn.synonyms(x.vector, 0.45).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return ivf.synonyms(x.vector, 0.45).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
 @query("", "SELECT hash, round(similarity, 6) AS similarity, similarity >= 0.99 AS ok FROM (SELECT 'v' || vec_id AS hash, list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS similarity FROM (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: (x + 0.05)::FLOAT::DOUBLE) AS b FROM embeddings))")

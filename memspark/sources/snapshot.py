@@ -35,13 +35,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def new_folder(spark: SparkSession, name: str = "memspark") -> str:
+    """A new folder's path in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex[:12]}"
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def write(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path; it goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memspark_{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
+    path = new_folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from memspark.config import Config, Episode, Threshold
-from memspark.operators import catalog, chunk, dml, episode, evaluate, fusion, graph, joins, knn, lifecycle, profile, sparse, threshold
+from memspark.operators import catalog, chunk, dml, episode, evaluate, fusion, graph, ivf, joins, knn, lifecycle, profile, sparse, threshold
 from memspark.plans.engine import Engine
 from memspark.schemas import TABLES, validate
 from memspark.sources import ingest, readers
@@ -229,12 +229,11 @@ def test_knn(spark):
     assert knn.add(v.limit(1), v, 8).count() == 300
 
 
-def test_knn_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+def test_knn_of_itself(spark):
     v = spark.createDataFrame([(f"v{i}", "p", [float(i), 1.0]) for i in range(20)], "hash string, item_type string, embedding array<float>")
     q = v.select(F.col("hash").alias("query_id"), "embedding")
     assert knn.search(v, q, 1).where("query_id = hash").count() == 20
-    assert knn.synonyms(v, 0.999).where("src < dst").count() > 0
+    assert ivf.synonyms(v, 0.999).where("src < dst").count() > 0
 
 
 def brute_groups(rows, most, chars, window):
