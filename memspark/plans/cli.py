@@ -1,11 +1,13 @@
 """Batch entry points over a snapshot root, for spark-submit.
 
-    spark-submit memspark/plans/cli.py ROOT sources | delete-source NAME | rebuild-episodes [SOURCE...] | backfill-times | backfill-vectors |
+    spark-submit --py-files memspark.zip memspark/plans/cli.py ROOT sources | delete-source NAME | rebuild-episodes [SOURCE...] | backfill-times | backfill-vectors |
         import-files PATH | import-json PATH [REJECTED [MOST_REJECTED]] | maintain [HITS] | audit
 
 import-json writes documents of no known shape to REJECTED, and stops before anything is committed if there are more than
 MOST_REJECTED. HITS is a table of relation hashes that were used since the last run, as streaming.jobs.reinforce_buffer
-makes it. A commit writes only the tables that a command changes, and fails if another commit came between.
+makes it. Imports rewrite only the buckets that their
+rows lie in, other commands the tables that they change; a commit fails if another came between. Executors need the package:
+--py-files memspark.zip.
 """
 
 from __future__ import annotations
@@ -19,11 +21,9 @@ from pyspark.sql import functions as F
 from memspark.functions import text as tx
 from memspark.operators import catalog, chunk, dml, graph, hooks, joins, lifecycle
 from memspark.sources import ingest, readers
-from memspark.sources.snapshot import Snapshots
+from memspark.sources.snapshot import Snapshots, cut
 from memspark.streaming import jobs
 
-INGESTED = ("paragraph", "entity", "relation", "paragraph_entity", "paragraph_relation")
-
 
 def import_files(s: Snapshots, files: DataFrame, now: float) -> int:
     """Whole files: chunked by their own strategy, names and relations by pattern where the type has any."""
@@ -34,7 +34,9 @@ def import_files(s: Snapshots, files: DataFrame, now: float) -> int:
     names = e.groupBy("hash").agg(F.array_sort(F.collect_set("name")).alias("entities"))  # one chunk's names
     rel = r.groupBy("hash").agg(F.collect_list(F.struct("subject", "predicate", "object")).alias("relations"))
     items = c.join(names, "hash", "left").join(rel, "hash", "left").select("content", "knowledge_type", F.col("path").alias("source"), F.xxhash64("path", "idx").alias("ord"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("relations", F.array().cast("array<struct<subject:string,predicate:string,object:string>>")).alias("relations"))
-    return publish(s, ingest.persist(s.store(), items, now), "files")
+    items = cut(items)
+    touched = ingest.touched(s, items)
+    return publish(s, pruned(s, touched), lambda store: ingest.persist(store, items, now), touched, "files")
 
 
 def import_json(s: Snapshots, files: DataFrame, now: float, rejected: str | None = None, most: int | None = None) -> int:
@@ -48,21 +50,41 @@ def import_json(s: Snapshots, files: DataFrame, now: float, rejected: str | None
     p = u["paragraphs"].withColumn("ord", F.xxhash64("path", "ord"))
     if "time" in p.columns:
         p = p.select("*", "time.event_time", "time.event_time_start", "time.event_time_end", "time.time_granularity", "time.time_confidence").drop("time")
-    store = ingest.persist(s.store(), p.drop("path"), now)
-    store["entity"] = dml.merge_entities(store["entity"], u["entities"].select("name", F.lit(0).cast("bigint").alias("ord")), now)
-    more = u["relations"].withColumns({"ord": F.lit(0), "confidence": F.lit(1.0), "created_at": F.lit(now)})
-    store["relation"] = dml.insert_relations(store["relation"], more)
-    return publish(s, store, "json")
-
-
-def publish(s: Snapshots, store: dict[str, DataFrame], note: str) -> int:
-    """One snapshot of what ingest changes, with the graph built from it."""
-    rel = store["relation"]
-    pairs = rel.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(1.0).alias("weight"), "hash", F.lit(0).alias("ord"))
-    new = graph.build_edges(pairs).join(store["edge"].select("src", "dst", F.col("weight").alias("_w")), ["src", "dst"], "left")
-    edge = new.select("src", "dst", F.coalesce("_w", "weight").alias("weight"), "relation_hashes")
-    node = graph.build_nodes(store["entity"].select("name", F.lit(0).alias("ord")))
-    return s.commit({t: store[t] for t in INGESTED} | {"edge": edge, "node": node}, note)
+    items, names, more = cut(p.drop("path")), u["entities"].select("name", F.lit(0).cast("bigint").alias("ord")), u["relations"]
+    ends = names.select("name")
+    touched = ingest.touched(s, items)
+    extra = {"entity": ends.select(tx.entity_hash(F.col("name")).alias("hash")), "relation": more.select(tx.relation_hash(F.col("subject"), F.col("predicate"), F.col("object")).alias("hash"))}
+    touched |= {t: sorted({*touched[t], *s.buckets_of(t, k)}) for t, k in extra.items()}
+
+    def persist(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        out = ingest.persist(store, items, now)
+        out["entity"] = dml.merge_entities(out["entity"], names, now)
+        out["relation"] = dml.insert_relations(out["relation"], more.withColumns({"ord": F.lit(0), "confidence": F.lit(1.0), "created_at": F.lit(now)}))
+        return out
+
+    return publish(s, pruned(s, touched), persist, touched, "json")
+
+
+def pruned(s: Snapshots, touched: dict[str, list[int]]) -> dict[str, DataFrame]:
+    """The touched buckets of each table."""
+    return {t: s.read(t, buckets=b) for t, b in touched.items()}
+
+
+def publish(s: Snapshots, store: dict[str, DataFrame], persist, touched: dict[str, list[int]], note: str) -> int:
+    """One snapshot of what ingest changes, in the buckets it touches, with the edges and nodes of what is new."""
+    base = s.version()
+    out = {t: cut(df) for t, df in persist(store).items() if t in touched}
+    rel = out["relation"].join(store["relation"].select("hash"), "hash", "left_anti")
+    pairs = cut(graph.build_edges(rel.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(1.0).alias("weight"), "hash", F.lit(0).alias("ord"))))
+    touched = touched | {"edge": s.buckets_of("edge", pairs)}
+    old = s.read("edge", buckets=touched["edge"]).withColumnsRenamed({"weight": "_w", "relation_hashes": "_h"})
+    none = F.array().cast("array<string>")
+    edge = old.join(pairs, ["src", "dst"], "full").select("src", "dst", F.coalesce("_w", "weight").alias("weight"), F.array_sort(F.array_union(F.coalesce("_h", none), F.coalesce("relation_hashes", none))).alias("relation_hashes"))
+    nodes = cut(graph.build_nodes(out["entity"].select("name", F.lit(0).alias("ord"))))
+    touched = touched | {"node": s.buckets_of("node", nodes)}
+    known = s.read("node", buckets=touched["node"])
+    node = known.unionByName(nodes.join(known.select("canon"), "canon", "left_anti"))
+    return s.commit(out | {"edge": edge, "node": node}, note, base, touched)
 
 
 def changed(store: dict[str, DataFrame], out: dict[str, DataFrame]) -> dict[str, DataFrame]:

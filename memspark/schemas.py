@@ -43,6 +43,26 @@ TABLES: dict[str, str] = {
     "profile_override": "person_id string, override_text string, updated_at double, updated_by string, source string",
 }
 
+#: (columns by which rows are dealt to buckets, columns that name a row) of each table.
+KEYS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "paragraph": (("hash",), ("hash",)),
+    "entity": (("hash",), ("hash",)),
+    "relation": (("hash",), ("hash",)),
+    "deleted_relation": (("hash",), ("hash",)),
+    "vector": (("hash",), ("hash", "item_type")),
+    "paragraph_entity": (("paragraph_hash",), ("paragraph_hash", "entity_hash")),
+    "paragraph_relation": (("paragraph_hash",), ("paragraph_hash", "relation_hash")),
+    "node": (("canon",), ("canon",)),
+    "edge": (("src",), ("src", "dst")),
+    "episode": (("source",), ("episode_id",)),
+    "episode_paragraph": (("episode_id",), ("episode_id", "paragraph_hash")),
+    "rebuild_source": (("source",), ("source",)),
+    "active_person": (("person_id",), ("stream_id", "user_id", "person_id")),
+    "profile_switch": (("stream_id",), ("stream_id", "user_id")),
+    "profile_snapshot": (("person_id",), ("person_id", "profile_version")),
+    "profile_override": (("person_id",), ("person_id",)),
+}
+
 
 def validate(df: DataFrame, column: str, allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows) by an enumeration; null is invalid."""

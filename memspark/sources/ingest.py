@@ -78,6 +78,21 @@ def persist(store: dict[str, DataFrame], items: DataFrame, now: float) -> dict[s
     }
 
 
+def touched(snapshots, items: DataFrame, relations: DataFrame | None = None) -> dict[str, list[int]]:
+    """The buckets of each table that persist() can change for these items and relations."""
+    p = items.select(tx.content_hash(tx.normalize(F.col("content"))).alias("hash"))
+    rel = relations if relations is not None else items.select(F.inline("relations")).select("subject", "predicate", "object")
+    names = items.select(F.explode(tx.keep_order("entities")).alias("name")).unionByName(rel.select(F.explode(F.array("subject", "object")).alias("name")))
+    keys = {
+        "paragraph": p,
+        "entity": names.select(tx.entity_hash(F.col("name")).alias("hash")),
+        "relation": rel.select(tx.relation_hash(F.col("subject"), F.col("predicate"), F.col("object")).alias("hash")),
+        "paragraph_entity": p.withColumnRenamed("hash", "paragraph_hash"),
+        "paragraph_relation": p.withColumnRenamed("hash", "paragraph_hash"),
+    }
+    return {t: snapshots.buckets_of(t, k) for t, k in keys.items()}
+
+
 def map_chats(rows: DataFrame) -> dict[str, DataFrame]:
     """Chat history to paragraphs with a minute-grain interval, entities, and relations participant-theme and theme-keyword (8 at most).
 

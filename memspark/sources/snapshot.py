@@ -6,10 +6,10 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import SCHEMA_VERSION, TABLES
+from ..schemas import KEYS, SCHEMA_VERSION, TABLES
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,12 +60,18 @@ def cut(df: DataFrame) -> DataFrame:
 class Snapshots:
     """Snapshots under a root in any Hadoop file system. A reader sees all tables of one version or none of it.
 
-    A version is a manifest, a file that is created once and never changed, over tables in folders that are written once;
-    the current version is the last whole manifest. A commit that finds its number taken has lost against another.
+    A version is a manifest, a file that is created once and never changed, over folders that are written once; the
+    current version is the last whole manifest. A commit that finds its number taken has lost against another. That is
+    one step on HDFS and POSIX file systems, whose create refuses a file that is there; on an object store only where it
+    has conditional writes (as s3a with fs.s3a.create.conditional.enabled), else two writers need a lock of their own.
+
+    Tables with keys (schemas.KEYS) lie in buckets by a hash of their bucket columns. A listing tells for each bucket its
+    folder, rows, and smallest and largest key; a change rewrites only the buckets that it touches, and takes the others
+    over from the version before. The listing is a file of its own, so a commit writes those of the changed tables only.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -117,33 +123,126 @@ class Snapshots:
             raise FileNotFoundError(f"no snapshot {version or self.version()} under {self.root}")
         return found
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table; what a snapshot lacks is empty with its schema. Other schema versions are refused."""
+    def listing(self, table: str, version: int | None = None) -> dict | None:
+        """Buckets of a table: {"n": number, "buckets": {number: {path, rows, low, high}}}; None for one that has none."""
         v = version or self.version()
-        if v:
-            m = self.manifest(v)
-            if m["schema_version"] != SCHEMA_VERSION:
-                raise ValueError(f"snapshot {v} has schema version {m['schema_version']}, not {SCHEMA_VERSION}")
-            if table in m["tables"]:
-                return self.spark.read.schema(m["tables"][table]["schema"]).parquet(f"{self.root}/{m['tables'][table]['path']}")
-        return self.spark.createDataFrame([], TABLES[table])
+        entry = self.manifest(v)["tables"].get(table) if v else None
+        return json.loads(self._read(entry["path"])) if entry and entry.get("bucketed") else None
+
+    def _bucket(self, table: str, n: int, schema=None) -> Column:
+        """A row's bucket: by the bucket columns in the types of the table."""
+        kinds = {f.name: f.dataType for f in schema or self.spark.createDataFrame([], TABLES[table]).schema}
+        return F.pmod(F.xxhash64(*[F.col(c).cast(kinds[c]) for c in KEYS[table][0]]), F.lit(n)).cast("int")
+
+    def buckets_of(self, table: str, keys: DataFrame, version: int | None = None) -> list[int]:
+        """The buckets of these keys (rows with the table's bucket columns): as many as the table has, at most."""
+        found = self.listing(table, version)
+        n = found["n"] if found else self.buckets
+        return sorted(r[0] for r in keys.select(self._bucket(table, n)).distinct().collect())
+
+    def read(self, table: str, version: int | None = None, buckets: list[int] | None = None, between: tuple | None = None) -> DataFrame:
+        """A table, or some of its buckets; what a snapshot lacks is empty with its schema. Other schema versions are refused.
+
+        between=(low, high) leaves out the buckets, and the rows, whose first key column is not in the range.
+        """
+        v = version or self.version()
+        m = self.manifest(v) if v else {"schema_version": SCHEMA_VERSION, "tables": {}}
+        if m["schema_version"] != SCHEMA_VERSION:
+            raise ValueError(f"snapshot {v} has schema version {m['schema_version']}, not {SCHEMA_VERSION}")
+        if table not in m["tables"]:
+            return self.spark.createDataFrame([], TABLES[table])
+        entry = m["tables"][table]
+        reader, first = self.spark.read.schema(entry["schema"]), KEYS[table][1][0] if table in KEYS else None
+        in_range = F.lit(True) if between is None else F.col(first).between(*between)
+        if not entry.get("bucketed"):
+            return reader.parquet(f"{self.root}/{entry['path']}").where(in_range)
+        found = json.loads(self._read(entry["path"]))["buckets"]
+        wanted = [x for b, x in found.items() if buckets is None or int(b) in buckets]
+        wanted = [x for x in wanted if between is None or x["low"] is None or not (x["high"] < str(between[0]) or x["low"] > str(between[1]))]
+        if not wanted:
+            return self.spark.createDataFrame([], entry["schema"])
+        return reader.parquet(*[f"{self.root}/{x['path']}" for x in wanted]).where(in_range)
 
     def store(self, version: int | None = None) -> dict[str, DataFrame]:
         return {t: self.read(t, version) for t in TABLES}
 
-    def commit(self, tables: dict[str, DataFrame], note: str = "", expected: int | None = None) -> int:
-        """Writes the given tables, takes over the others, and creates the next manifest. Refuses if another commit came between, or `expected` isn't the current version."""
+    def _write(self, name: str, df: DataFrame, commit_id: str, old: dict | None, only: list[int] | None) -> dict:
+        """The manifest's entry of a table whose buckets (all, or those in `only`) are now the rows of df."""
+        schema = df._jdf.schema().toDDL()
+        if name not in KEYS or not set(KEYS[name][0] + KEYS[name][1]) <= set(df.columns):
+            df.write.parquet(f"{self.root}/tables/{commit_id}/{name}")
+            return {"path": f"tables/{commit_id}/{name}", "schema": schema}
+        n, path, key = old["n"] if old else self.buckets, f"tables/{commit_id}/{name}", KEYS[name][1][0]
+        # Rebalancing splits a bucket that is too large for a task, and joins small ones.
+        dealt = df.withColumn("_bucket", self._bucket(name, n, df.schema)).hint("rebalance", "_bucket")
+        dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+        back = self.spark.read.schema(f"{schema}, _bucket int").parquet(f"{self.root}/{path}")
+        told = back.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"), F.min(key).cast("string").alias("low"), F.max(key).cast("string").alias("high")).collect()  # n rows at most
+        new = {str(r["_bucket"]): {"path": f"{path}/_bucket={r['_bucket']}", "rows": r["rows"], "low": r["low"], "high": r["high"]} for r in told}
+        if only is not None:
+            if not set(map(int, new)) <= set(only):
+                raise ValueError(f"rows of {name} belong to other buckets than the given")
+            new = {b: x for b, x in (old or {"buckets": {}})["buckets"].items() if int(b) not in only} | new
+        self._create(f"{path}.json", json.dumps({"n": n, "buckets": new}))
+        return {"path": f"{path}.json", "schema": schema, "bucketed": True}
+
+    def commit(self, tables: dict[str, DataFrame], note: str = "", expected: int | None = None, buckets: dict[str, list[int]] | None = None, deal: int | None = None) -> int:
+        """Writes the given tables, takes over the others, and creates the next manifest. Refuses if another commit came between, or `expected` isn't the current version.
+
+        buckets: for tables named here the frame holds all rows of just these buckets, and the others stay as they are.
+        deal: a new number of buckets for whole tables.
+        """
         now = self.version()
         if expected is not None and expected != now:
             raise RuntimeError(f"the snapshot is at version {now}, not {expected}")
-        kept = self.manifest(now)["tables"] if now else {}
+        kept = dict(self.manifest(now)["tables"]) if now else {}
         commit_id = uuid.uuid4().hex
         for name, df in tables.items():
-            path = f"tables/{commit_id}/{name}"
-            df.write.parquet(f"{self.root}/{path}")
-            kept[name] = {"path": path, "schema": df._jdf.schema().toDDL()}
+            only = (buckets or {}).get(name)
+            old = self.listing(name, now) if now else None
+            if old is None and only is not None and name in kept:
+                raise ValueError(f"{name} has no buckets yet")
+            if deal is not None and only is None:
+                old = {"n": deal, "buckets": {}}
+            kept[name] = self._write(name, df, commit_id, old, only)
         return self._publish(now, commit_id, note, kept)
 
+    def change(self, upserts: dict[str, DataFrame] | None = None, deletes: dict[str, DataFrame] | None = None, replaces: dict[str, tuple[DataFrame, DataFrame]] | None = None, note: str = "", expected: int | None = None) -> int:
+        """One commit of changed rows; only the buckets they lie in are read and written.
+
+        deletes: frames of (some) key columns; rows that match go. replaces: (scope, rows): the rows whose values are in
+        scope go, and the given ones come. upserts: rows that take the place of those with their key; of several rows with a
+        key one counts, the same in every run. They are applied in this order. Where a frame lacks the bucket columns, the
+        buckets are those in which its rows are found.
+        """
+        upserts, deletes, replaces = upserts or {}, deletes or {}, replaces or {}
+        now, out, touched = self.version(), {}, {}
+        for name in {**deletes, **replaces, **upserts}:
+            (by, keys), kind = KEYS[name], self.read(name, now)
+            like = lambda df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.schema])  # noqa: E731, B023
+            gone = [df for df in (deletes.get(name), replaces.get(name, (None,))[0]) if df is not None]
+            come = [like(df) for df in (replaces.get(name, (None, None))[1],) if df is not None]
+            if name in upserts:
+                flat = [f.name for f in kind.schema if not f.dataType.simpleString().startswith("map")]
+                w = Window.partitionBy(*keys).orderBy(F.xxhash64(*flat))
+                one = cut(like(upserts[name]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
+                gone.append(one.select(*keys))
+                come.append(one)
+            hit: set[int] = set()
+            for df in (*gone, *come):
+                if set(by) <= set(df.columns):
+                    hit |= set(self.buckets_of(name, df, now))
+                else:
+                    found = kind.join(df.distinct(), df.columns, "left_semi")
+                    hit |= set(self.buckets_of(name, found, now))
+            rows = self.read(name, now, sorted(hit))
+            for df in gone:
+                rows = rows.join(df.distinct(), df.columns, "left_anti").select(*kind.columns)
+            for df in come:
+                rows = rows.unionByName(df)
+            out[name], touched[name] = rows, sorted(hit)
+        return self.commit(out, note, now if expected is None else expected, {t: b for t, b in touched.items() if self.listing(t, now) or t not in (self.manifest(now)["tables"] if now else {})})
+
     def _publish(self, base: int, commit_id: str, note: str, tables: dict) -> int:
         if self.version() != base:
             raise RuntimeError(f"the snapshot is at version {self.version()}, not {base}: another commit came between")
@@ -156,9 +255,39 @@ class Snapshots:
         """A new version with the tables of an older one, which must be whole. No version is ever changed."""
         return self._publish(self.version(), uuid.uuid4().hex, f"rollback to {version}", self.manifest(version)["tables"])
 
-    def compact(self, table: str, files: int) -> int:
-        """Rewrites a table as so many files."""
-        return self.commit({table: self.read(table).repartition(files)}, f"compact {table}")
+    def compact(self, table: str, n: int) -> int:
+        """Rewrites a table as so many buckets, or files if it has no key."""
+        if table in KEYS:
+            return self.commit({table: self.read(table)}, f"compact {table}", deal=n)
+        return self.commit({table: self.read(table).repartition(n)}, f"compact {table}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes the folders that none of the last `keep` whole versions reads, and returns how many. Older versions can't be read after."""
+        whole = [m for v in self.versions() if (m := self._manifest(v)) is not None][:keep]
+        used = set()
+        for m in whole:
+            for entry in m["tables"].values():
+                used.add(entry["path"])
+                if entry.get("bucketed"):
+                    used |= {x["path"] for x in json.loads(self._read(entry["path"]))["buckets"].values()}
+        gone, start = 0, len(str(self._fs.makeQualified(self._path(self.root)))) + 1
+        for commit in self._list("tables"):
+            for item in self._list(commit[start:]):
+                rel = item[start:]
+                if rel in used:
+                    continue
+                inner = [x for x in self._list(rel) if "/_bucket=" in x]
+                unused = [x for x in inner if x[start:] not in used] if inner else [item]
+                for x in unused if len(unused) < len(inner) else [item]:
+                    self._fs.delete(self._path(x), True)
+                    gone += 1
+        return gone
+
+    def _list(self, name: str) -> list[str]:
+        p = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(p) or not self._fs.getFileStatus(p).isDirectory():
+            return []
+        return sorted(str(self._fs.makeQualified(f.getPath())) for f in self._fs.listStatus(p))
 
 
 def verify(store: dict[str, DataFrame]) -> DataFrame:

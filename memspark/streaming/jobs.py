@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import episode
-from ..sources.snapshot import Snapshots
+from ..sources.snapshot import Snapshots, cut
 
 
 def single_flight(requests: DataFrame, ttl: str = "2 seconds") -> DataFrame:
@@ -32,41 +32,43 @@ def run(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: st
 def rebuild_episodes(snapshots: Snapshots, now: Callable[[], float]) -> Callable[[DataFrame, int], None]:
     """Changed paragraphs(source) of a batch: their sources are grouped anew and their episodes replaced.
 
-    Only the changed sources are read again; a batch that is replayed replaces the same episodes by the same.
+    Only the buckets of the changed sources and of their episodes are rewritten; a batch that is replayed replaces the same
+    episodes by the same.
     """
 
     def job(batch: DataFrame, _: int) -> None:
         store = snapshots.store()
         t = now()
-        sources = batch.select("source").where("source is not null and source != ''").distinct()
+        sources = cut(batch.select("source").where("source is not null and source != ''").distinct())
         p = store["paragraph"].where("not coalesce(is_deleted, false)").join(sources, "source", "left_semi")
         grouped = p.join(episode.group(p).select("hash", "anchor", "group_no"), "hash")
         made = episode.fallback(grouped, store["paragraph_entity"], store["entity"], t)
-        old = store["episode"].select("episode_id", F.col("created_at").alias("_c"))
-        made = made.join(old, "episode_id", "left").withColumn("created_at", F.coalesce("_c", "created_at")).drop("_c").select(*store["episode"].columns)
+        mine = snapshots.read("episode", buckets=snapshots.buckets_of("episode", sources)).join(sources, "source", "left_semi")
+        old = cut(mine.select("episode_id", F.col("created_at").alias("_c")))
+        made = cut(made.join(old, "episode_id", "left").withColumn("created_at", F.coalesce("_c", "created_at")).drop("_c").select(*store["episode"].columns))
         links = made.select("episode_id", F.posexplode("evidence_ids").alias("position", "paragraph_hash")).select("episode_id", "paragraph_hash", "position")
-        gone = store["episode"].join(sources, "source", "left_semi").select("episode_id")
-        queue = episode.enqueue(store["rebuild_source"], sources, t, "paragraphs changed")
-        done = queue.join(sources, "source", "left_semi").select("source", "requested_at", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
-        snapshots.commit(
-            {
-                "episode": store["episode"].join(sources, "source", "left_anti").unionByName(made),
-                "episode_paragraph": store["episode_paragraph"].join(gone, "episode_id", "left_anti").unionByName(links),
-                "rebuild_source": episode.settle(queue, done, t),
-            },
-            "episodes",
+        queue = snapshots.read("rebuild_source", buckets=snapshots.buckets_of("rebuild_source", sources)).join(sources, "source", "left_semi")
+        queue = episode.enqueue(queue, sources, t, "paragraphs changed")
+        done = queue.select("source", "requested_at", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
+        snapshots.change(
+            upserts={"rebuild_source": episode.settle(queue, done, t), "episode_paragraph": links},
+            deletes={"episode_paragraph": old.select("episode_id")},
+            replaces={"episode": (sources, made)},
+            note="episodes",
         )
 
     return job
 
 
 def import_chats(snapshots: Snapshots, now: Callable[[], float]) -> Callable[[DataFrame, int], None]:
-    """Each batch of chat history becomes one snapshot; the stream's checkpoint is the cursor, and a replay adds nothing."""
+    """Each batch of chat history becomes one snapshot, which rewrites the buckets of its own rows; the stream's checkpoint is the cursor, and a replay adds nothing."""
     from ..sources import ingest
 
     def job(batch: DataFrame, _: int) -> None:
-        store = snapshots.store()
-        out = ingest.commit_window(store, ingest.map_chats(batch), now())
-        snapshots.commit({k: out[k] for k in ("paragraph", "entity", "relation", "paragraph_entity", "paragraph_relation")}, "chat history")
+        mapped = ingest.map_chats(batch)
+        touched = ingest.touched(snapshots, mapped["items"], mapped["relations"])
+        store = {t: snapshots.read(t, buckets=b) for t, b in touched.items()}
+        out = ingest.commit_window(store, mapped, now())
+        snapshots.commit({t: out[t] for t in touched}, "chat history", buckets=touched)
 
     return job
