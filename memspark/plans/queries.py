@@ -648,4 +648,4 @@ def hybrid_search(x: Fixtures):
     return found.select("query_id", "hash", r6("score"), "result_type", "rank", "source")
 
 
-from . import store_queries  # noqa: E402, F401  registers the rest
+from . import index_queries, store_queries  # noqa: E402, F401  registers the rest

@@ -243,6 +243,19 @@ class Snapshots:
             out[name], touched[name] = rows, sorted(hit)
         return self.commit(out, note, now if expected is None else expected, {t: b for t, b in touched.items() if self.listing(t, now) or t not in (self.manifest(now)["tables"] if now else {})})
 
+    def put(self, name: str, listing: dict, uses: list[str], commit_id: str, base: int, note: str = "", tables: dict | None = None) -> int:
+        """Publishes a listing of its own kind (a log, an index) over folders in `uses`, with changed entries of tables."""
+        path = f"tables/{commit_id}/{name}.json"
+        self._create(path, json.dumps(listing))
+        kept = dict(self.manifest(base)["tables"]) if base else {}
+        return self._publish(base, commit_id, note, kept | (tables or {}) | {name: {"path": path, "uses": uses}})
+
+    def get(self, name: str, version: int | None = None) -> dict | None:
+        """A listing that put() has published."""
+        v = version or self.version()
+        entry = self.manifest(v)["tables"].get(name) if v else None
+        return json.loads(self._read(entry["path"])) if entry else None
+
     def _publish(self, base: int, commit_id: str, note: str, tables: dict) -> int:
         if self.version() != base:
             raise RuntimeError(f"the snapshot is at version {self.version()}, not {base}: another commit came between")
@@ -267,7 +280,7 @@ class Snapshots:
         used = set()
         for m in whole:
             for entry in m["tables"].values():
-                used.add(entry["path"])
+                used |= {entry["path"], *entry.get("uses", [])}
                 if entry.get("bucketed"):
                     used |= {x["path"] for x in json.loads(self._read(entry["path"]))["buckets"].values()}
         gone, start = 0, len(str(self._fs.makeQualified(self._path(self.root)))) + 1
