@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from . import matcher
 
 # Marks of lists, terms, scenes and sentence ends.
 _LIST = re.compile(r"[-*]\s+|\d+\.\s+")
@@ -110,21 +111,8 @@ def rescue(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("strategy", F.when(tx.is_quote(F.col("text")), "quote").otherwise(F.col("strategy")))
 
 
-def match_patterns(texts: DataFrame, patterns: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, pattern, at) of every occurrence of any pattern, by one automaton a task; patterns are a bounded list."""
-    found = sorted({p for p in patterns if p})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for p in found:
-            auto.add_word(p, p)
-        if found:
-            auto.make_automaton()
-        for b in batches:
-            rows = [(i, p, end - len(p) + 1) for i, t in zip(b["id"], b["text"], strict=True) if found and t for end, p in auto.iter(t)]
-            yield pd.DataFrame(rows, columns=["id", "pattern", "at"])
-
-    kind = dict(texts.dtypes)[id_col]
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, pattern string, at int")
+def match_patterns(texts: DataFrame, patterns: DataFrame | list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, pattern, at) of every occurrence of any pattern; patterns(pattern) are a table of any size, or a list."""
+    if isinstance(patterns, list):
+        patterns = texts.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    return matcher.occurrences(texts, patterns, id_col, text_col)

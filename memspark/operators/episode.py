@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Episode
 from ..functions import text as tx
+from . import matcher
 from .dml import first_by
 from .fusion import rrf
-from .knn import in_blocks
 
 GRAINS = ("minute", "hour", "day", "month", "year")
 
@@ -155,11 +153,14 @@ def settle(queue: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
 def lexical(episodes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """4 for the title, 3 for keywords, 2 for the summary, 1 for participants that contain the query's text."""
     q = queries.select("query_id", F.lower(F.trim("text")).alias("t")).where("t != ''")
-    j = reduce(DataFrame.unionByName, [episodes.crossJoin(F.broadcast(part)) for part in in_blocks(q, "query_id")])  # a block's size is bounded
-    inside = lambda c: F.lower(c).contains(F.col("t")).cast("int")
-    score = 4 * inside(F.coalesce("title", F.lit(""))) + 3 * inside(F.concat_ws(" ", "keywords")) + 2 * inside(F.coalesce("summary", F.lit(""))) + inside(F.concat_ws(" ", "participants"))
+    parts = [(4, F.col("title")), (3, F.concat_ws(" ", "keywords")), (2, F.col("summary")), (1, F.concat_ws(" ", "participants"))]
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lower(c).alias("t")) for w, c in parts])).alias("x")
+    texts = episodes.select("episode_id", each).select(F.struct("episode_id", "x.w").alias("id"), "x.t")
+    hits = matcher.held(texts, q, "id", "t", "t").select("id.episode_id", "id.w", F.col("pattern").alias("t"))
+    found = q.join(hits, "t").groupBy("query_id", "episode_id").agg(F.sum("w").cast("double").alias("score"))
+    j = found.join(episodes.select("episode_id", "event_time_end", "updated_at"), "episode_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("event_time_end"), F.desc("updated_at"), "episode_id")
-    return j.withColumn("score", score.cast("double")).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "episode_id", "score", "rank")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "episode_id", "score", "rank")
 
 
 def evidence_rank(matched: DataFrame, hits: DataFrame, column: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.snapshot import cut
+from . import matcher
 
 ACTIVE = "weight > 0"
-WINDOW = 256
 
 
 def build_nodes(names: DataFrame) -> DataFrame:
@@ -259,20 +259,10 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mentions(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node names that occur in a query's text, whatever the case, with the number of (overlapping) occurrences.
-
-    Queries are looked up by the names' lengths: each distinct length cuts the text into candidates, and these join the
-    names, so that neither side is paired with all of the other. Texts are first cut into windows of WINDOW starting
-    places each, as finding a place within a text takes a walk to it.
-    """
-    n = nodes.where("canon != ''").select("canon", F.char_length("canon").alias("len"))
-    lens = n.select("len").distinct().agg(F.array_sort(F.collect_set("len")).alias("lens"))  # distinct name lengths
-    q = queries.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).where("t != ''").crossJoin(F.broadcast(lens))
-    windows = q.select("query_id", "t", "lens", F.explode(F.sequence(F.lit(1), F.char_length("t"), F.lit(WINDOW))).alias("at"))
-    cuts = windows.select("query_id", F.explode("lens").alias("len"), F.substring(F.col("t"), F.col("at"), WINDOW + F.array_max("lens")).alias("w"))
-    cuts = cuts.select("query_id", "len", F.substring(F.col("w"), F.lit(1), F.col("len") + (WINDOW - 1)).alias("t")).where(F.char_length("t") >= F.col("len"))
-    grams = cuts.select("query_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - F.col("len") + 1), lambda i: F.substring(F.col("t"), i, F.col("len")))).alias("canon"))
-    return grams.join(n, ["canon", "len"]).groupBy("query_id", "canon").agg(F.count(F.lit(1)).alias("n"))
+    """Node names that occur in a query's text, whatever the case, with the number of (overlapping) occurrences."""
+    q = queries.select("query_id", F.lower("text").alias("t"))
+    hits = matcher.occurrences(q, nodes, "query_id", "t", "canon")
+    return hits.groupBy(F.col("id").alias("query_id"), F.col("pattern").alias("canon")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def query_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:

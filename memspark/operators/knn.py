@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import vector as vx
 from . import matrix
 
-#: Queries that are sent to all tasks at once; more queries go in blocks of this many.
-QUERY_BLOCK = 2000
-
-
-def in_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    """The rows in blocks of about QUERY_BLOCK rows by a hash of `key`; rows of one key stay together."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
-
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, item_type: str | None = None, dim: int | None = None) -> DataFrame:
     """vectors(hash, item_type, embedding) x queries(query_id, embedding) to the k best per query.

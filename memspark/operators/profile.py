@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import matcher
 from .dml import append_snapshots, first_by
 from .joins import active_persons
-from .knn import in_blocks
 
 
 def aliases(persons: DataFrame) -> DataFrame:
@@ -32,8 +30,10 @@ def resolve(persons: DataFrame, wanted: DataFrame) -> DataFrame:
     al = aliases(persons)
     exact = wanted.withColumn("k", k).join(al.withColumn("k", F.lower("alias")), "k").select("key", "person_id", F.when(F.col("rank") <= 1, 1).otherwise(2).alias("r"))
     nicks = al.where("rank > 1")
-    pairs = reduce(DataFrame.unionByName, [nicks.crossJoin(F.broadcast(keys)) for keys in in_blocks(wanted, "key")])  # a block's size is bounded
-    part = pairs.where(F.lower("alias").contains(k)).select("key", "person_id", F.lit(3).alias("r"))
+    low = nicks.select("person_id", F.lower("alias").alias("alias"))
+    hits = matcher.held(low, wanted.select(k.alias("k")), "person_id", "alias", "k").select(F.col("id").alias("person_id"), F.col("pattern").alias("k"))
+    blank = wanted.where(k == "").join(F.broadcast(nicks.agg(F.min("person_id").alias("person_id")).where("person_id is not null")))  # one row: any name holds an empty key
+    part = wanted.withColumn("k", k).join(hits, "k").select("key", "person_id").unionByName(blank.select("key", "person_id")).withColumn("r", F.lit(3))
     return first_by(by_id.unionByName(exact).unionByName(part), ["key"], F.col("r"), F.col("person_id")).select("key", "person_id")
 
 

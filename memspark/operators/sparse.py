@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.snapshot import cut
-from .knn import in_blocks
+from . import matcher
 
 MOST_TERMS, MOST_FALLBACK_TERMS = 64, 32
+Keep = Callable[[DataFrame], DataFrame] | None
 
 
 def _all_tokens(c: Column, mode: str, n: int) -> Column:
@@ -43,8 +44,9 @@ def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, mode: str = "word", n: int = 2, live: Column | None = None, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, hash, score, rank). The statistics are those of all docs; `live` filters before the k best are taken.
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, mode: str = "word", n: int = 2, live: Column | None = None, index: DataFrame | None = None, keep: Keep = None) -> DataFrame:
+    """(query_id, hash, score, rank). The statistics are those of all docs; `live` (of docs) and `keep` (of
+    query_id, hash and score) filter before the k best are taken.
 
     idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6. Scores are rounded to nine digits, so that ties don't depend on
     the order in which terms are added. Terms that no query has are dropped before anything is shuffled. index: the docs'
@@ -66,7 +68,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 80, k1: float = 1.2, b: f
     scored = j.groupBy("query_id", "hash").agg(F.round(F.sum(part), 9).alias("score"))
     if live is not None:
         scored = scored.join(docs.where(live).select("hash"), "hash", "left_semi")
-    return top(scored, k)
+    return top(keep(scored) if keep else scored, k)
 
 
 def relation_docs(relations: DataFrame) -> DataFrame:
@@ -74,25 +76,27 @@ def relation_docs(relations: DataFrame) -> DataFrame:
     return relations.select("hash", F.concat_ws(" ", "subject", "predicate", "object").alias("content"))
 
 
-def ngram_search(docs: DataFrame, queries: DataFrame, k: int = 20, n: int = 2) -> DataFrame:
-    """Share of a query's n-grams that a document has."""
+def ngram_search(docs: DataFrame, queries: DataFrame, k: int = 20, n: int = 2, keep: Keep = None) -> DataFrame:
+    """Share of a query's n-grams that a document has. keep: filters (query_id, hash, ...) before the k best are taken."""
     grams = docs.select("hash", F.explode(F.array_distinct(tx.char_ngrams(F.col("content"), n))).alias("term"))
     terms = query_terms(queries, "char_ngram", n, MOST_FALLBACK_TERMS)
     size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     hit = grams.join(terms, "term").groupBy("query_id", "hash").agg(F.count(F.lit(1)).alias("hits"))
-    return top(hit.join(size, "query_id").select("query_id", "hash", (F.col("hits") / F.col("size")).alias("score")), k)
+    scored = hit.join(size, "query_id").select("query_id", "hash", (F.col("hits") / F.col("size")).alias("score"))
+    return top(keep(scored) if keep else scored, k)
 
 
-def substring_search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str = "word", n: int = 2) -> DataFrame:
-    """0.8 * share of tokens contained + 0.2 * matched characters / length."""
+def substring_search(docs: DataFrame, queries: DataFrame, k: int = 20, mode: str = "word", n: int = 2, keep: Keep = None) -> DataFrame:
+    """0.8 * share of tokens contained + 0.2 * matched characters / length. keep: filters (query_id, hash, ...) before the k best are taken."""
     q = queries.select("query_id", F.slice(tx.tokens(F.col("text"), mode, n), 1, MOST_FALLBACK_TERMS).alias("terms")).where(F.size("terms") > 0)
-    text = F.lower(F.coalesce("content", F.lit("")))
-    d = docs.select("hash", text.alias("t"))
-    pairs = reduce(DataFrame.unionByName, [d.crossJoin(F.broadcast(part)) for part in in_blocks(q, "query_id")])  # a block's size is bounded
-    found = F.filter("terms", lambda x: F.col("t").contains(x))
-    chars = F.aggregate(found, F.lit(0), lambda s, x: s + F.char_length(x))
-    score = 0.8 * F.size(found) / F.size("terms") + 0.2 * F.least(F.lit(1.0), chars / F.greatest(F.char_length("t"), F.lit(1)))
-    return top(pairs.where(F.size(found) > 0).select("query_id", "hash", score.alias("score")), k)
+    each = q.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    d = docs.select("hash", F.lower(F.coalesce("content", F.lit(""))).alias("t"))
+    hits = matcher.held(d, each, "hash", "t", "term").select(F.col("id").alias("hash"), F.col("pattern").alias("term"))
+    found = each.join(hits, "term").groupBy("query_id", "hash", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("term")).alias("chars"))
+    j = found.join(d.select("hash", F.char_length("t").alias("length")), "hash")
+    score = 0.8 * F.col("n") / F.col("size") + 0.2 * F.least(F.lit(1.0), F.col("chars") / F.greatest("length", F.lit(1)))
+    scored = j.select("query_id", "hash", score.alias("score"))
+    return top(keep(scored) if keep else scored, k)
 
 
 def with_fallback(best: DataFrame, fallback: DataFrame, queries: DataFrame) -> DataFrame:
