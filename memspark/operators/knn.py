@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
-from . import matrix
+from . import intervals, matrix
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, item_type: str | None = None, dim: int | None = None) -> DataFrame:
@@ -21,6 +21,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, item_type: str |
     return matrix.nearest(v, queries, k, dim).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def search_within(vectors: DataFrame, queries: DataFrame, paragraphs: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """The k best of each query among the paragraphs of its own window, source and person, in one pass over the vectors.
+
+    queries have lower, upper, source and person (intervals.with_limits). Without a person the limits are masks of the
+    blocks' products; queries with one score the pairs in `allowed` (query_id, hash) alone.
+    """
+    v = vectors.select("hash", "embedding").join(intervals.spans(paragraphs), "hash")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "hash")
+    found = matrix.nearest(v, queries.where("person is null"), k, windowed=True)
+    if allowed is not None:
+        own = intervals.within(allowed, queries, paragraphs, allowed)
+        rows = own.join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(vectors.select("hash", F.col("embedding").alias("b")), "hash")
+        found = found.unionByName(matrix.scored(rows, ("query_id", "hash")))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def add(existing: DataFrame, incoming: DataFrame, dim: int) -> DataFrame:
     """Valid new vectors, normalised; known hashes stay as they are."""
     new = incoming.where(vx.is_valid(F.col("embedding"), dim)).dropDuplicates(["hash"]).join(existing.select("hash"), "hash", "left_anti")

@@ -1,4 +1,4 @@
-"""Retrieval plans: one lazily built plan for a batch of queries."""
+"""Retrieval plans for a batch of queries; results that a plan reads twice are written while it is built."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.time import effective_end, effective_start, overlaps
-from ..operators import aggregate, catalog, dml, episode, fusion, graph, joins, knn, profile, sparse, threshold
+from ..operators import aggregate, catalog, dml, episode, fusion, graph, intervals, joins, knn, profile, sparse, threshold
 from ..operators.catalog import LIVE
 from ..sources.snapshot import cut
+from ..sources.text_index import TextIndex
 
 
 def parse_relation_query(c: Column) -> Column:
@@ -31,7 +32,8 @@ def parse_relation_query(c: Column) -> Column:
 class Engine:
     """Answers batches of queries(query_id, text, embedding) over a store of tables.
 
-    With tables `paragraph_index` and `relation_index` (postings of paragraphs and of relations) sparse recall reads no text.
+    With `paragraph_index` and `relation_index` (postings of paragraphs and of relations, or a TextIndex) sparse recall reads
+    no text.
     """
 
     def __init__(self, store: dict[str, DataFrame], config: Config = Config()):
@@ -41,20 +43,27 @@ class Engine:
         live = self.store["paragraph"].where(LIVE)
         return live if person is None else catalog.of_person(live, self.store["paragraph_entity"], self.store["entity"], person)
 
-    def _sparse(self, docs: DataFrame, queries: DataFrame, k: int, postings: str, among: DataFrame | None = None) -> DataFrame:
-        """The k best by BM25; queries without any hit take what n-grams, and after these substrings, find. among: the docs that may be found."""
+    def _limits(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, person: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Queries with their own lower, upper, source and person, and the (query_id, hash) that queries with a person may see; None without any."""
+        q = intervals.with_limits(queries, lower, upper, source, person)
+        if "person" not in queries.columns and person is None or q.where("person is not null").isEmpty():
+            return q, None
+        return q, cut(intervals.persons_paragraphs(q, self.store["paragraph_entity"], self.store["entity"]))
+
+    def _sparse(self, docs: DataFrame, queries: DataFrame, k: int, postings: str, keep: sparse.Keep = None) -> DataFrame:
+        """The k best by BM25; queries without any hit take what n-grams, and after these substrings, find. keep: filters (query_id, hash, ...)."""
         c = self.config.sparse
-        live = None
-        if among is not None:
-            docs = docs.join(among.select("hash", F.lit(True).alias("_live")), "hash", "left")
-            live = F.coalesce("_live", F.lit(False))
         index = self.store.get(postings) if c.tokenizer == "word" else None
-        hits = cut(sparse.bm25(docs, queries, k, c.k1, c.b, c.tokenizer, c.ngram, live, index).select("query_id", "hash", "score"))
+        if isinstance(index, TextIndex):
+            hits = index.search(queries, k, c.k1, c.b, keep)
+        else:
+            hits = sparse.bm25(docs, queries, k, c.k1, c.b, c.tokenizer, c.ngram, index=index, keep=keep)
+        hits = cut(hits.select("query_id", "hash", "score"))
         for fallback in (sparse.ngram_search, sparse.substring_search):
             missing = cut(queries.select("query_id", "text").where("trim(coalesce(text, '')) != ''").join(hits.select("query_id").distinct(), "query_id", "left_anti"))
             if missing.isEmpty():
                 return hits
-            found = fallback(docs if live is None else docs.where(live), missing).select("query_id", "hash", "score")
+            found = fallback(docs, missing, keep=keep).select("query_id", "hash", "score")
             hits = cut(sparse.with_fallback(hits, found, missing))
         return hits
 
@@ -67,20 +76,24 @@ class Engine:
     def paragraphs(self, queries: DataFrame, k: int | None = None, lower: float | None = None, upper: float | None = None, source: str | None = None, person: str | None = None) -> DataFrame:
         """Dense and sparse recall, filtered, gated, fused. Deleted rows, time, source and person are filtered before the best of either are taken.
 
+        queries may have columns lower, upper, source and person of their own, which go before those given for all.
         Queries that ask for a relation always take sparse recall too.
         """
+        q, allowed = self._limits(queries, lower, upper, source, person)
+        return self._paragraphs(q, allowed, k)
+
+    def _paragraphs(self, q: DataFrame, allowed: DataFrame | None, k: int | None = None) -> DataFrame:
         c = self.config
-        k = knn.scan_k(k or c.top_k_paragraphs, lower is not None or upper is not None, c.temporal_multiplier, c.max_scan)
-        live = self._live(person)
-        if source is not None:
-            live = live.where(F.col("source") == source)
-        if lower is not None or upper is not None:
-            live = live.where(overlaps(effective_start(), effective_end(), lower, upper))
-        vectors = self.store["vector"].where("item_type = 'paragraph'").join(live.select("hash"), "hash", "left_semi")
-        dense = cut(knn.search(vectors, queries, k).select("query_id", "hash", "score"))
-        forced = fusion.relation_intent(queries).where("force_sparse").select("query_id")
-        use = sparse.gate(queries, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id").union(forced).distinct()
-        words = self._sparse(self.store["paragraph"], queries.join(use, "query_id", "left_semi"), c.sparse.candidate_k, "paragraph_index", live)
+        k = k or c.top_k_paragraphs
+        more = knn.scan_k(k, True, c.temporal_multiplier, c.max_scan)
+        live = self._live()
+        vectors = self.store["vector"].where("item_type = 'paragraph'")
+        found = knn.search_within(vectors, q, live, max(k, more), allowed)
+        enough = F.when(intervals.timed(), more).otherwise(k)  # a window's hits are thinned out later
+        dense = cut(found.join(q.select("query_id", enough.alias("_k")), "query_id").where(F.col("rank") <= F.col("_k")).select("query_id", "hash", "score"))
+        forced = fusion.relation_intent(q).where("force_sparse").select("query_id")
+        use = sparse.gate(q, dense, c.sparse.mode, c.sparse.auto_floor).where("use_sparse").select("query_id").union(forced).distinct()
+        words = self._sparse(self.store["paragraph"], q.join(use, "query_id", "left_semi"), c.sparse.candidate_k, "paragraph_index", lambda hits: intervals.within(hits, q, live, allowed))
         return fusion.rrf([(dense, c.fusion.vector_weight), (fusion.minmax(words), c.fusion.sparse_weight)], c.fusion.rrf_k)
 
     def relations(self, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -91,7 +104,7 @@ class Engine:
         active = self.store["relation"].where("not coalesce(is_inactive, false)")
         vectors = self.store["vector"].where("item_type = 'relation'").join(active.select("hash"), "hash", "left_semi")
         dense = knn.search(vectors, queries, k).select("query_id", "hash", "score")
-        words = self._sparse(sparse.relation_docs(self.store["relation"]), queries, c.sparse.relation_k, "relation_index", active)
+        words = self._sparse(sparse.relation_docs(self.store["relation"]), queries, c.sparse.relation_k, "relation_index", lambda hits: hits.join(active.select("hash"), "hash", "left_semi"))
         asked = q.where("relation_intent").select("query_id", "text")
         seeds = graph.seed_entities(asked, self.store["node"])
         found = graph.recall(seeds, self.store["edge"], c.graph.recall_k, c.graph.two_hop_below)
@@ -104,17 +117,23 @@ class Engine:
     def search(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, ppr: bool = False, threshold_on: bool = True, person: str | None = None, paths_on: bool = True) -> DataFrame:
         """The two paths fused, reranked, cut by the adaptive threshold, without repeated contents.
 
-        Queries that ask for a relation see few relations of one pair; weak answers get the paths between the two
-        entities they name in front; within a time window equal scores go by the latest time.
+        queries may have columns lower, upper, source and person of their own, which go before those given for all: one
+        plan answers requests with different windows. Queries that ask for a relation see few relations of one pair; weak
+        answers get the paths between the two entities they name in front; within a time window equal scores go by the
+        latest time.
         """
         c = self.config
+        limited_, allowed = self._limits(queries, lower, upper, source, person)
+        bounds = cut(limited_.select("query_id", "lower", "upper", "source", "person"))
+        timed = bounds.where(intervals.timed()).select("query_id")
+        some_timed, some = not timed.isEmpty(), bounds.where(intervals.timed() | F.col("person").isNotNull()).select("query_id")
         q = fusion.relation_intent(queries, c.top_k_final, c.top_k_relations, c.intent.alpha, c.intent.candidate_multiplier, c.intent.preserve, c.intent.pair_limit)
         # Results of each path are few rows a query and are read several times below: written once, not computed again.
-        p, r = cut(self.paragraphs(queries, None, lower, upper, source, person)), cut(self.relations(queries))
-        timed = lower is not None or upper is not None
-        if timed or person is not None:
-            support = joins.best_support(self.store["paragraph_relation"], self._live(person), lower, upper).withColumnRenamed("relation_hash", "hash")
-            r = r.join(support.select("hash"), "hash", "left_semi")
+        p, r = cut(self._paragraphs(limited_, allowed)), cut(self.relations(queries))
+        if some_timed or allowed is not None:
+            mine = r.join(some, "query_id", "left_semi")
+            support = intervals.support_within(mine, bounds, self.store["paragraph_relation"], self._live(), allowed)
+            r = r.join(some, "query_id", "left_anti").unionByName(mine.join(support.select("query_id", "hash"), ["query_id", "hash"], "left_semi"))
         alpha = q.select("query_id", F.coalesce("alpha", F.lit(c.alpha)).alias("_a"))
         fused = cut(fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve))
         if ppr:
@@ -129,10 +148,12 @@ class Engine:
         limited = q.where("pair_limit > 0").select("query_id")
         asked = fusion.pair_rerank(fused.join(limited, "query_id", "left_semi"), self.store["relation"], c.intent.pair_limit)
         ranked = fused.join(limited, "query_id", "left_anti").unionByName(asked)
-        if timed:
-            mine = joins.best_support(self.store["paragraph_relation"], self._live(), lower, upper).select(F.col("relation_hash").alias("hash"), "effective_start", "effective_end")
-            when = self._live().select("hash", effective_start().alias("effective_start"), effective_end().alias("effective_end")).unionByName(mine)
-            ranked = fusion.temporal_sort(ranked.join(when, "hash", "left"))
+        if some_timed:
+            mine = ranked.join(timed, "query_id", "left_semi")
+            by_text = mine.join(self._live().select("hash", effective_start().alias("effective_start"), effective_end().alias("effective_end")), "hash").select("query_id", "hash", "effective_start", "effective_end")
+            by_relation = intervals.support_within(mine.where("result_type = 'relation'"), bounds, self.store["paragraph_relation"], self._live()).select(*by_text.columns)
+            sorted_ = fusion.temporal_sort(mine.join(by_text.unionByName(by_relation), ["query_id", "hash"], "left"))
+            ranked = ranked.join(timed, "query_id", "left_anti").unionByName(sorted_.select(*ranked.columns))
         ranked = cut(ranked.where(F.col("rank") <= c.top_k_final).select("query_id", "hash", "score", "result_type", "rank"))
         content = self.store["paragraph"].select("hash", "content", "source").unionByName(self.store["relation"].select("hash", F.concat_ws(" ", "subject", "predicate", "object").alias("content"), F.lit("relation").alias("source")))
         found = ranked.join(content, "hash")
@@ -157,12 +178,31 @@ class Engine:
         text = F.array_join("nodes", " -> ")
         return cut(walks.select("query_id", F.concat(F.lit("path-"), F.sha2(text, 256)).alias("hash"), text.alias("content")))
 
-    def in_time(self, queries: DataFrame, lower: float | None, upper: float | None, source: str | None = None, k: int | None = None, person: str | None = None) -> DataFrame:
-        """By time alone: the newest paragraphs of the window for each query."""
-        p = self._live(person) if source is None else self._live(person).where(F.col("source") == source)
-        p = p.where(overlaps(effective_start(), effective_end(), lower, upper)).select("hash", "content", effective_start().alias("effective_start"), effective_end().alias("effective_end"), "updated_at")
-        top = p.orderBy(F.desc("effective_end"), F.desc("updated_at"), "hash").limit(k or self.config.top_k_final).withColumn("score", F.lit(1.0))
-        return fusion.temporal_sort(queries.select("query_id").crossJoin(F.broadcast(top)))  # k rows
+    def in_time(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, k: int | None = None, person: str | None = None) -> DataFrame:
+        """By time alone: the newest paragraphs of each query's window, source and person.
+
+        Windows meet paragraphs in an interval join. Queries without a bound share lists: the newest of all, or of a source.
+        """
+        q, allowed = self._limits(queries, lower, upper, source, person)
+        q, k = q.select("query_id", "lower", "upper", "source", "person"), k or self.config.top_k_final
+        p = self._live().select("hash", "content", F.col("source").alias("_source"), effective_start().alias("start"), effective_end().alias("end"), "updated_at")
+        newest = [F.desc("end"), F.desc("updated_at"), F.col("hash")]
+        first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*newest))).where(F.col("_n") <= k)
+        mine, open_ = q.where("person is null").where(intervals.timed()), q.where("person is null").where(~intervals.timed())
+        met = intervals.overlap_join(mine, p).where("source is null or source = _source")
+        out = [first(met, "query_id")]
+        cols = ["query_id", *p.columns]
+        out.append(open_.where("source is null").select("query_id").crossJoin(F.broadcast(p.orderBy(*newest).limit(k))))  # k rows
+        asked = open_.where("source is not null").select("query_id", F.col("source").alias("_source"))
+        out.append(asked.join(first(p.join(asked.select("_source").distinct(), "_source", "left_semi"), "_source"), "_source"))
+        if allowed is not None:
+            named = allowed.join(p, "hash").join(q.where("person is not null"), "query_id").where(intervals.meets(F.col("start"), F.col("end")) & F.expr("source is null or source = _source"))
+            out.append(first(named, "query_id"))
+        every = out[0].select(*cols)
+        for df in out[1:]:
+            every = every.unionByName(df.select(*cols))
+        every = every.withColumnsRenamed({"start": "effective_start", "end": "effective_end"}).drop("_source").withColumn("score", F.lit(1.0))
+        return fusion.temporal_sort(every)
 
     def episodes(self, queries: DataFrame, lower: float | None = None, upper: float | None = None, source: str | None = None, k: int = 5, person: str | None = None) -> DataFrame:
         """Visible episodes by their words and by the evidence that search finds. person: those that name the person, or whose paragraphs do."""

@@ -141,13 +141,14 @@ class TextIndex:
         both = docs.select("hash").distinct().withColumn("_d", F.lit(True)).join(live, "hash", "full").where("_i is null or _d is null")
         return both.select("hash", F.when(F.col("_i").isNull(), "add").otherwise("delete").alias("change"))
 
-    def search(self, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None, seeds: int = 50) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 80, k1: float = 1.2, b: float = 0.75, keep: sparse.Keep = None, seeds: int = 50) -> DataFrame:
         """(query_id, hash, score, rank): the same rows as sparse.bm25, without scoring every posting of a hot term.
 
         First only a query's rarest terms are scored, up to about `seeds` * k postings: the k-th best of these partial sums
         is a floor for its result. Terms whose largest possible weights together stay below the floor can't lift a document
         into it alone, and neither can a block whose maximum, with all other terms at theirs, does. What is left are
-        candidates; the skipped terms are then looked up for these alone. among(hash): what may be found.
+        candidates; the skipped terms are then looked up for these alone. keep: filters (query_id, hash, ...), as each query may
+        see other documents; what is hidden from a query doesn't count for its floor either.
         """
         state, (total, length) = self.state(), self.size()
         if not total or not state["segments"]:
@@ -163,14 +164,14 @@ class TextIndex:
         tops = tops.groupBy("term").agg(F.max(weight(F.col("max_tf"), F.col("min_dl"), F.col("idf"), mean, k1, b)).alias("bound"))
         rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
         asked = cut(asked.join(tops, "term").withColumn("seed", F.coalesce(F.sum("df").over(rare), F.lit(0)) < seeds * k))
-        may = (lambda df: df) if among is None else (lambda df: df.join(among.select("hash").distinct(), "hash", "left_semi"))
+        may = keep or (lambda df: df)
         part = weight(F.col("tf"), F.col("dl"), F.col("idf"), mean, k1, b)
 
         def flat(terms: DataFrame) -> DataFrame:
             mine = terms.select("term").distinct()
             return self._flat(state, blocks.join(mine, "term", "left_semi")).select("term", "hash", "tf", "dl")
 
-        seeded = may(flat(asked.where("seed"))).join(asked.where("seed"), "term").groupBy("query_id", "hash").agg(F.sum(part).alias("s"))
+        seeded = may(flat(asked.where("seed")).join(asked.where("seed"), "term").groupBy("query_id", "hash").agg(F.sum(part).alias("s")))
         w = Window.partitionBy("query_id").orderBy(F.desc("s"))
         floor = seeded.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == k).select("query_id", (F.col("s") - 1e-8).alias("floor"))
         low = Window.partitionBy("query_id").orderBy("bound", "term")
@@ -183,7 +184,7 @@ class TextIndex:
         room = blocks.join(need.select("query_id", "term", "idf", "floor", "all", "bound"), "term")
         fits = weight(F.col("max_tf"), F.col("min_dl"), F.col("idf"), mean, k1, b) + F.col("all") - F.col("bound") >= F.col("floor")
         hits = self._flat(state, room.where(fits).select("query_id", "term", "idf", "segment", "postings"))
-        found = cut(may(hits).groupBy("query_id", "hash").agg(F.sum(part).alias("s"), F.collect_set("term").alias("seen")))
+        found = cut(may(hits.groupBy("query_id", "hash").agg(F.sum(part).alias("s"), F.collect_set("term").alias("seen"))))
         rest = plan.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf", "bound")).alias("terms"), F.first("floor").alias("floor"))
         # Terms of a candidate that were not read: those not needed, and blocks that were passed over.
         left = found.join(rest, "query_id").select("query_id", "hash", "s", "floor", F.filter("terms", lambda t: ~F.array_contains("seen", t["term"])).alias("more"))

@@ -113,6 +113,6 @@ def test_search_of_segments_equals_bm25(spark, tmp_path, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
     may = docs.where("hash like '%7'").select("hash")
     want = {(x.query_id, x.hash) for x in sparse.bm25(docs, q, 5, live=F.col("hash").like("%7")).collect()}
-    assert {(x.query_id, x.hash) for x in index.search(q, 5, among=may, seeds=1).collect()} == want
+    assert {(x.query_id, x.hash) for x in index.search(q, 5, keep=lambda df: df.join(may, "hash", "left_semi"), seeds=1).collect()} == want
     assert TextIndex(spark, f"file://{tmp_path}/empty").search(q).count() == 0
     assert knn.needs_compaction(10, 4) is False and index.needs_compaction(segments=2)
