@@ -60,9 +60,14 @@ def relation_hash(s: Column, p: Column, o: Column) -> Column:
     return F.sha2(F.concat_ws("|", canonical(s), canonical(p), canonical(o)), 256)
 
 
+def compact(c: Column) -> Column:
+    """Lower-case text without white space."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
+
+
 def char_ngrams(c: Column, n: int = 2) -> Column:
     """n-grams of the lower-case text without white space; shorter text is its own n-gram; none for empty text."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
+    t = compact(c)
 
     def grams(chars: Column) -> Column:
         at = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import KNOWLEDGE_TYPES, VECTOR_STATES
+from ..sources.snapshot import cut
 from . import graph
 
 
@@ -31,12 +32,18 @@ def update(df: DataFrame, keys: DataFrame, on: str, **values: Column) -> DataFra
 
 
 def upsert_paragraphs(existing: DataFrame, incoming: DataFrame, now: float) -> DataFrame:
-    """incoming(content, source, ..., ord). The first row of a hash stays; a soft-deleted one comes back to life."""
-    keyed = incoming.withColumn("content", tx.normalize(F.col("content"))).withColumn("hash", tx.content_hash(F.col("content")))
-    keyed = first_by(keyed, ["hash"], F.col("ord"))
+    """incoming(content, source, ..., ord). The first row of a hash stays; a soft-deleted one comes back to life.
+
+    Texts are normalised and hashed once, into a table. The first rows are chosen by hash, order and place there; only the
+    texts of new hashes are joined again.
+    """
+    keyed = incoming.withColumn("content", tx.normalize(F.col("content")))
+    keyed = cut(keyed.withColumns({"hash": F.coalesce(tx.content_hash(F.col("content")), F.lit("")), "_row": F.monotonically_increasing_id()}))
+    first = cut(keyed.groupBy("hash").agg(F.min(F.struct("ord", "_row")).alias("k")).select("hash", F.col("k._row").alias("_row")))
+    fresh = first.join(existing.select("hash"), "hash", "left_anti").select("_row")
     filled = {c: v for c, v in {"created_at": F.lit(now), "updated_at": F.lit(now), "is_deleted": F.lit(False), "access_count": F.lit(0), "word_count": tx.word_count(F.col("content"))}.items() if c not in incoming.columns}
-    new = align(keyed.join(existing.select("hash"), "hash", "left_anti").withColumns(filled), existing)
-    alive = update(existing, keyed.select("hash"), "hash", is_deleted=F.lit(False), deleted_at=F.lit(None).cast("double"))
+    new = align(keyed.join(fresh, "_row", "left_semi").withColumns(filled), existing)
+    alive = update(existing, first.select("hash"), "hash", is_deleted=F.lit(False), deleted_at=F.lit(None).cast("double"))
     return alive.unionByName(new)
 
 

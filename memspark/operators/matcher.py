@@ -71,8 +71,8 @@ def keys(patterns: DataFrame) -> DataFrame:
     return cut(named.join(best, "id").select("pattern", F.char_length("pattern").alias("len"), "k.level", "k.off", "k.h"))
 
 
-def _filter(found: DataFrame) -> tuple[bytes, int, list[int]]:
-    """(bits, their logarithm, levels) of the keys: made where they lie, a word for 64 bits."""
+def _filter(found: DataFrame) -> tuple[bytes, int, dict[int, tuple[int, int]]]:
+    """(bits, their logarithm, {level: characters that a check needs before and from the key}): made where the keys lie, a word for 64 bits."""
     n = found.count()
     size = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * n + 1))))
     mask, words = (1 << size) - 1, np.zeros(1 << (size - 6), np.uint64)
@@ -80,16 +80,18 @@ def _filter(found: DataFrame) -> tuple[bytes, int, list[int]]:
     got = at.groupBy(F.shiftright("i", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(i & 63 as int)))").alias("bits")).collect()  # 2^(size - 6) rows at most
     for r in got:
         words[r.w] = np.uint64(r.bits & (2**64 - 1))
-    return words.tobytes(), size, sorted(r.level for r in found.select("level").distinct().collect())
+    need = found.groupBy("level").agg(F.max("off").alias("front"), F.max(F.col("len") - F.col("off")).alias("back")).collect()  # a row a level
+    return words.tobytes(), size, {r.level: (r.front, r.back) for r in need}
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text", pattern_col: str = "pattern") -> DataFrame:
+def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text", pattern_col: str = "pattern", once: bool = False) -> DataFrame:
     """(id, pattern, at): every place, counted in code points from 0, where a text holds a pattern, overlapping ones too.
 
     Case counts; nulls and empty strings hold and match nothing; a pattern counts once, rows of texts count each. A text's
     windows are looked up in a filter of fixed size that all tasks have; only places that pass it are shuffled, with the
     few characters around them that the exact check needs. So what is shuffled grows with what is found, not with texts
-    times lengths, and a pattern that is in many texts is found in the task of each.
+    times lengths, and a pattern that is in many texts is found in the task of each. once: of places of a text that look
+    alike one is enough; a pattern may still come more than once.
     """
     kind = texts.schema[id_col].dataType.simpleString()
     names = patterns.select(F.col(pattern_col).alias("pattern")).where("pattern != ''").distinct()
@@ -105,9 +107,10 @@ def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_
 
         def look(ids, some):
             codes, start = _codes(some)
-            for level, h in window_hashes(codes, levels[-1]):
+            for level, h in window_hashes(codes, max(levels)):
                 if level not in levels:
                     continue
+                before, after = levels[level]
                 ok = np.flatnonzero(has(h & mask))
                 ok = ok[has(h[ok] >> np.uint64(64 - size)) == 1]
                 text = np.searchsorted(start, ok, side="right") - 1
@@ -116,9 +119,11 @@ def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_
                 ok, text, at = ok[inside], text[inside], at[inside]
                 for k in range(0, len(ok), OUT):
                     t, a = text[k : k + OUT].tolist(), at[k : k + OUT].tolist()
-                    front = [some[i][max(0, j - width) : j] for i, j in zip(t, a, strict=True)]
-                    back = [some[i][j : j + 2 * width] for i, j in zip(t, a, strict=True)]
-                    place = [pa.array([level] * len(t), pa.int32()), pa.array(h[ok[k : k + OUT]].view(np.int64)), pa.array(front, pa.string()), pa.array(back, pa.string()), pa.array(a, pa.int32())]
+                    rows = [(i, v, some[i][max(0, j - before) : j], some[i][j : j + after], j) for i, v, j in zip(t, h[ok[k : k + OUT]].view(np.int64).tolist(), a, strict=True)]
+                    if once:
+                        rows = list({x[:4]: x for x in rows}.values())
+                    t, *place = map(list, zip(*rows, strict=True))
+                    place = [pa.array([level] * len(t), pa.int32()), *(pa.array(c, kind) for c, kind in zip(place, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True))]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(t, pa.int64())), *place], names=["id", "level", "h", "front", "back", "at"])
 
         for b in batches:
@@ -139,4 +144,4 @@ def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_
 
 def held(texts: DataFrame, patterns: DataFrame, id_col: str = "id", text_col: str = "text", pattern_col: str = "pattern") -> DataFrame:
     """(id, pattern): the patterns that each text holds, once."""
-    return occurrences(texts, patterns, id_col, text_col, pattern_col).select("id", "pattern").distinct()
+    return occurrences(texts, patterns, id_col, text_col, pattern_col, once=True).select("id", "pattern").distinct()

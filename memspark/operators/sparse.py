@@ -78,9 +78,13 @@ def relation_docs(relations: DataFrame) -> DataFrame:
 
 def ngram_search(docs: DataFrame, queries: DataFrame, k: int = 20, n: int = 2, keep: Keep = None) -> DataFrame:
     """Share of a query's n-grams that a document has. keep: filters (query_id, hash, ...) before the k best are taken."""
-    grams = docs.select("hash", F.explode(F.array_distinct(tx.char_ngrams(F.col("content"), n))).alias("term"))
+    # Texts are searched for the n-grams that queries have; a text shorter than an n-gram is its own.
+    d = docs.select("hash", tx.compact(F.col("content")).alias("t"))
     terms = query_terms(queries, "char_ngram", n, MOST_FALLBACK_TERMS)
     size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+    whole, short = (terms.where(f"char_length(term) {op} {n}").select("term").distinct() for op in (">=", "<"))
+    grams = matcher.held(d, whole, "hash", "t", "term").select(F.col("id").alias("hash"), F.col("pattern").alias("term"))
+    grams = grams.unionByName(d.join(short.withColumnRenamed("term", "t"), "t").select("hash", F.col("t").alias("term")))
     hit = grams.join(terms, "term").groupBy("query_id", "hash").agg(F.count(F.lit(1)).alias("hits"))
     scored = hit.join(size, "query_id").select("query_id", "hash", (F.col("hits") / F.col("size")).alias("score"))
     return top(keep(scored) if keep else scored, k)

@@ -39,17 +39,24 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents; texts that lie in fewer splits than there are cores are dealt to all tasks."""
+        d = self.table("documents")
+        return d.repartition("doc_id") if d.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism else d
+
     @cached_property
     def para(self) -> DataFrame:
         return self.stored("paragraph", self._para)
 
     def _para(self) -> DataFrame:
-        d, i = self.table("documents").repartition("doc_id"), F.col("doc_id")  # texts in few row groups are dealt to all tasks
+        d, i = self.documents, F.col("doc_id")
         created = (F.lit(T0) + i * 3600).cast("double")
         p = d.select("doc_id", "source", tx.normalize(F.col("text")).alias("content"), created.alias("created_at"))
         timed = i % 3 == 0
         p = p.select(
-            tx.content_hash(F.col("content")).alias("hash"), "content", "source", "doc_id", tx.word_count(F.col("content")).alias("word_count"), "created_at", F.col("created_at").alias("updated_at"),
+            # Never null: else a join on it would have its whole computation as a filter below, in the scan.
+            F.coalesce(tx.content_hash(F.col("content")), F.lit("")).alias("hash"), "content", "source", "doc_id", tx.word_count(F.col("content")).alias("word_count"), "created_at", F.col("created_at").alias("updated_at"),
             F.when(~timed & (i % 5 != 0), F.col("created_at")).alias("event_time"), F.when(timed, F.col("created_at")).alias("event_time_start"), F.when(timed, F.col("created_at") + 7200).alias("event_time_end"),
             F.when(timed, "minute").otherwise("day").alias("time_granularity"), F.lit(1.0).alias("time_confidence"), (i % 17 == 0).alias("is_deleted"), F.when(i % 17 == 0, F.col("created_at") + 60).alias("deleted_at"),
             F.when(i % 11 == 0, "quote").when(i % 7 == 0, "factual").when(i % 13 == 0, "").otherwise("mixed").alias("knowledge_type"),

@@ -37,14 +37,14 @@ def text_char_ngrams(x: Fixtures):
     WHEN regexp_matches(t, '(?s)["「『][^\n]*?["」』]') OR contains(substr(t, 1, 500), 'Chapter') OR contains(substr(t, 1, 500), 'CHAPTER') OR contains(substr(t, 1, 500), '###') THEN 'narrative' ELSE 'mixed' END AS knowledge_type
     FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t, string_split(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '|') AS parts, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)""")
 def type_detect(x: Fixtures):
-    return x.table("documents").select("doc_id", tx.knowledge_type(F.col("text")).alias("knowledge_type"))
+    return x.documents.select("doc_id", tx.knowledge_type(F.col("text")).alias("knowledge_type"))
 
 
 @query("", r"""SELECT doc_id, CASE WHEN len(ls) >= 5 AND list_sum(list_transform(ls, lambda l: length(l))) / len(ls)::DOUBLE < 20 THEN 'quote' ELSE 'narrative' END AS strategy, CASE WHEN len(ls) >= 5 AND list_sum(list_transform(ls, lambda l: length(l))) / len(ls)::DOUBLE < 20 THEN 400 ELSE 800 END AS chunk_size
     FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)""")
 def strategy_select(x: Fixtures):
     s = tx.import_strategy(F.col("text"))
-    return x.table("documents").select("doc_id", s.alias("strategy"), tx.chunk_size(s).alias("chunk_size"))
+    return x.documents.select("doc_id", s.alias("strategy"), tx.chunk_size(s).alias("chunk_size"))
 
 
 @query("", "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M') AS text, epoch(date_trunc('minute', ts))::DOUBLE AS back, (epoch(date_trunc('day', ts)) + 86340)::DOUBLE AS day_end FROM events")
@@ -103,7 +103,7 @@ def dedup_paragraph_upsert(x: Fixtures):
     """Half of the paragraphs are there; all documents but those of one source come in: new ones by their first row, deleted ones live again."""
     existing = x.para.where("hash < '8'")
     shown = x.para.where("source != 'src1'").select("hash")
-    d = x.table("documents").withColumn("hash", tx.content_hash(tx.normalize(F.col("text")))).join(shown, "hash", "left_semi")
+    d = x.documents.withColumn("hash", F.coalesce(tx.content_hash(tx.normalize(F.col("text"))), F.lit(""))).join(shown, "hash", "left_semi")
     incoming = d.select(F.col("text").alias("content"), F.concat(F.lit("in "), "source").alias("source"), F.col("doc_id").alias("ord"))
     return dml.upsert_paragraphs(existing, incoming, NOW).select("hash", "source", "created_at", "is_deleted")
 
