@@ -266,7 +266,7 @@ def with_tables(names: str, body: str) -> str:
 
     for n in names.split():
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({_SQL[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_SQL[n]})" for n in order)  # else each use of a table works it out again
     body = body.strip()
     head = re.match(r"(?i)WITH (RECURSIVE )?", body)
     return f"{head[0]}{ctes}, {body[head.end():]}" if head else f"WITH {ctes}\n{body}"
