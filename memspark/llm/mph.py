@@ -29,6 +29,20 @@ class MinimalPerfectHash:
             keys = keys[~alone[at]]
         self.rest, self.base = np.sort(keys), base
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What the hash consists of, to be written; restored() takes it back."""
+        out = {"seeds": np.array([x[0] for x in self.levels], np.uint64), "sizes": np.array([x[1] for x in self.levels], np.int64), "rest": self.rest, "counts": np.array([self.n, self.base], np.int64)}
+        for k, (_, _, words, ranks) in enumerate(self.levels):
+            out |= {f"words{k}": words, f"ranks{k}": ranks}
+        return out
+
+    @classmethod
+    def restored(cls, a) -> MinimalPerfectHash:
+        self = cls.__new__(cls)
+        self.n, self.base, self.rest = int(a["counts"][0]), int(a["counts"][1]), a["rest"]
+        self.levels = [(s, int(n), a[f"words{k}"], a[f"ranks{k}"]) for k, (s, n) in enumerate(zip(a["seeds"], a["sizes"], strict=True))]
+        return self
+
     def index(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))

@@ -3,8 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
-from memspark.llm.common import input_bytes, shards_for
+from memspark.llm.common import input_bytes, mix64, shards_for
 from memspark.llm.exact_dedup import exact_dedup
 from memspark.llm.line_dedup import line_dedup
 from memspark.llm.near_dedup import drop_near_copies, near_dedup
@@ -67,6 +68,45 @@ def test_substrings(spark):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+@pytest.mark.parametrize("sent", [32 << 20, -1])
+def test_line_index_answers_for_other_documents(spark, monkeypatch, sent):
+    """The written index alone tells unseen documents their lines, sent to all tasks or probed shard by shard; and lines that share 64 bits stay apart."""
+    import memspark.llm.line_dedup as m
+
+    monkeypatch.setattr(m, "SENT", sent)
+    docs = h.edge_docs(spark)
+    data = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).collect()]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, h.sha(r.text)) for r in line_dedup(docs).collect()}
+    assert {i: got[None if i == -1 else i] for i in dict(data)} == h.brute_lines(data)
+    index = m.index_lines(spark.createDataFrame([(1, "a shared line\nonly here, once"), (5, "A SHARED LINE \nanother one"), (6, "another one\nshort\nshort"), (7, "short")], "doc_id long, text string"))
+    new = spark.createDataFrame([(0, "a shared line\nonly here, once"), (9, "x\n a shared line\nanother one\nshort"), (5, "another one")], "doc_id long, text string")
+    left = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in m.drop_lines(new, index).collect()}
+    assert left == {0: ("only here, once", 2, 1), 9: ("x\nshort", 4, 2), 5: ("another one", 1, 0)}
+    assert m.drop_lines(new.limit(0), index).count() == 0 and m.index_lines(new.limit(0)).table.count() == 0
+
+
+def test_line_shard():
+    """A shard's arrays against a dictionary, with keys that share their first 64 bits."""
+    import memspark.llm.line_dedup as m
+
+    r = np.random.default_rng(3)
+    e = np.zeros(5000, m.ENTRY)
+    e["hi"] = r.integers(0, 900, 5000)
+    e["lo"] = mix64(2 * e["hi"] + r.integers(0, 2, 5000).astype(np.uint64))
+    e["first"] = r.integers(0, 50, 5000)
+    e["last"] = e["first"] + r.integers(0, 2, 5000)
+    shard = m.Shard.read(m.build_shard([e[:2000].tobytes(), e[2000:].tobytes()]))
+    low, high = {}, {}
+    for x in e:
+        k = (int(x["hi"]), int(x["lo"]))
+        low[k], high[k] = min(low.get(k, 99), int(x["first"])), max(high.get(k, -1), int(x["last"]))
+    want = [m.KEEP if low[k] == high[k] else m.ONLY_FIRST if low[k] == f else m.NOWHERE for k, f in (((int(x["hi"]), int(x["lo"])), int(x["first"])) for x in e)]
+    assert shard.states(e).tolist() == want and len(shard.odd) > 10
+    other = e[:50].copy()
+    other["hi"] += 10_000
+    assert not shard.states(other).any()
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_near(spark, words):
     docs = h.edge_docs(spark)
