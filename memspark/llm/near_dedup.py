@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,8 +19,8 @@ from .shingles import shingle_sets
 #: 5, 6 or 7 values in none of 40 orders with probability 1.2e-7, 5e-6 or 8e-5.
 TREES, DEPTH, CROWD = 40, 5, (32, 128)
 DEEP = DEPTH + len(CROWD)
-#: Distinct sets, and shingles of these, that a block holds; larger candidate components are compared block by block.
-BLOCK, BLOCK_SHINGLES = 10_000, 2_000_000
+#: Distinct sets, and shingles of these, that a block holds; larger candidate components are compared block by block, then by hubs.
+BLOCK, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Postings that are looked at together when one set is compared with all others.
 STEP = 1 << 22
 #: A set's number: 24 bits of task, 24 of chunk, 15 of its place in the chunk.
@@ -92,8 +94,8 @@ def spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[odd]], nodes[odd]
 
 
-def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Root of each set under links 100 * common >= percent * union, over all pairs by way of postings."""
+def forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(root, weight) of each set under links 100 * common >= percent * union, over all pairs by way of postings; weight: how often its shingles are shared."""
     m, root = len(sets), list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -116,7 +118,8 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     heavy = np.zeros(m)
     heavy[size > 0] = weight
     left = m
-    for i in np.argsort(-heavy / np.maximum(size, 1), kind="stable").tolist():  # the sets that share most come first
+    heavy = heavy / np.maximum(size, 1)
+    for i in np.argsort(-heavy, kind="stable").tolist():  # the sets that share most come first
         if left == 1:
             break
         t = term[bound[i] : bound[i + 1]]
@@ -136,7 +139,7 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
             if a != b:
                 root[max(a, b)] = min(a, b)
                 left -= 1
-    return np.array([find(i) for i in range(m)], np.int64)
+    return np.array([find(i) for i in range(m)], np.int64), heavy
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -153,7 +156,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Tasks pack documents into chunks and send each distinct set's signature to shards, one entry for each of the
     forest's trees; a shard sorts its entries and links neighbours with a long enough common prefix. Components of these
     candidate links name the sets to compare; equal sets are compared once, and each task confirms links over full sets
-    by postings, so that no pair is written out. Components too large for a task are compared in pairs of blocks.
+    by postings, so that no pair is written out. A component too large for a task is compared within blocks first, then the
+    hubs of the blocks' classes with each other, and last only the sets outside its largest class with all of it: a group of
+    near copies of any size takes time in proportion.
     """
     return _classes(docs.select(id_col, text_col), id_col, text_col, words, percent)[1].select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -233,17 +238,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     # Of equal sets one is compared; components with one distinct set are done.
     sets = rows.where("n > 0").select("uid", "set_id", "n").join(near, "uid").groupBy("comp", "set_id").agg(F.min("uid").alias("uid"), F.min("n").alias("n"))
     sets = work.save(sets, "sets")
-    sized = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    todo = work.save(sets.drop("n").join(sized, "comp"), "todo")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
-    parts = todo.withColumn("blocks", blocks).withColumn("own", own)
-    parts = parts.select("comp", "uid", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
-    parts = parts.select("comp", "uid", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    n_todo = todo.count()
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_todo // 4000)
-    wanted = parts.select(F.shiftright("uid", SET_BITS).alias("gid"), "uid", "comp", "i", "j", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks)).cast("int").alias("task"))
-    wanted = wanted.groupBy("gid").agg(F.collect_list(F.struct("uid", "comp", "i", "j", "task")).alias("wanted"))
+    sized = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    todo = work.save(sets.join(sized.select("comp"), "comp").select("comp", "uid", "n"), "todo")
 
     def fetch(batches):
         for b in batches:
@@ -259,26 +255,63 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                     cols = {c: [w[c] for w in part] for c in ("task", "comp", "i", "j", "uid")}
                     yield pa.RecordBatch.from_pydict(cols | {"s": pa.array([found[place[w["uid"]]].tobytes() for w in part], pa.binary())}, pa.schema([("task", pa.int32()), ("comp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("uid", pa.int64()), ("s", pa.binary())]))
 
-    sent = chunks.select("gid", "body", "docs").join(wanted.hint("merge"), "gid").select("body", "docs", "wanted").mapInArrow(fetch, "task int, comp bigint, i int, j int, uid bigint, s binary")
-
     def confirm(key, t):
         order = pa.compute.sort_indices(t, [("comp", "ascending"), ("i", "ascending"), ("j", "ascending"), ("uid", "ascending")])
         t = t.take(order)
         comp, i, j, uid = (t[c].to_numpy() for c in ("comp", "i", "j", "uid"))
         cut = np.flatnonzero((comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bodies, a_, b_ = t["s"].to_pylist(), [], []
+        bodies, a_, b_, hub = t["s"].to_pylist(), [], [], []
         for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(comp)], strict=True):
             u = uid[a:z]
-            r = forest([np.frombuffer(x, np.uint64) for x in bodies[a:z]], percent)
+            r, weight = forest([np.frombuffer(x, np.uint64) for x in bodies[a:z]], percent)
+            order = np.lexsort((np.arange(len(r)), -weight, r))
+            first = np.append(True, r[order][1:] != r[order][:-1])
+            best = np.zeros(len(r), np.int64)
+            best[r[order][first]] = order[first]
             a_.append(u[r])
             b_.append(u)
-        return pa.table({"a": np.concatenate(a_), "b": np.concatenate(b_)})
-
-    roots = work.save(sent.groupBy("task").applyInArrow(confirm, "a bigint, b bigint"), "roots")
-    if todo.where(blocks > 1).limit(1).count():
-        label = components(roots.where("a != b"), work, "cc2").select(F.col("node").alias("uid"), "label")
-    else:  # each component was whole in its task
+            hub.append(u[best[r]])
+        return pa.table({"comp": comp, "a": np.concatenate(a_), "b": np.concatenate(b_), "hub": np.concatenate(hub)})
+
+    def compare(parts: DataFrame, name: str) -> DataFrame:
+        """parts(comp, uid, i, j): the sets of each (comp, i, j) are compared in one task: (comp, a, b, hub), the root of each set there, and the set of its class that shares most."""
+        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // 4000)
+        wanted = parts.select(F.shiftright("uid", SET_BITS).alias("gid"), "uid", "comp", "i", "j", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_tasks)).cast("int").alias("task"))
+        wanted = wanted.groupBy("gid").agg(F.collect_list(F.struct("uid", "comp", "i", "j", "task")).alias("wanted"))
+        sent = chunks.select("gid", "body", "docs").join(wanted.hint("merge"), "gid").select("body", "docs", "wanted").mapInArrow(fetch, "task int, comp bigint, i int, j int, uid bigint, s binary")
+        return work.save(sent.groupBy("task").applyInArrow(confirm, "comp bigint, a bigint, b bigint, hub bigint"), name)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """rows(comp, uid, n) with the number of blocks of their component, and their own."""
+        many = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        return rows.join(many, "comp").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    links = lambda *found: reduce(DataFrame.unionByName, [r.where("a != b").select("a", "b") for r in found])
+    todo = work.save(dealt(todo), "dealt")
+    roots = compare(todo.select("comp", "uid", F.col("own").alias("i"), F.col("own").alias("j")), "roots")
+    large = todo.where("blocks > 1")
+    if large.isEmpty():  # each component was whole in its task
         label = roots.where("a != b").select(F.col("b").alias("uid"), F.col("a").alias("label"))
+    else:
+        # Classes of different blocks are compared by their hubs; near copies are mostly one class then.
+        hubs = roots.join(large.select("comp").distinct(), "comp", "left_semi").select("comp", F.col("hub").alias("uid")).distinct()
+        every = dealt(hubs.join(todo.select("uid", "n"), "uid").select("comp", "uid", "n")).select("comp", "uid", "own", upto("blocks").alias("other"))
+        met = compare(every.select("comp", "uid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "roots_of_hubs")
+        known = components(links(roots, met), work, "cc2").select(F.col("node").alias("uid"), F.col("label").alias("class"))
+        classed = work.save(large.join(known, "uid", "left").select("comp", "uid", "n", "blocks", "own", F.coalesce("class", "uid").alias("class")), "classed")
+        per = classed.groupBy("comp", "class").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        most = per.groupBy("comp").agg(F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        # What is outside of a component's largest class meets all of it; pairs within that class are known already.
+        rest = work.save(classed.join(most.select("comp", F.col("top.class").alias("top")), "comp"), "rest")
+        found = [roots, met]
+        if not rest.isEmpty():
+            side = dealt(rest.where("class != top").select("comp", "uid", "n"))
+            n_side = side.select("comp", F.col("blocks").alias("side")).distinct()
+            a = rest.join(n_side, "comp").select("comp", "uid", upto("side").alias("i"), F.col("own").alias("j"))
+            b = side.select("comp", "uid", F.col("own").alias("i")).join(rest.select("uid", "blocks"), "uid").select("comp", "uid", "i", upto("blocks").alias("j"))
+            found.append(compare(a.unionByName(b).distinct(), "roots_of_rest"))
+        label = components(links(*found), work, "cc3").select(F.col("node").alias("uid"), "label")
     # Any set's class is that of its label's set; sets that nothing was linked with are classes of their own.
     ids = sets.select("uid", "set_id")
     named = label.join(ids, "uid").select("set_id", "label").join(ids.select(F.col("uid").alias("label"), F.col("set_id").alias("class")), "label").select("set_id", "class")

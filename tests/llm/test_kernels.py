@@ -148,7 +148,7 @@ def test_spanning(pairs):
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=12))
 def test_forest(sets):
-    got = forest([np.array(sorted(s), np.uint64) for s in sets], 80)
+    got, _ = forest([np.array(sorted(s), np.uint64) for s in sets], 80)
     root = list(range(len(sets)))
     for _ in sets:
         for i, a in enumerate(sets):
