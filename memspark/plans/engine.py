@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -36,8 +36,23 @@ class Engine:
     no text.
     """
 
-    def __init__(self, store: dict[str, DataFrame], config: Config = Config()):
-        self.store, self.config = store, config
+    def __init__(self, store: dict[str, DataFrame], config: Config = Config(), watch: bool = False):
+        self.store, self.config, self.watch = store, config, watch
+        self.observed: list[tuple[str, Observation]] = []
+
+    def _seen(self, stage: str, df: DataFrame) -> DataFrame:
+        """Counts the rows that pass, in the plan's own run; nothing runs twice."""
+        if not self.watch:
+            return df
+        o = Observation()
+        self.observed.append((stage, o))
+        return df.observe(o, F.count(F.lit(1)).alias("rows"))
+
+    def metrics(self) -> DataFrame:
+        """(stage, rows) of the searches of this engine since the last call; the caller has read their results before."""
+        told = [(n, stage, o.get["rows"]) for n, (stage, o) in enumerate(self.observed)]
+        self.observed = []
+        return self.store["paragraph"].sparkSession.createDataFrame(told, "at int, stage string, rows bigint")
 
     def _live(self, person: str | None = None) -> DataFrame:
         live = self.store["paragraph"].where(LIVE)
@@ -129,20 +144,20 @@ class Engine:
         some_timed, some = not timed.isEmpty(), bounds.where(intervals.timed() | F.col("person").isNotNull()).select("query_id")
         q = fusion.relation_intent(queries, c.top_k_final, c.top_k_relations, c.intent.alpha, c.intent.candidate_multiplier, c.intent.preserve, c.intent.pair_limit)
         # Results of each path are few rows a query and are read several times below: written once, not computed again.
-        p, r = cut(self._paragraphs(limited_, allowed)), cut(self.relations(queries))
+        p, r = cut(self._seen("paragraphs", self._paragraphs(limited_, allowed))), cut(self._seen("relations", self.relations(queries)))
         if some_timed or allowed is not None:
             mine = r.join(some, "query_id", "left_semi")
             support = intervals.support_within(mine, bounds, self.store["paragraph_relation"], self._live(), allowed)
             r = r.join(some, "query_id", "left_anti").unionByName(mine.join(support.select("query_id", "hash"), ["query_id", "hash"], "left_semi"))
         alpha = q.select("query_id", F.coalesce("alpha", F.lit(c.alpha)).alias("_a"))
-        fused = cut(fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve))
+        fused = cut(self._seen("fused", fusion.fuse(p.join(alpha, "query_id"), r.join(alpha, "query_id"), self.store["paragraph_relation"], F.col("_a"), c.intent.preserve)))
         if ppr:
             seeds = graph.seed_entities(queries, self.store["node"]).select("query_id", F.col("canon").alias("node"), F.lit(1.0).alias("weight"))
             rank = graph.pagerank(self.store["edge"], self.store["node"], seeds, c.graph.alpha, c.graph.max_iter, c.graph.tol)
             names = self.store["entity"].select(F.col("hash").alias("entity_hash"), F.lower(F.trim("name")).alias("node"))
             fused = fusion.ppr_rerank(fused, self.store["paragraph_entity"], rank.join(names, "node").select("query_id", "entity_hash", F.col("score").alias("ppr")), c.ppr_weight)
         if threshold_on:
-            fused = threshold.adaptive(fused, c.threshold)
+            fused = cut(self._seen("above threshold", threshold.adaptive(fused, c.threshold)))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "result_type", "hash")
         fused = fused.select("query_id", "hash", "score", "result_type").withColumn("rank", F.row_number().over(w))
         limited = q.where("pair_limit > 0").select("query_id")
@@ -154,7 +169,7 @@ class Engine:
             by_relation = intervals.support_within(mine.where("result_type = 'relation'"), bounds, self.store["paragraph_relation"], self._live()).select(*by_text.columns)
             sorted_ = fusion.temporal_sort(mine.join(by_text.unionByName(by_relation), ["query_id", "hash"], "left"))
             ranked = ranked.join(timed, "query_id", "left_anti").unionByName(sorted_.select(*ranked.columns))
-        ranked = cut(ranked.where(F.col("rank") <= c.top_k_final).select("query_id", "hash", "score", "result_type", "rank"))
+        ranked = cut(self._seen("ranked", ranked.where(F.col("rank") <= c.top_k_final).select("query_id", "hash", "score", "result_type", "rank")))
         content = self.store["paragraph"].select("hash", "content", "source").unionByName(self.store["relation"].select("hash", F.concat_ws(" ", "subject", "predicate", "object").alias("content"), F.lit("relation").alias("source")))
         found = ranked.join(content, "hash")
         if paths_on:
@@ -163,7 +178,7 @@ class Engine:
                 first = fusion.with_paths(ranked, walks, c.path_below).where(F.col("rank") <= c.top_k_final)
                 texts = walks.select("query_id", "hash", "content", F.lit("path").alias("source"))
                 found = first.where("result_type != 'path'").join(content, "hash").unionByName(first.where("result_type = 'path'").join(texts, ["query_id", "hash"]))
-        return fusion.content_dedup(found, c.top_k_final)
+        return self._seen("deduplicated", fusion.content_dedup(found, c.top_k_final))
 
     def _paths_for(self, queries: DataFrame, ranked: DataFrame) -> DataFrame | None:
         """(query_id, hash, content) of the paths between the entities of queries with weak results that name just two; None if there is none."""
