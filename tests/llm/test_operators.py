@@ -458,3 +458,49 @@ def test_pipeline_rows_and_columns(spark, tmp_path):
     assert tokens > 0
     left_behind = [f for f in glob.glob(f"{os.path.dirname(os.path.dirname(out.inputFiles()[0])).removeprefix('file://')}/*")]
     assert [os.path.basename(f) for f in left_behind] == ["4"]
+
+
+def test_fingerprint_query(spark):
+    """Every row of the registered query by hand: edited texts, lengths, likeness against the sets; and fingerprints of some by their bins."""
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{h.SF}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries()["op9_fingerprints"](spark, h.SF).collect()}
+    assert len(got) == len(docs)
+    prints, errors = {}, []
+    for k, (i, t) in enumerate(docs):
+        nxt, q, r = docs[(k + 1) % len(docs)][1], len(t) // 4, got[i]
+        edited = t[: len(t) - q] + nxt[:q]
+        assert (r.n_chars, r.edited_sha256) == (len(t), h.sha(edited))
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint and prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+        for x, told in ((edited, r.near_edited), (nxt, r.near_next)):
+            a, b = h.shingles(t.lower(), 5), h.shingles(x.lower(), 5)
+            assert 0 <= told <= 1 and (t != x or told == 1)
+            if len(a | b) >= 40:
+                errors.append(told - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.2
+    for i, t in docs[:3]:
+        assert got[i].fingerprint == "".join(f"{b + 128:02X}" for b in brute_bins(spark, t))
+
+
+def test_packing_is_best_fit(spark):
+    """The registered query replayed by brute force: each last piece, in order of size, went into the tightest window that was open and compatible."""
+    docs = spark.read.parquet(f"{h.SF}/documents.parquet")
+    known = {r.doc_id: r for r in docs.select("doc_id", "source", F.lower(F.coalesce("text", F.lit(""))).alias("t"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("uid")).collect()}
+    last = {}
+    for r in queries()["op4_best_fit_packing"](spark, h.SF).collect():
+        if r.doc_id not in last or r.piece > last[r.doc_id].piece:
+            last[r.doc_id] = r
+    shards = {}
+    for r in last.values():
+        shards.setdefault(r.window >> 32, []).append(r)
+    for rows in shards.values():
+        open_ = {}
+        for r in sorted(rows, key=lambda r: (-r.n_tokens, known[r.doc_id].uid, r.doc_id)):
+            me = known[r.doc_id]
+            cluster = me.t if r.n_tokens or r.piece else None
+            fits = {w: room for w, (room, sources, texts) in open_.items() if room >= r.n_tokens and (me.source is None or me.source not in sources) and (cluster is None or cluster not in texts)}
+            if r.window in open_:
+                assert r.window in fits and fits[r.window] == min(fits.values()) and r.window_offset == 2048 - open_[r.window][0]
+            else:
+                assert not fits and r.window_offset == 0
+            room, sources, texts = open_.setdefault(r.window, (2048, set(), set()))
+            open_[r.window] = (room - r.n_tokens, sources | {me.source}, texts | {cluster})
