@@ -128,7 +128,10 @@ def still_referenced(entities: DataFrame, bridge: DataFrame, relations: DataFram
 
 
 def entity_cards(entities: DataFrame, edges: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Out-neighbours and paragraphs of each entity."""
+    """Out-neighbours and paragraphs of each of the given entities; lists are made for these alone."""
+    names = entities.select(tx.canonical(F.col("name")).alias("src")).distinct()
+    edges = edges.join(names, "src", "left_semi")
+    bridge = bridge.join(entities.select(F.col("hash").alias("entity_hash")), "entity_hash", "left_semi")
     out = edges.where("weight > 0").groupBy(F.col("src").alias("canon")).agg(F.array_sort(F.collect_set("dst")).alias("neighbors"))
     held = bridge.groupBy(F.col("entity_hash").alias("hash")).agg(F.array_sort(F.collect_set("paragraph_hash")).alias("paragraphs"))
     empty = F.array().cast("array<string>")

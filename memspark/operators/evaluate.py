@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshot import cut
+
+#: Profiles that one plan scores: they are sent to all tasks.
+MOST_PROFILES = 4096
 # Weights of the metrics by objective, and the categories' least hit rates.
 OBJECTIVES = {
     "precision_priority": ((0.40, 0.20, 0.15, 0.15, 0.10), 0.15, 0.25, {"query_nl": 0.70, "query_kw": 0.55, "spo_search": 0.58, "spo_relation": 0.92}),
@@ -89,6 +95,67 @@ def search_parameters(grid: dict[str, list], run: Callable[[dict], float], round
     return best, score, history
 
 
+def over_profiles(lists: dict[str, DataFrame], profiles: DataFrame, k: int = 20) -> DataFrame:
+    """(profile_id, query_id, hash, score, rank): lists(query_id, hash, score) fused by reciprocal rank for all profiles in one plan.
+
+    profiles(profile_id, rrf_k, and w_<list> for each list): at most MOST_PROFILES, sent to all tasks. Each list is ranked
+    once; a profile is a column of the plan, not a run of its own. What weighs nothing in a profile isn't found by it.
+    """
+    if profiles.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles")
+    every = reduce(DataFrame.unionByName, [df.select("query_id", "hash", "score", F.lit(name).alias("list")) for name, df in lists.items()])
+    ranked = every.withColumn("r", F.row_number().over(Window.partitionBy("list", "query_id").orderBy(F.desc("score"), "hash")))
+    weights = profiles.select("profile_id", "rrf_k", F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col(f"w_{n}").cast("double").alias("w")) for n in lists]))).where("w > 0")
+    fused = ranked.join(F.broadcast(weights), "list").groupBy("profile_id", "query_id", "hash").agg(F.sum(F.col("w") / (F.col("rrf_k") + F.col("r"))).alias("score"))
+    best = Window.partitionBy("profile_id", "query_id").orderBy(F.desc(F.round("score", 12)), "hash")
+    return fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def score_profiles(cases: DataFrame, results: DataFrame, profiles: DataFrame, objective: str = "precision_priority", k: int = 20) -> DataFrame:
+    """Metrics and objective of each profile; results(profile_id, query_id, hash, rank) as of over_profiles()."""
+    weights, empty, scale, floors = OBJECTIVES.get(objective, OBJECTIVES["precision_priority"])
+    total = cases.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("category") == c).alias(f"of_{c}") for c in CATEGORY_WEIGHTS])
+    mine = results.join(cases.select("query_id"), "query_id", "left_semi").where(F.col("rank") <= k)
+    asked = cases.select("query_id", "category", F.explode("expected_hashes").alias("hash"))
+    first = mine.join(asked, ["query_id", "hash"]).groupBy("profile_id", "query_id", "category").agg(F.min("rank").alias("rank"))
+    hits = first.groupBy("profile_id").agg(
+        F.count_if(F.col("rank") <= 1).alias("h1"), F.count_if(F.col("rank") <= 3).alias("h3"), F.sum(1.0 / F.col("rank")).alias("rr"), F.count(F.lit(1)).alias("hk"),
+        *[F.count_if(F.col("category") == c).alias(f"hit_{c}") for c in CATEGORY_WEIGHTS],
+    )
+    some = mine.groupBy("profile_id").agg(F.count_distinct("query_id").alias("answered"))
+    j = profiles.select("profile_id").join(hits, "profile_id", "left").join(some, "profile_id", "left").na.fill(0).crossJoin(F.broadcast(total))  # one row
+    share = lambda c, of="total": F.when(F.col(of) > 0, F.col(c) / F.col(of)).otherwise(0.0)
+    j = j.select("*", share("h1").alias("precision_at_1"), share("h3").alias("precision_at_3"), share("rr").alias("mrr"), share("hk").alias("recall_at_k"), share("hit_spo_relation", "of_spo_relation").alias("spo_relation_hit_rate"), (1 - share("answered")).alias("empty_rate"))
+    keys = ("precision_at_1", "precision_at_3", "mrr", "recall_at_k", "spo_relation_hit_rate")
+    raw = reduce(add, [w * F.col(c) for w, c in zip(weights, keys, strict=True)])
+    there = {c: F.when(F.col(f"of_{c}") > 0, CATEGORY_WEIGHTS[c]).otherwise(0.0) for c in floors}
+    short = reduce(add, [there[c] * F.greatest(F.lit(0.0), f - share(f"hit_{c}", f"of_{c}")) for c, f in floors.items()])
+    whole = reduce(add, list(there.values()))
+    lost = F.when(whole > 0, scale * short / whole).otherwise(0.0)
+    return j.select("profile_id", *keys, "empty_rate", (raw - empty * F.col("empty_rate") - lost).alias("objective"))
+
+
+def halving(cases: DataFrame, lists: dict[str, DataFrame], profiles: DataFrame, objective: str = "precision_priority", k: int = 20, first: float = 0.25) -> tuple[DataFrame, list[int]]:
+    """R45 by successive halving: (the best profile with its metrics over all cases, how many profiles each round had).
+
+    Each round scores all profiles that are left in one job, over a share of the cases that doubles from `first`; the
+    better half goes on (ties: the smaller id), and the last round is over all cases.
+    """
+    left, share, sizes = profiles, first, []
+    n = profiles.count()
+    while True:
+        some = cases if share >= 1 or n <= 2 else cases.where(F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        w = Window.orderBy(F.desc(F.round("objective", 12)), "profile_id")  # MOST_PROFILES rows at most
+        told = cut(score_profiles(some, over_profiles(lists, left, k), left, objective, k).withColumn("place", F.row_number().over(w)))
+        sizes.append(n)
+        if some is cases and n <= 2 or n <= 1:
+            return told.where("place = 1").drop("place"), sizes
+        n, share = max(1, (n + 1) // 2), min(1.0, 2 * share)
+        left = cut(left.join(told.where(F.col("place") <= n).select("profile_id"), "profile_id", "left_semi"))
+        if n <= 2:
+            share = 1.0
+
+
 def failures(cases: DataFrame, results: DataFrame, k: int = 20, most: int = 5) -> DataFrame:
     """Cases that were missed."""
     return per_case(cases, results, k).where("rank is null").orderBy("query_id").limit(most)

@@ -9,7 +9,7 @@ from ..config import Config
 from ..functions.time import effective_end, effective_start, overlaps
 from ..operators import aggregate, catalog, dml, episode, fusion, graph, intervals, joins, knn, profile, sparse, threshold
 from ..operators.catalog import LIVE
-from ..sources.snapshot import cut
+from ..sources.snapshot import cut, settle
 from ..sources.text_index import TextIndex
 
 
@@ -39,6 +39,9 @@ class Engine:
     def __init__(self, store: dict[str, DataFrame], config: Config = Config(), watch: bool = False):
         self.store, self.config, self.watch = store, config, watch
         self.observed: list[tuple[str, Observation]] = []
+        for df in store.values():
+            settle(df.sparkSession)
+            break
 
     def _seen(self, stage: str, df: DataFrame) -> DataFrame:
         """Counts the rows that pass, in the plan's own run; nothing runs twice."""
@@ -260,7 +263,8 @@ class Engine:
     def entities(self, queries: DataFrame) -> DataFrame:
         """The entity that a query's text names, by hash, exact or canonical name, with its neighbours and paragraphs."""
         known = dml.resolve_entities(self.store["entity"], queries.select(F.col("text").alias("spec")).distinct())
-        cards = catalog.entity_cards(self.store["entity"], self.store["edge"], self.store["paragraph_entity"])
+        asked = self.store["entity"].join(known.select("hash").distinct(), "hash", "left_semi")
+        cards = catalog.entity_cards(asked, self.store["edge"], self.store["paragraph_entity"])
         return queries.select("query_id", F.col("text").alias("spec")).join(known, "spec").join(cards, "hash").select("query_id", "hash", "name", "neighbors", "paragraphs")
 
     def persons(self, queries: DataFrame, persons: DataFrame, now: float) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ivf, sparse
-from ..sources.snapshot import exists, write
+from ..sources.snapshot import exists, settle, write
 
 T0 = 1_704_067_200
 NOW = T0 + 2_000_000.0
@@ -28,7 +28,7 @@ class Fixtures:
     _indexes: dict[tuple[str, str, str], ivf.Index] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = settle(spark), sf_dir
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir.rstrip("/"), name)

@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """The session, without unions that keep their parts' partitioning: adaptive plans may join partitions of one part and not of the other, and then fail."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def _file_system(spark: SparkSession, path: str):
     """(file system, path) of a path, as the JVM's objects."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,7 +77,7 @@ class Snapshots:
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.spark, self.root, self.buckets = settle(spark), root.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
