@@ -45,12 +45,20 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What reads like a line of rights, and like the head of readers' comments.
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
+_COMMENTS = re.compile(r"^(?:\d+ (?:comments?|responses?|replies|reply|thoughts on\b.*)|(?:comments?|responses|replies|discussion|leave a (?:comment|reply))(?: ?\(\d+\))?)\W*$", re.I)
+
 #: Weights of the linear classifier (content is positive): of a part, for each block in it, and of a block's own text.
 CONTENT, BOILERPLATE, NAMED_CONTENT, DOUBTFUL = 4.0, -8.0, 2.0, -5.0
 PER_WORD, MOST_WORDS, LINKS, SENTENCE, BASE = 0.08, 3.0, -2.5, 0.6, -0.9
+#: Of a short line of rights; of a part, for each block in it, that begins with the head of comments.
+RIGHTS, MOST_RIGHTS, REMARKS, MOST_HEAD = -4.0, 200, -5.0, 60
 #: What is left of a name's weight where it names a wrapper: a part with more than this share of the page's text, outside of which nothing looks like content.
 WRAPPER, WRAPPER_SHARE = 0.05, 0.6
-#: Capacities of the smoothness edges: between neighbours, and in the tree, there for each block below where some part around has a role.
+#: Capacities of the smoothness edges: between a heading and the block it stands over, between neighbours, and in the tree, there for each block below where some part around has a role.
+OVER = 2.0
 NEXT_SAME, NEXT_SIBLING, NEXT_OTHER, CHILD, PARENT, IN_ROLE = 0.8, 0.6, 0.2, 0.7, 0.3, 3.0
 
 
@@ -205,6 +213,15 @@ def costs(found: list[tuple[str, int, int]], parts: list[_Part]) -> tuple[list[f
             parts[k].blocks += 1
             parts[k].chars += len(text)
             k = parts[k].up
+    first: dict[int, int] = {}
+    for i, (text, k, _) in enumerate(found):
+        at = k
+        while at >= 0 and at not in first:
+            first[at], at = i, parts[at].up
+        if len(text) <= MOST_HEAD and _COMMENTS.match(text):
+            around = parts[k].up if parts[k].tag in HEADINGS | {"p", "div"} and parts[k].blocks == 1 else k
+            if around > 0 and first[around] == i and parts[around].cue == 0 and parts[around].tag not in ("body", "html"):
+                parts[around].cue = REMARKS
     whole = parts[0].chars
     for k, p in enumerate(parts):  # a part comes after the part around it
         if p.cue < 0 and (p.named or p.tag == "form") and p.chars > WRAPPER_SHARE * whole:
@@ -216,9 +233,13 @@ def costs(found: list[tuple[str, int, int]], parts: list[_Part]) -> tuple[list[f
                 p.cue *= WRAPPER
         p.role = p.cue != 0 or p.up >= 0 and parts[p.up].role
     gain = []
-    for text, _, linked in found:
+    for text, k, linked in found:
         g = BASE + min(MOST_WORDS, PER_WORD * (text.count(" ") + 1)) + LINKS * min(1.0, linked / len(text))
-        gain.append(g + SENTENCE if text[-1] in ".!?…:\"”»" else g)
+        g += SENTENCE if text[-1] in ".!?…:\"”»" else 0.0
+        rights = len(text) <= MOST_RIGHTS and _RIGHTS.search(text) is not None
+        while rights and k >= 0:  # within what is marked as content, such a line is content
+            rights, k = parts[k].cue <= 0, parts[k].up
+        gain.append(g + RIGHTS if rights else g)
     if max(gain) <= 0 and not any(p.cue > 0 and p.blocks for p in parts):  # short texts only: what no link speaks against is content
         gain = [g - BASE for g in gain]
     n, node, edges = len(found), {}, []
@@ -232,7 +253,8 @@ def costs(found: list[tuple[str, int, int]], parts: list[_Part]) -> tuple[list[f
         edges.append((i, node[k], IN_ROLE if parts[k].role else CHILD))
         if i:
             last = found[i - 1][1]
-            edges.append((i - 1, i, NEXT_SAME if last == k else NEXT_SIBLING if parts[last].up == parts[k].up else NEXT_OTHER))
+            near = NEXT_SAME if last == k else NEXT_SIBLING if parts[last].up == parts[k].up else NEXT_OTHER
+            edges.append((i - 1, i, max(near, OVER) if parts[last].tag in HEADINGS and parts[k].tag not in HEADINGS else near))
     return gain, node, edges
 
 
@@ -251,8 +273,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The input's rows and columns without the html, and text, n_chars, n_blocks, n_content.
 
     Nodes are the blocks and the parts (elements) of the whole page. A linear classifier's weights are their capacities to
-    one of two terminals: length, links and sentence ends of a block's own text, tag, role and names of a part.
-    Neighbours in page order, a block and its part, and a part and the part around it are tied by smoothness edges, and
+    one of two terminals: length, links, sentence ends and lines of rights of a block's own text, tag, role and names of a
+    part, and whether it begins with the head of readers' comments.
+    Neighbours in page order, a heading and what it stands over, a block and its part, and a part and the part around it are tied by smoothness edges, and
     the minimum cut tells content from boilerplate: a short line follows the article it stands in, a long advert the box
     around it, and an article is not lost in a misnamed wrapper. Character references are decoded, white space inside a
     block becomes one space, content blocks are joined in page order by one space; nothing is cut off. Text that is never
