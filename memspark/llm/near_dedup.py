@@ -20,7 +20,7 @@ from .shingles import shingle_sets
 TREES, DEPTH, CROWD = 40, 5, (32, 128)
 DEEP = DEPTH + len(CROWD)
 #: Distinct sets, and shingles of these, that a block holds; larger candidate components are compared block by block, then by hubs.
-BLOCK, BLOCK_SHINGLES = 2_000, 1_000_000
+BLOCK, BLOCK_SHINGLES = 5_000, 2_000_000
 #: Postings that are looked at together when one set is compared with all others.
 STEP = 1 << 22
 #: A set's number: 24 bits of task, 24 of chunk, 15 of its place in the chunk.
