@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import Episode
 from ..functions import text as tx
+from ..sources.snapshot import cut
 from . import matcher
 from .dml import first_by
 from .fusion import rrf
@@ -23,10 +24,19 @@ def anchor() -> Column:
 def group(paragraphs: DataFrame, config: Episode = Episode()) -> DataFrame:
     """Adds group_no, in order of anchor within a source: a new group at max_paragraphs, beyond max_chars, or after a gap.
 
-    The rule depends on what the group holds already, so it is a fold over a source's rows in order. Rows arrive sorted
-    and in batches, and the state carried on is one group's counters: a source of any size takes constant memory.
+    A gap over window_s always begins a group, so a source is cut there first, by the days that have rows: the pieces are
+    folded apart, each over its rows in order, as the rule depends on what a group holds already. Rows arrive sorted and in
+    batches, and the state carried on is one group's counters: a piece of any size takes constant memory. A piece's
+    groups are numbered after those of the pieces before it.
     """
     rows = paragraphs.select("source", "hash", anchor().alias("anchor"), F.char_length("content").alias("len"))
+    day = F.floor(F.col("anchor") / config.window_s).cast("double") if config.window_s > 0 else F.col("anchor")
+    rows = cut(rows.withColumn("bin", day))  # no such gap is within a bin
+    bins = rows.groupBy("source", "bin").agg(F.min("anchor").alias("lo"), F.max("anchor").alias("hi"))
+    w = Window.partitionBy("source").orderBy("bin")  # a row a day
+    apart = F.coalesce((F.col("lo") - F.lag("hi").over(w) > config.window_s).cast("int"), F.lit(0))
+    bins = bins.withColumn("apart", apart).select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.sum("apart").over(w).cast("int").alias("piece"))
+    rows = rows.join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).select("source", "piece", "hash", "anchor", "len")
     most, chars, window = config.max_paragraphs, config.max_chars, config.window_s
 
     def fold(batches):
@@ -35,19 +45,24 @@ def group(paragraphs: DataFrame, config: Episode = Episode()) -> DataFrame:
         source, g, n, c, last = None, 0, 0, 0, 0.0
         for b in batches:
             out = []
-            for s, h, a, size in zip(b["source"], b["hash"], b["anchor"], b["len"], strict=True):
+            for s, part, h, a, size in zip(b["source"], b["piece"], b["hash"], b["anchor"], b["len"], strict=True):
                 size = 0 if pd.isna(size) else int(size)
                 key = None if pd.isna(s) else s
-                if (key,) != source:
-                    source, g, n, c = (key,), 0, 0, 0
+                if (key, part) != source:
+                    source, g, n, c = (key, part), 0, 0, 0
                 elif n and (n >= most or c + size > chars or a - last > window):
                     g, n, c = g + 1, 0, 0
                 n, c, last = n + 1, c + size, a
-                out.append((key, h, a, g))
-            yield pd.DataFrame(out, columns=["source", "hash", "anchor", "group_no"])
-
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("anchor", T.DoubleType()), T.StructField("group_no", T.IntegerType())])
-    return rows.repartition("source").sortWithinPartitions("source", "anchor", "hash").mapInPandas(fold, schema)
+                out.append((key, part, h, a, g))
+            yield pd.DataFrame(out, columns=["source", "piece", "hash", "anchor", "group_no"])
+
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("hash", T.StringType()), T.StructField("anchor", T.DoubleType()), T.StructField("group_no", T.IntegerType())])
+    found = cut(rows.repartition("source", "piece").sortWithinPartitions("source", "piece", "anchor", "hash").mapInPandas(fold, schema))
+    before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    count = found.groupBy("source", "piece").agg((F.max("group_no") + 1).alias("n"))
+    first = count.select(F.col("source").alias("_s"), F.col("piece").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
+    j = found.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p")))
+    return j.select("source", "hash", "anchor", (F.col("group_no") + F.col("first")).alias("group_no"))
 
 
 def group_by_gap(rows: DataFrame, by: str, at: str, gap_s: float) -> DataFrame:
