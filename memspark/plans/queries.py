@@ -570,11 +570,11 @@ def life_freeze(x: Fixtures):
     return lifecycle.freeze(x.store, NOW, Memory(prune_below=0.25))["relation"].select("hash", "is_inactive", "inactive_since")
 
 
-@query("relation deleted_relation", f"""WITH g AS (SELECT hash FROM relation WHERE is_inactive AND inactive_since < {NOW} - 86400) SELECT 'live' AS place, count(*) AS n FROM relation WHERE hash NOT IN (SELECT hash FROM g) UNION ALL SELECT 'bin', (SELECT count(*) FROM deleted_relation WHERE hash NOT IN (SELECT hash FROM g)) + (SELECT count(*) FROM g)""")
+@query("relation deleted_relation", f"""WITH g AS (SELECT hash FROM relation WHERE is_inactive AND inactive_since < {NOW} - 86400) SELECT 'live' AS place, hash FROM relation WHERE hash NOT IN (SELECT hash FROM g) UNION ALL SELECT 'bin', hash FROM deleted_relation WHERE hash NOT IN (SELECT hash FROM g) UNION ALL SELECT 'bin', hash FROM g""")
 def life_prune_to_bin(x: Fixtures):
     out = lifecycle.prune(x.store, NOW)
-    n = lambda t, name: out[t].agg(F.lit(name).alias("place"), F.count(F.lit(1)).alias("n"))
-    return n("relation", "live").unionByName(n("deleted_relation", "bin"))
+    rows = lambda t, name: out[t].select(F.lit(name).alias("place"), "hash")
+    return rows("relation", "live").unionByName(rows("deleted_relation", "bin"))
 
 
 @query("relation deleted_relation", "SELECT hash, subject, predicate, object FROM relation UNION SELECT hash, subject, predicate, object FROM deleted_relation WHERE hash[1] = 'x'")

@@ -18,6 +18,18 @@ from .registry import query, r6
 
 
 
+def _kept(out: dict, **keys: tuple[str, ...]):
+    """(place, key): the rows that tables hold, by their keys."""
+    every = None
+    for table, cols in keys.items():
+        rows = out[table].select(F.lit(table).alias("place"), F.concat_ws("|", *cols).alias("key"))
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+_EDGE, _PE, _PR = ("src", "dst"), ("paragraph_hash", "entity_hash"), ("paragraph_hash", "relation_hash")
+
+
 def _n():
     return F.count(F.lit(1)).alias("n")
 
@@ -200,11 +212,10 @@ def import_window_replay(x: Fixtures):
 # Writes.
 
 
-@query("relation para paragraph_relation", "SELECT count(*) AS n, count(DISTINCT paragraph_hash || relation_hash) AS pairs FROM (SELECT paragraph_hash, relation_hash FROM paragraph_relation UNION SELECT paragraph_hash, 'new' FROM paragraph_relation)")
+@query("relation para paragraph_relation", "SELECT paragraph_hash, relation_hash FROM paragraph_relation UNION SELECT paragraph_hash, 'new' FROM paragraph_relation")
 def dml_link(x: Fixtures):
     b = x.paragraph_relation
-    out = dml.link(dml.link(b, b), b.withColumn("relation_hash", F.lit("new")))
-    return out.agg(_n(), F.count_distinct(F.concat("paragraph_hash", "relation_hash")).alias("pairs"))
+    return dml.link(dml.link(b, b), b.withColumn("relation_hash", F.lit("new"))).select("paragraph_hash", "relation_hash")
 
 
 @query("para", f"SELECT hash, CASE WHEN source = 'src1' THEN {NOW}::DOUBLE ELSE event_time END AS event_time, time_granularity FROM para")
@@ -220,11 +231,10 @@ def dml_resolve_entities(x: Fixtures):
 
 
 @query("entity relation para paragraph_relation paragraph_entity", """WITH gone AS (SELECT hash, name FROM entity WHERE name LIKE '%1'), r AS (SELECT hash FROM relation WHERE subject IN (SELECT name FROM gone) OR object IN (SELECT name FROM gone))
-    SELECT (SELECT count(*) FROM entity WHERE name NOT LIKE '%1') AS entities, (SELECT count(*) FROM relation WHERE hash NOT IN (SELECT hash FROM r)) AS relations, (SELECT count(*) FROM paragraph_relation WHERE relation_hash NOT IN (SELECT hash FROM r)) AS links, (SELECT count(*) FROM paragraph_entity WHERE entity_hash NOT IN (SELECT hash FROM gone)) AS mentions""")
+    SELECT 'entity' AS place, hash AS key FROM entity WHERE name NOT LIKE '%1' UNION ALL SELECT 'relation', hash FROM relation WHERE hash NOT IN (SELECT hash FROM r) UNION ALL SELECT 'paragraph_relation', paragraph_hash || '|' || relation_hash FROM paragraph_relation WHERE relation_hash NOT IN (SELECT hash FROM r)
+    UNION ALL SELECT 'paragraph_entity', paragraph_hash || '|' || entity_hash FROM paragraph_entity WHERE entity_hash NOT IN (SELECT hash FROM gone)""")
 def dml_delete_entities(x: Fixtures):
-    out = dml.delete_entities(x.store, x.entity.where("name like '%1'"))
-    n = lambda t, name: out[t].agg(F.count(F.lit(1)).alias(name))
-    return n("entity", "entities").crossJoin(n("relation", "relations")).crossJoin(n("paragraph_relation", "links")).crossJoin(n("paragraph_entity", "mentions"))
+    return _kept(dml.delete_entities(x.store, x.entity.where("name like '%1'")), entity=("hash",), relation=("hash",), paragraph_relation=_PR, paragraph_entity=_PE)
 
 
 @query("relation deleted_relation", f"SELECT hash, deleted_at FROM deleted_relation WHERE hash NOT IN (SELECT hash FROM relation WHERE is_pinned) UNION ALL SELECT hash, {NOW}::DOUBLE FROM relation WHERE is_pinned")
@@ -294,19 +304,17 @@ _ORPHANS = """gone AS (SELECT hash FROM para WHERE {cond}), touched AS (SELECT D
 
 @query("entity relation edge para paragraph_relation paragraph_entity", f"""WITH {_ORPHANS.format(cond="source = 'src1'")}, e AS (SELECT * FROM edge WHERE (src, dst) NOT IN (SELECT (src, dst) FROM cut)),
     cand AS (SELECT DISTINCT entity_hash AS hash FROM paragraph_entity WHERE paragraph_hash IN (SELECT hash FROM gone)), used AS (SELECT entity_hash AS hash FROM paragraph_entity WHERE paragraph_hash NOT IN (SELECT hash FROM gone) UNION SELECT sha256(lower(trim(subject))) FROM left_ UNION SELECT sha256(lower(trim(object))) FROM left_ UNION SELECT sha256(src) FROM e WHERE weight > 0)
-    SELECT (SELECT count(*) FROM entity WHERE hash NOT IN (SELECT hash FROM cand WHERE hash NOT IN (SELECT hash FROM used))) AS entities, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM left_) AS relations, (SELECT count(*) FROM paragraph_entity WHERE paragraph_hash NOT IN (SELECT hash FROM gone)) AS mentions""")
+    SELECT 'entity' AS place, hash AS key FROM entity WHERE hash NOT IN (SELECT hash FROM cand WHERE hash NOT IN (SELECT hash FROM used)) UNION ALL SELECT 'edge', src || '|' || dst FROM e UNION ALL SELECT 'relation', hash FROM left_
+    UNION ALL SELECT 'paragraph_entity', paragraph_hash || '|' || entity_hash FROM paragraph_entity WHERE paragraph_hash NOT IN (SELECT hash FROM gone)""")
 def dml_delete_source(x: Fixtures):
-    out = dml.delete_source(x.store, "src1")
-    n = lambda t, name: out[t].agg(F.count(F.lit(1)).alias(name))
-    return n("entity", "entities").crossJoin(n("edge", "edges")).crossJoin(n("relation", "relations")).crossJoin(n("paragraph_entity", "mentions"))
+    return _kept(dml.delete_source(x.store, "src1"), entity=("hash",), edge=_EDGE, relation=("hash",), paragraph_entity=_PE)
 
 
-@query("relation edge para paragraph_relation", f"""WITH {_ORPHANS.format(cond="hash = (SELECT min(hash) FROM para)")} SELECT (SELECT count(*) FROM para) - 1 AS paragraphs, (SELECT count(*) FROM edge WHERE (src, dst) NOT IN (SELECT (src, dst) FROM cut)) AS edges, (SELECT count(*) FROM left_) AS relations""")
+@query("relation edge para paragraph_relation", f"""WITH {_ORPHANS.format(cond="hash = (SELECT min(hash) FROM para)")} SELECT 'paragraph' AS place, hash AS key FROM para WHERE hash <> (SELECT min(hash) FROM para) UNION ALL SELECT 'edge', src || '|' || dst FROM edge WHERE (src, dst) NOT IN (SELECT (src, dst) FROM cut) UNION ALL SELECT 'relation', hash FROM left_""")
 def dml_delete_by_content(x: Fixtures):
     first = x.para.agg(F.min("hash").alias("h")).first()["h"]
     out, n_found = dml.delete_by_content(x.store, F.lit(first))
-    n = lambda t, name: out[t].agg(F.count(F.lit(1)).alias(name))
-    return n("paragraph", "paragraphs").crossJoin(n("edge", "edges")).crossJoin(n("relation", "relations"))
+    return _kept(out, paragraph=("hash",), edge=_EDGE, relation=("hash",))
 
 
 @query("relation edge", """SELECT src, dst, round(sum(weight), 6)::DOUBLE AS weight, len(list_distinct(flatten(list(relation_hashes)))) AS n FROM (SELECT CASE src WHEN 'brand#4' THEN 'brand#12' ELSE src END AS src, CASE dst WHEN 'brand#4' THEN 'brand#12' ELSE dst END AS dst, weight, relation_hashes FROM edge WHERE weight > 0 OR 'brand#4' NOT IN (src, dst)) GROUP BY 1, 2""")
@@ -964,9 +972,11 @@ def engine_relation_exact(x: Fixtures):
     return _engine(x).query("relation", q).select("query_id", "hash", "score")
 
 
-@query("", "SELECT r_regionkey::BIGINT AS query_id, 20::BIGINT AS n FROM region")
+@query("", """WITH q AS (SELECT r_regionkey AS query_id, unnest(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::INT, 2)))) AS term FROM (SELECT r_regionkey, replace(lower('red' || r_name || 'widget'), ' ', '') AS t FROM region)), z AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+    g AS (SELECT DISTINCT 'p' || p_partkey AS hash, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i::INT, 2))) AS term FROM (SELECT p_partkey, replace(lower(p_name), ' ', '') AS t FROM part)),
+    s AS (SELECT query_id, hash, count(*) / any_value(n)::DOUBLE AS score FROM q JOIN g USING (term) JOIN z USING (query_id) GROUP BY 1, 2) SELECT query_id::BIGINT AS query_id, hash, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash) AS rank FROM s) WHERE rank <= 20""")
 def engine_sparse_fallback(x: Fixtures):
     """Queries without a BM25 hit: each finds its twenty by n-grams."""
     d = x.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("hash"), F.col("p_name").alias("content"))
     q = x.table("region").select(F.col("r_regionkey").cast("bigint").alias("query_id"), F.concat(F.lit("red"), "r_name", F.lit("widget")).alias("text"))
-    return _engine(x)._sparse(d, q, 20, "no index").groupBy("query_id").agg(_n())
+    return _engine(x)._sparse(d, q, 20, "no index").select("query_id", "hash", r6("score"))
