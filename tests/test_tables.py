@@ -61,3 +61,13 @@ def test_sampled_triples_rank_no_more_than_the_sample(spark):
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
     got = found.collect()
     assert len(got) == 12 and {r.predicate: sum(x.predicate == r.predicate for x in got) for r in got} == {"buys": 5, "in": 5, "part_of": 2}
+
+
+def test_ppr_bridge_has_one_link_a_paragraph(spark, monkeypatch):
+    from memspark.operators import fusion
+
+    seen = {}
+    monkeypatch.setattr(fusion, "ppr_rerank", lambda results, bridge, ppr, weight=0.3: seen.update(bridge=bridge, ppr=ppr) or results)
+    QUERIES["fuse_ppr"](spark, DATA)
+    n, per = seen["bridge"].count(), seen["bridge"].select("paragraph_hash").distinct().count()
+    assert n == per > 0
