@@ -94,7 +94,8 @@ class Work:
     def save(self, df: DataFrame, table: str, packed: bool = False) -> DataFrame:
         """Writes and rereads df: lineage ends here, and a lost executor costs no more than its own tasks. packed: compressed already."""
         writer = df.write.mode("overwrite").option("compression", "uncompressed" if packed else "zstd")
-        writer.option("parquet.block.size", 32 << 20).parquet(self.path(table))
+        # Rows may be chunks of megabytes: their size is looked at from the fourth on, not from the hundredth.
+        writer.option("parquet.block.size", 32 << 20).option("parquet.block.size.row.check.min", 4).parquet(self.path(table))
         delete(self.spark, self.root, at_exit=True)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 

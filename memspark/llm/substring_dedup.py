@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Work, group_seed, ids_of, mix64, pack, pieces, shards_for, texts_of, unpack
-from .suffix_array import common_prefixes, suffix_array
+from .suffix_array import Words, common_prefixes, sort_directly, suffix_array
 
 CHUNK = "gid bigint, body binary, probes array<struct<shard:int,entries:binary>>"
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _ODD = mix64(np.arange(1000, 1008, dtype=np.uint64)) | np.uint64(1)
+#: Bytes of passages of a sorting shard that are sorted at once; a larger shard (a half that very many documents share) is sorted in parts.
+WHOLE = 24 << 20
 _PROBE = pa.list_(pa.struct([("shard", pa.int32()), ("entries", pa.binary())]))
 
 
@@ -189,6 +191,59 @@ def _repeated(texts: list[list[bytes]], owners: list[np.ndarray], length: int) -
     return out
 
 
+def _parts(text: np.ndarray, start: np.ndarray, length: int, most: int, held: int = 8):
+    """Positions of the passages' windows, about `most` at a time: dealt by a hash of the window, so equal ones come together; `held` parts are gathered in a pass."""
+    size = np.diff(start) - length + 1
+    done = np.append(0, np.cumsum(size))
+    n = -(-int(done[-1]) // most)
+    for low in range(0, n, held):
+        got, part, a = [], [], 0
+        while a < len(size):
+            z = max(a + 1, int(np.searchsorted(done, done[a] + most // 4, side="right")) - 1)
+            at = np.repeat(start[a:z] - (done[a:z] - done[a]), size[a:z]) + np.arange(done[z] - done[a])
+            to = ((rolling(text[start[a] : start[z]], length)[at - start[a]] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+            mine = (to >= low) & (to < low + held)
+            got.append(at[mine])
+            part.append(to[mine])
+            a = z
+        at, part = np.concatenate(got), np.concatenate(part)
+        order = np.argsort(part, kind="stable")
+        yield from np.split(at[order], np.flatnonzero(np.diff(part[order])) + 1)
+
+
+def _repeated_parts(blobs: list[bytes], length: int, most: int = 4 << 20) -> list[np.ndarray]:
+    """The flags of _repeated for a shard of any size: beside the passages' bytes, only a part of the windows is in memory and sorted at once."""
+    data, sizes, owners = bytearray(), [], []
+    for x in blobs:
+        r = unpack(x)
+        p = r.column(0)
+        off = np.frombuffer(p.buffers()[1], np.int32, len(p) + 1, p.offset * 4)
+        data += memoryview(p.buffers()[2])[int(off[0]) : int(off[-1])]
+        sizes.append(np.diff(off).astype(np.int64))
+        owners.append(r.column(1).to_numpy())
+    data += bytes(length + 16)
+    text, owner = np.frombuffer(data, np.uint8), np.concatenate(owners)
+    words, start = Words(text, length, padded=True), np.append(0, np.cumsum(np.concatenate(sizes)))
+    flag = np.zeros(start[-1], bool)
+    for part in _parts(text, start, length, most):
+        if not len(part):
+            continue
+        sa = sort_directly(part, words)
+        group = np.flatnonzero(common_prefixes(text, sa, length, words) < length)
+        holder = owner[np.searchsorted(start, sa, side="right") - 1]
+        flag[sa] = np.repeat(np.minimum.reduceat(holder, group), np.diff(np.append(group, len(sa)))) < holder
+    out, at = [], 0
+    for s in sizes:
+        end = np.cumsum(s)
+        edge = np.zeros(end[-1] + 1, np.int8)  # the last length - 1 places of a passage begin no window
+        edge[end - length + 1] += 1
+        edge[end] -= 1
+        window = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        out.append(flag[at : at + len(window)][window])
+        at += len(window)
+    return out
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (array of start, end).
 
@@ -200,7 +255,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tasks pack documents into chunks and group a text's windows by a sampled half (the smallest hash among the halves
     of a window, the same for equal windows). Shards tell which keys recur; only the passages around these, each once
     for a chunk, go to sorting shards, where a two-stage suffix array and its adjacent common prefixes give every
-    window's smallest document. Chunks then mark their own bytes.
+    window's smallest document; a shard with more passages than are sorted at once sorts parts of the windows one after
+    another. Chunks then mark their own bytes.
     """
     spark = docs.sparkSession
     work, n_shards = Work(spark, "substrings"), shards_for(docs)
@@ -233,13 +289,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for a, z in _cuts(shard):
                     mine = order[a:z]
                     rows = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in mine.tolist()], pa.binary()), pa.array(owner[mine])], names=["p", "o"])
-                    yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([int(shard[a])], pa.int32()), pa.array([pack(rows)], pa.binary())], names=["gid", "sort", "passages"])
+                    size = sum(len(texts[i]) for i in mine.tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([int(shard[a])], pa.int32()), pa.array([size]), pa.array([pack(rows)], pa.binary())], names=["gid", "sort", "bytes", "passages"])
 
-    picked = bodies.join(told.hint("merge"), "gid").mapInArrow(pick, "gid bigint, sort int, passages binary")
+    picked = bodies.join(told.hint("merge"), "gid").mapInArrow(pick, "gid bigint, sort int, bytes bigint, passages binary")
 
     def sort(key, t):
-        rows = [unpack(x) for x in t["passages"].to_pylist()]
-        flags = _repeated([r.column(0).to_pylist() for r in rows], [r.column(1).to_numpy() for r in rows], length)
+        if t["bytes"].to_numpy().sum() > WHOLE:
+            flags = _repeated_parts(t["passages"].to_pylist(), length)
+        else:
+            rows = [unpack(x) for x in t["passages"].to_pylist()]
+            flags = _repeated([r.column(0).to_pylist() for r in rows], [r.column(1).to_numpy() for r in rows], length)
         return pa.table({"gid": t["gid"], "sort": t["sort"], "flags": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
 
     flags = picked.groupBy("sort").applyInArrow(sort, "gid bigint, sort int, flags binary").groupBy("gid").agg(F.collect_list(F.struct("sort", "flags")).alias("flags"))

@@ -6,19 +6,20 @@ import numpy as np
 
 
 class Words:
-    """The 8 bytes from any position of a text, as big-endian numbers."""
+    """The 8 bytes from any position of a text, as big-endian numbers. padded: the text goes depth + 16 bytes on, so it needs no copy."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.n, self.depth = len(text), depth
-        pad = np.zeros(self.n + depth + 16, np.uint8)
-        pad[: self.n] = text
+    def __init__(self, text: np.ndarray, depth: int, padded: bool = False):
+        self.n, self.depth = len(text) - (depth + 16 if padded else 0), depth
+        pad = text if padded else np.zeros(self.n + depth + 16, np.uint8)
+        if not padded:
+            pad[: self.n] = text
         self.view = np.ndarray((self.n + depth + 8,), ">u8", buffer=pad.data, strides=(1,))
 
     def at(self, where: np.ndarray) -> np.ndarray:
         return self.view[where].astype(np.uint64)
 
 
-def _direct(where: np.ndarray, words: Words) -> np.ndarray:
+def sort_directly(where: np.ndarray, words: Words) -> np.ndarray:
     """Positions sorted by the bytes that follow, to the depth and 8 bytes more; only ties are looked at again."""
     if not len(where):
         return where
@@ -61,7 +62,7 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     begin = np.maximum.accumulate(np.append(0, np.where(is_b[:-1], index[1:], 0)))
     need = last >= begin
     words = Words(text, depth)
-    b_sorted = _direct(np.flatnonzero(need & is_b), words)
+    b_sorted = sort_directly(np.flatnonzero(need & is_b), words)
     b_cut = np.searchsorted(text[b_sorted], np.arange(257))
     need_a = need & ~is_b
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -98,12 +99,12 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     return sa[wanted[sa]]
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int, words: Words | None = None) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in `sa`, up to `depth`; 0 for the first."""
     lcp = np.zeros(len(sa), np.int64)
     if len(sa) < 2:
         return lcp
-    words, todo = Words(text, depth), np.arange(1, len(sa))
+    words, todo = Words(text, depth) if words is None else words, np.arange(1, len(sa))
     for k in range(0, depth, 8):
         x = words.at(sa[todo] + k) ^ words.at(sa[todo - 1] + k)
         same = np.full(len(todo), 8, np.int64)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from memspark.llm.common import mix64, pack, pieces, unpack
@@ -268,3 +269,44 @@ def test_html_without_semantic_markup():
     assert content(page)[0] == f"Title {LONG.strip()}"
     kept = f"<article><p>{LONG}</p><p>Copyright law is what this paragraph of the article is about.</p><h2>Discussion</h2><p>{LONG}</p></article>"
     assert content(kept)[0] == f"{LONG.strip()} Copyright law is what this paragraph of the article is about. Discussion {LONG.strip()}"
+
+
+@pytest.mark.parametrize("most", [7, 100, 1 << 20])
+def test_sorting_shards_in_parts(most):
+    """A shard that is sorted in parts flags the same windows as one that is sorted whole."""
+    from memspark.llm import substring_dedup as sd
+    from memspark.llm.common import pack
+
+    rng = np.random.default_rng(4)
+    half, blobs, texts, owners = rng.bytes(12), [], [], []
+    for c in range(6):
+        ps = list(dict.fromkeys(bytes(rng.integers(97, 99, int(rng.integers(8, 20))).astype(np.uint8)) + half + bytes(rng.integers(97, 99, 14).astype(np.uint8)) for _ in range(40)))
+        own = rng.integers(0, 50, len(ps))
+        texts.append(ps)
+        owners.append(own)
+        blobs.append(pack(pa.RecordBatch.from_arrays([pa.array(ps, pa.binary()), pa.array(own)], names=["p", "o"])))
+    whole = sd._repeated(texts, owners, 20)
+    assert sum(f.sum() for f in whole) > 100
+    for a, b in zip(whole, sd._repeated_parts(blobs, 20, most), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_parts_of_a_hot_shard_bound_the_memory():
+    """Contexts of one half in many documents: what sorting needs beside the bytes doesn't grow with them."""
+    import tracemalloc
+
+    from memspark.llm import substring_dedup as sd
+    from memspark.llm.common import pack
+
+    def peak(n: int) -> int:
+        rng = np.random.default_rng(n)
+        blobs = [pack(pa.RecordBatch.from_arrays([pa.array([rng.bytes(20) + b"h" * 25 + rng.bytes(20) for _ in range(2000)], pa.binary()), pa.array(rng.integers(0, 9, 2000))], names=["p", "o"])) for _ in range(n)]
+        tracemalloc.start()
+        flags = sd._repeated_parts(blobs, 50, 1 << 14)
+        got = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(map(len, flags)) == n * 2000 * 16
+        return got
+
+    # Bytes: 65 a passage, its windows' flags, sizes and owners; whole sorting takes 3700 a passage.
+    assert (peak(30) - peak(10)) / (20 * 2000) < 400
