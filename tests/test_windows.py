@@ -67,3 +67,38 @@ def test_a_batch_answers_as_each_alone(spark):
         assert alone == sorted(together.get(i, []))
         assert sorted((t["rank"], t.hash) for t in e.in_time(one, k=7, **given).collect()) == sorted(newest.get(i, []))
     assert len(together) >= 2 and len(newest) >= 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_newest_of_windows(spark, seed):
+    """Open and crossed bounds, sources, ties, long intervals, ends before starts, no time: the k newest of all pairs."""
+    r = random.Random(seed)
+    span = lambda: (float(a := r.randint(0, 300)), float(a + r.choice((0, 1, 5, 90, -3))))
+    items = [(f"h{i:03d}", *span(), r.choice((1.0, 2.0, None)), r.choice(("a", "b", "", None))) for i in range(250)] + [("x", None, 3.0, 1.0, "a"), ("y", None, None, 1.0, "a")]
+    windows = [(i, *(x if r.random() > 0.3 else None for x in span()), r.choice((None, None, "a", "b", "", "c"))) for i in range(80)] + [(90, 400.0, None, None), (91, None, -1.0, None), (92, None, None, "a"), (93, 250.0, 50.0, None)]
+    w = spark.createDataFrame(windows, "query_id int, lower double, upper double, source string")
+    p = spark.createDataFrame(items, "hash string, start double, end double, updated_at double, _source string")
+    got = {}
+    for x in intervals.newest(w, p, 4).collect():
+        got.setdefault(x.query_id, []).append(x.hash)
+    for q, lo, hi, s in windows:
+        ok = [i for i in items if i[1] is not None and i[2] is not None and (lo is None or i[2] >= lo) and (hi is None or i[1] <= hi) and (s is None or s == i[4])]
+        ok = sorted(ok, key=lambda i: (-i[2], -(i[3] or 0.0), i[0]))[:4] if lo is not None or hi is not None else []
+        assert sorted(i[0] for i in ok) == sorted(got.get(q, []))
+
+
+def test_newest_does_not_pair_windows_with_all_they_hold(spark, monkeypatch):
+    """Half-open windows hold half of the paragraphs each; what is joined grows with both tables' rows."""
+    join, pairs = intervals.overlap_join, []
+
+    def counted(windows, items):
+        found = join(windows, items)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(intervals, "overlap_join", counted)
+    p = spark.range(2000).selectExpr("concat('h', id) hash", "'t' content", "cast(null as string) source", "double(id) created_at", "double(id) updated_at", "false is_deleted", *[f"cast(null as double) {c}" for c in ("event_time", "event_time_start", "event_time_end")])
+    w = spark.range(400).selectExpr("id query_id", "cast(null as double) lower", "double(id * 5) upper")
+    got = Engine({"paragraph": p}).in_time(w, k=3).collect()
+    assert {(x.query_id, x.hash, x["rank"]) for x in got} == {(i, f"h{5 * i - n}", n + 1) for i in range(400) for n in range(3) if 5 * i - n >= 0}
+    assert sum(pairs) <= 2 * 2400
