@@ -115,10 +115,14 @@ def over_profiles(lists: dict[str, DataFrame], profiles: DataFrame, k: int = 20)
     """
     if profiles.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
-    every = reduce(DataFrame.unionByName, [df.select("query_id", "hash", "score", F.lit(name).alias("list")) for name, df in lists.items()])
+    # Dealt by query once, with as many rows as the lists have: profiles come after.
+    every = reduce(DataFrame.unionByName, [df.select("query_id", "hash", "score", F.lit(name).alias("list")) for name, df in lists.items()]).repartition("query_id")
     ranked = every.withColumn("r", F.row_number().over(Window.partitionBy("list", "query_id").orderBy(F.desc("score"), "hash")))
-    weights = profiles.select("profile_id", "rrf_k", F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col(f"w_{n}").cast("double").alias("w")) for n in lists]))).where("w > 0")
-    fused = ranked.join(F.broadcast(weights), "list").groupBy("profile_id", "query_id", "hash").agg(F.sum(F.col("w") / (F.col("rrf_k") + F.col("r"))).alias("score"))
+    found = ranked.groupBy("query_id", "hash").agg(F.array_sort(F.collect_list(F.struct("list", "r"))).alias("at"))
+    weights = profiles.select("profile_id", "rrf_k", *[F.col(f"w_{n}").cast("double").alias(f"w_{n}") for n in lists])
+    weight = lambda x: F.coalesce(*[F.when(x["list"] == n, F.col(f"w_{n}")) for n in lists], F.lit(0.0))
+    fused = found.crossJoin(F.broadcast(weights)).withColumn("at", F.filter("at", lambda x: weight(x) > 0)).where(F.size("at") > 0)
+    fused = fused.select("profile_id", "query_id", "hash", F.aggregate("at", F.lit(0.0), lambda s, x: s + weight(x) / (F.col("rrf_k") + x["r"])).alias("score"))
     best = Window.partitionBy("profile_id", "query_id").orderBy(F.desc(F.round("score", 12)), "hash")
     return fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
