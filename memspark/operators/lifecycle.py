@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Memory
 from ..functions import text as tx
+from ..sources.snapshot import Tables
 from . import graph
 from .dml import delete_rows, mark_deleted, recycle, restore, update
 from .joins import entity_gc, paragraph_gc
@@ -51,7 +52,7 @@ def prune(store: dict[str, DataFrame], now: float, config: Memory = Memory()) ->
     """Relations inactive for longer than freeze_s go to the bin, and out of their edge's set."""
     gone = store["relation"].where(F.col("is_inactive") & (F.col("inactive_since") < now - config.freeze_s))
     ops = _ends(gone).select("src", "dst", "hash")
-    return recycle(store, gone, now) | {"edge": graph.prune_hashes(store["edge"], ops)}
+    return Tables() | recycle(store, gone, now) | {"edge": lambda: graph.prune_hashes(store["edge"], ops)}  # edges are made when asked for
 
 
 def collect_orphans(store: dict[str, DataFrame], now: float, config: Memory = Memory()) -> dict[str, DataFrame]:
@@ -102,16 +103,19 @@ def modify(store: dict[str, DataFrame], hashes: DataFrame, action: str, strength
 
 
 def restore_memory(store: dict[str, DataFrame], hashes: DataFrame, weight: float = 1.0) -> dict[str, DataFrame]:
-    """Relations back from the bin, active, and back in their edge's set."""
+    """Relations back from the bin, active, and back in their edge's set. Edges are worked out when they are asked for."""
     out = restore(store, hashes)
-    rel = out["relation"].join(hashes.select("hash"), "hash", "left_semi")
-    back = _ends(rel).groupBy("src", "dst").agg(F.collect_set("hash").alias("_h"))
-    j = out["edge"].join(back, ["src", "dst"], "full_outer")
-    empty = F.array().cast("array<string>")
-    sets = F.array_sort(F.array_union(F.coalesce("relation_hashes", empty), F.coalesce("_h", empty)))
-    grown = F.when(F.col("_h").isNotNull() & (F.coalesce("weight", F.lit(0.0)) <= 0), weight).otherwise(F.col("weight"))
-    edge = j.select("src", "dst", grown.alias("weight"), F.when(F.col("_h").isNotNull(), sets).otherwise(F.col("relation_hashes")).alias("relation_hashes"))
-    return out | {"relation": set_active(out["relation"], rel, True, 0.0), "edge": edge}
+
+    def edges() -> DataFrame:
+        rel = out["relation"].join(hashes.select("hash"), "hash", "left_semi")
+        back = _ends(rel).groupBy("src", "dst").agg(F.collect_set("hash").alias("_h"))
+        j = out["edge"].join(back, ["src", "dst"], "full_outer")
+        empty = F.array().cast("array<string>")
+        sets = F.array_sort(F.array_union(F.coalesce("relation_hashes", empty), F.coalesce("_h", empty)))
+        grown = F.when(F.col("_h").isNotNull() & (F.coalesce("weight", F.lit(0.0)) <= 0), weight).otherwise(F.col("weight"))
+        return j.select("src", "dst", grown.alias("weight"), F.when(F.col("_h").isNotNull(), sets).otherwise(F.col("relation_hashes")).alias("relation_hashes"))
+
+    return Tables() | out | {"relation": set_active(out["relation"], hashes, True, 0.0), "edge": edges}
 
 
 def relations_of_edge(edges: DataFrame, edge_id: str) -> DataFrame:

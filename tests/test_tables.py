@@ -5,9 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from memspark.functions import text as tx
-from memspark.operators import evaluate
+from memspark.operators import evaluate, lifecycle
 from memspark.plans import queries, store_queries  # noqa: F401
-from memspark.plans.fixtures import Fixtures, Tables
+from memspark.plans.fixtures import NOW, Fixtures, Tables
 from memspark.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +71,20 @@ def test_ppr_bridge_has_one_link_a_paragraph(spark, monkeypatch):
     QUERIES["fuse_ppr"](spark, DATA)
     n, per = seen["bridge"].count(), seen["bridge"].select("paragraph_hash").distinct().count()
     assert n == per > 0
+
+
+def test_restore_and_prune_leave_edges_alone(spark):
+    """Who asks for relations pays for relations: edges are neither read nor made before they are asked for."""
+    x = Fixtures(spark, "/root/testdata/sf0.001")
+    asked = []
+
+    def edge():
+        asked.append("edge")
+        return x.edge
+
+    store = x.store | {"edge": edge}
+    restored, pruned = lifecycle.restore_memory(store, x.deleted_relation), lifecycle.prune(store, NOW)
+    assert restored["relation"].count() == x.relation.count() + x.deleted_relation.where("hash like 'x%'").count()
+    assert restored["relation"].where("is_inactive").join(x.deleted_relation, "hash", "left_semi").count() == 0 and not asked
+    assert pruned["relation"].count() < x.relation.count() and not asked
+    assert restored["edge"].count() == x.edge.count() and asked
