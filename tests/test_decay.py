@@ -48,3 +48,19 @@ def test_counts_of_a_search(spark):
     assert told["deduplicated"] == len(found) <= told["ranked"] <= told["above threshold"] <= told["fused"]
     assert told["paragraphs"] == e.paragraphs(q).count() and told["relations"] == e.relations(q).count()
     assert e.metrics().count() == 0
+
+
+def test_sets_stay_where_they_are(spark, tmp_path):
+    """Ticks and shifts write neither sets of hashes nor buckets that lack their edges; edges that come twice are put once."""
+    d = DecayingEdges(Snapshots(spark, f"file://{tmp_path}/e", buckets=4), half_life_h=4.0, below=0.1)
+    rows = [(f"n{i % 9}", f"m{i}", 0.11 if i % 2 else 2.0, [f"h{i}", "x"]) for i in range(40)]
+    d.put(spark.createDataFrame([*rows, *rows[:3]], "src string, dst string, weight double, relation_hashes array<string>"), 0.0)
+    sets = d.s.manifest()["tables"]["edge_set"]
+    gone, _ = d.tick(0.0, 3 * HOUR)
+    d.shift(spark.createDataFrame([("n1", "m1", 0.5), ("none", "m1", 0.5)], "src string, dst string, delta double"), 3 * HOUR)
+    assert d.s.manifest()["tables"]["edge_set"] == sets and "relation_hashes" not in d.s.read("edge_state").columns
+    assert gone.count() == 20 and d.s.read("edge_due").where("hour <= 3").count() == 0 and d.s.read("edge_due").count() == 21
+    got = {(r.src, r.dst): (round(r.weight, 6), r.relation_hashes) for r in d.read(3 * HOUR).collect()}
+    assert len(got) == 40 and got["n1", "m1"] == (0.5, ["h1", "x"]) and got["n3", "m3"] == (0.0, ["h3", "x"]) and got["n0", "m0"] == (round(2 * 0.5**0.75, 6), ["h0", "x"])
+    again, version = d.tick(0.0, 3 * HOUR)
+    assert again.count() == 0 and version == d.s.version()
