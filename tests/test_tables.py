@@ -88,3 +88,19 @@ def test_restore_and_prune_leave_edges_alone(spark):
     assert restored["relation"].where("is_inactive").join(x.deleted_relation, "hash", "left_semi").count() == 0 and not asked
     assert pruned["relation"].count() < x.relation.count() and not asked
     assert restored["edge"].count() == x.edge.count() and asked
+
+
+def test_only_pairs_with_several_relations_are_grouped(spark):
+    x = Fixtures(spark, DATA)
+    rows = [(f"{i:064x}", f"S{i % 40}", ("buys", "Likes")[i // 40], f"O{i % 40 if i < 45 else i}", i / 100) for i in range(80)]
+    x.__dict__["relation"] = spark.createDataFrame(rows, "hash string, subject string, predicate string, object string, confidence double")
+    edges = x._edge()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan  # single relations pass by the grouping
+    want = {}
+    for h, s, _, o, c in rows:
+        w, hs = want.get((s.lower(), o.lower()), (0.0, []))
+        want[s.lower(), o.lower()] = (w + c, sorted([*hs, h]))
+    got = {(r.src, r.dst): (r.weight, r.relation_hashes) for r in edges.collect()}
+    assert got.keys() == want.keys() and len(want) == 75 and edges.count() == 75
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
